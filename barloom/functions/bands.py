@@ -1,0 +1,18 @@
+"""Order-preserving bands of a double, used to split large cross-sections."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The smallest positive double is 2**-1074, so adding 1075 keeps every exponent positive.
+_EXPONENT_SHIFT = 1075
+BANDS_PER_OCTAVE = 1024
+
+
+def value_band(value: Column, per_octave: int = BANDS_PER_OCTAVE) -> Column:
+    """An integer that never decreases when the value grows.
+
+    It depends on the value alone, so a recomputed task assigns the same band.
+    One band spans a relative width of about 1/per_octave.
+    """
+    size = F.floor((F.log2(F.abs(value)) + F.lit(float(_EXPONENT_SHIFT))) * per_octave) + 1
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
