@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 # The smallest positive double is 2**-1074, so adding 1075 keeps every exponent positive.
 _EXPONENT_SHIFT = 1075
-BANDS_PER_OCTAVE = 1024
+BANDS_PER_OCTAVE = 16
 
 
 def value_band(value: Column, per_octave: int = BANDS_PER_OCTAVE) -> Column:

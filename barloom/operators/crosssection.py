@@ -1,9 +1,13 @@
 """Ranks, percentiles and standard scores across all securities of a day.
 
-A day holds as many rows as there are securities, and nothing bounds that, so
-no step here gathers a day in one task. Values are counted first, which folds
-ties, and then ordered within narrow value bands; only per-band totals are
-accumulated over a whole group.
+A day holds as many rows as there are securities, and nothing bounds that. The
+largest group is therefore counted first. Groups proven small are ordered by a
+plain window. Otherwise no step gathers a group in one task: values are counted,
+which folds ties, and ordered within narrow value bands, and only per-band
+totals are accumulated over a whole group. Both ways give the same rows.
+
+Counting the groups runs a job over ``rows``: materialise them when they are
+costly, or say ``banded=True`` or ``False`` where the answer is known.
 """
 
 from __future__ import annotations
@@ -17,6 +21,15 @@ from barloom.functions import value_band
 
 BEFORE, TIES, TOTAL = "_before", "_ties", "_total"
 
+# Rows of one group that a single task orders without strain.
+SMALL_GROUP = 200_000
+
+
+def needs_bands(rows: DataFrame, group: Sequence[str], limit: int = SMALL_GROUP) -> bool:
+    """Whether any group has more rows than one task should order."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.where(F.col("n") > limit).isEmpty()
+
 
 def ordered_values(
     rows: DataFrame, value: str, group: Sequence[str], descending: bool = False
@@ -64,26 +77,74 @@ def with_rank(
     descending: bool = False,
     tiles: int | None = None,
     tile_name: str = "decile",
+    banded: bool | None = None,
 ) -> DataFrame:
     """Add the rank of a value within its group; equal values share the smallest rank.
 
     With ``tiles`` the group is also cut into that many parts by rank, so equal
     values always fall into the same part. A null value gets a null rank.
     """
-    places = ordered_values(rows, value, group, descending)
+    if banded is None:
+        banded = needs_bands(rows, group)
+    group = list(group)
+    if banded:
+        places = ordered_values(rows, value, group, descending).drop(TIES)
+        placed = rows.join(places, [*group, value], "left")
+    else:
+        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+        whole = Window.partitionBy(*group)
+        known = F.col(value).isNotNull()
+        placed = rows.withColumns(
+            {
+                BEFORE: F.when(known, F.rank().over(whole.orderBy(order)).cast("long") - 1),
+                TOTAL: F.count(value).over(whole),
+            }
+        )
     columns = [(F.col(BEFORE) + 1).alias(name)]
     if tiles is not None:
-        tile = F.floor(F.col(BEFORE) * tiles / F.col(TOTAL)).cast("int") + 1
-        columns.append(tile.alias(tile_name))
-    return rows.join(places.select(*group, value, *columns), [*group, value], "left").select(
-        *rows.columns, name, *([tile_name] if tiles is not None else [])
-    )
+        columns.append((F.floor(F.col(BEFORE) * tiles / F.col(TOTAL)).cast("int") + 1).alias(tile_name))
+    return placed.select(*rows.columns, *columns)
+
+
+def with_ranks(
+    rows: DataFrame,
+    names: dict[str, str],
+    group: Sequence[str] = ("date",),
+    banded: bool | None = None,
+) -> DataFrame:
+    """Ranks of several values at once: value column to rank column.
+
+    The plain windows share one shuffle; the banded orders each start from ``rows``.
+    """
+    if banded is None:
+        banded = needs_bands(rows, group)
+    ranked = rows
+    for value, name in names.items():
+        if banded:
+            places = ordered_values(rows, value, group)
+            rank = places.select(*group, value, (F.col(BEFORE) + 1).alias(name))
+            ranked = ranked.join(rank, [*group, value], "left")
+        else:
+            ranked = with_rank(ranked, value, group, name, banded=False)
+    return ranked.select(*rows.columns, *names.values())
 
 
 def group_percentiles(
-    rows: DataFrame, value: str, levels: dict[str, float], group: Sequence[str] = ("date",)
+    rows: DataFrame,
+    value: str,
+    levels: dict[str, float],
+    group: Sequence[str] = ("date",),
+    banded: bool | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles of each group, one column per level."""
+    if banded is None:
+        banded = needs_bands(rows, group)
+    if not banded:
+        exact = F.percentile(value, F.array(*(F.lit(level) for level in levels.values())))
+        picked = rows.groupBy(*group).agg(exact.alias("_levels"))
+        return picked.select(
+            *group, *(F.col("_levels")[i].alias(name) for i, name in enumerate(levels))
+        )
     places = ordered_values(rows, value, group)
     measures: list[Column] = []
     for name, level in levels.items():
@@ -106,27 +167,33 @@ def winsorize(
     lower: float = 0.01,
     upper: float = 0.99,
     group: Sequence[str] = ("date",),
+    banded: bool | None = None,
 ) -> DataFrame:
     """Clamp a value to the given percentiles of its group."""
-    limits = group_percentiles(rows, value, {"_low": lower, "_high": upper}, group)
+    limits = group_percentiles(rows, value, {"_low": lower, "_high": upper}, group, banded)
     clamped = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
     clamped = F.when(F.col(value).isNotNull(), clamped)
     return rows.join(limits, list(group), "left").withColumn(value, clamped).drop("_low", "_high")
 
 
-def zscore(
-    rows: DataFrame, value: str, group: Sequence[str], name: str | None = None
-) -> DataFrame:
-    """Distance from the group mean in sample deviations (D12); null without spread.
+def zscores(rows: DataFrame, values: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Distances from the group mean in sample deviations, ``z_<value>``.
 
-    Group moments are one aggregate with map-side partials, joined back.
+    Null without spread. The moments of all values are one aggregate with
+    map-side partials, joined back.
     """
-    moments = rows.groupBy(*group).agg(
-        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_spread")
-    )
-    score = F.when(F.col("_spread") > 0, (F.col(value) - F.col("_mean")) / F.col("_spread"))
-    scored = rows.join(moments, list(group), "left").withColumn(name or f"z_{value}", score)
-    return scored.drop("_mean", "_spread")
+    moments = []
+    for value in values:
+        moments += [F.avg(value).alias(f"_mean_{value}"), F.stddev_samp(value).alias(f"_std_{value}")]
+    joined = rows.join(rows.groupBy(*group).agg(*moments), list(group), "left")
+    scores = [
+        F.when(
+            F.col(f"_std_{value}") > 0,
+            (F.col(value) - F.col(f"_mean_{value}")) / F.col(f"_std_{value}"),
+        ).alias(f"z_{value}")
+        for value in values
+    ]
+    return joined.select(*rows.columns, *scores)
 
 
 def top_per_group(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 from typing import Literal
@@ -28,12 +29,14 @@ def normalize_quotes(
     raw: DataFrame,
     processed_at: str,
     on_bad_value: Literal["fail", "flag"] = "fail",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rename, type, filter and fill one or many days of raw quotes.
 
     ``fail`` casts strictly, so one malformed price ends the job. ``flag`` keeps
     malformed rows and marks them in ``_bad_value``, so that a later step can
-    reject only their days. Rows keep no particular order.
+    reject only their days. ``keep`` names further columns to carry along. Rows
+    keep no particular order.
     """
     strict = on_bad_value == "fail"
     price = strict_double if strict else lenient_double
@@ -52,16 +55,11 @@ def normalize_quotes(
         F.col("code").isNotNull() & F.col("date").isNotNull() & F.col("close").isNotNull()
     )
     if strict:
-        typed = raw.select(*columns).where(complete)
-        return fill_adj_close(typed).select(*PRICE_COLUMNS)
-    # A row whose own date is unreadable belongs to the day it was landed under.
-    if "partition_date" in raw.columns:
-        landed = day_from_text(F.col("partition_date").cast("string"), strict=False)
-        columns[1] = F.coalesce(day_from_text(F.col("Date"), False), landed).alias("date")
-    typed = raw.select(*columns, _has_bad_value().alias(BAD_VALUE)).where(
-        complete | F.col(BAD_VALUE)
-    )
-    return fill_adj_close(typed).select(*PRICE_COLUMNS, BAD_VALUE)
+        typed = raw.select(*columns, *keep).where(complete)
+        return fill_adj_close(typed).select(*PRICE_COLUMNS, *keep)
+    flagged = raw.select(*columns, _has_bad_value().alias(BAD_VALUE), *keep)
+    typed = flagged.where(complete | F.col(BAD_VALUE))
+    return fill_adj_close(typed).select(*PRICE_COLUMNS, BAD_VALUE, *keep)
 
 
 def _has_bad_value() -> Column:

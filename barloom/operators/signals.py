@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators.crosssection import with_rank, zscore
+from barloom.operators.crosssection import with_rank, with_ranks, zscores
 
 SCORE_DIGITS = 9
 TILES = 10
@@ -54,7 +54,7 @@ def point_in_time(
     stacked = bars.unionByName(news, allowMissingColumns=True)
     so_far = (
         Window.partitionBy("code")
-        .orderBy("date", "_bar", F.desc_nulls_last("_known"))
+        .orderBy("date", "_bar", "_known")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
@@ -68,26 +68,32 @@ def _type_of(rows: DataFrame, column: Column) -> T.DataType:
     return rows.select(column.alias("x")).schema["x"].dataType
 
 
-def composite_signals(
-    rows: DataFrame, weights: Mapping[str, float], tiles: int = TILES
-) -> DataFrame:
-    """Weighted sum of daily standard scores, its rank and its tile.
+def composite_score(rows: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Weighted sum of daily standard scores.
 
-    A factor missing on a day counts as average. Scores are rounded before
-    ranking, so that summation order cannot break or make ties.
+    A factor missing on a day counts as average. Scores are rounded, so that
+    summation order cannot break or make ties.
     """
-    for factor in weights:
-        rows = zscore(rows, factor, ["date"])
     terms = [F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) * w for f, w in weights.items()]
-    scored = rows.withColumn("score", F.round(reduce(add, terms), SCORE_DIGITS) + F.lit(0.0))
-    slim = scored.drop(*(f"z_{factor}" for factor in weights))
-    return with_rank(slim, "score", descending=True, tiles=tiles)
+    score = F.round(reduce(add, terms), SCORE_DIGITS) + F.lit(0.0)
+    return zscores(rows, list(weights), ["date"]).select(*rows.columns, score.alias("score"))
+
 
+def composite_signals(scored: DataFrame, tiles: int = TILES) -> DataFrame:
+    """Rank of the score within its day, best first, and its tile."""
+    return with_rank(scored, "score", descending=True, tiles=tiles)
 
-def rank_ic(rows: DataFrame, factor: str, outcome: str) -> DataFrame:
-    """Per day, the correlation of the ranks of a factor and of the outcome."""
+
+def rank_ic(
+    rows: DataFrame, factor: str, outcome: str, banded: bool | None = None
+) -> DataFrame:
+    """Per day, the correlation of the ranks of a factor and of the outcome.
+
+    The rows are read more than once: materialise them when they are costly.
+    """
     both = rows.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
-    ranked = with_rank(with_rank(both, factor, name="_f"), outcome, name="_o")
+    pairs = both.select("date", factor, outcome)
+    ranked = with_ranks(pairs, {factor: "_f", outcome: "_o"}, banded=banded)
     per_day = ranked.groupBy("date").agg(
         F.count(F.lit(1)).alias("codes"),
         F.corr("_f", "_o").alias("ic"),
@@ -98,13 +104,11 @@ def rank_ic(rows: DataFrame, factor: str, outcome: str) -> DataFrame:
     return per_day.select("date", "codes", F.when(usable, F.col("ic")).alias("rank_ic"))
 
 
-def tile_returns(
-    rows: DataFrame, factor: str, outcome: str, tiles: int = TILES
-) -> DataFrame:
+def tile_returns(rows: DataFrame, factor: str, outcome: str, tiles: int = TILES) -> DataFrame:
     """Mean outcome of each tile of a factor over all days."""
     both = rows.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
     return (
-        with_rank(both, factor, tiles=tiles)
+        with_rank(both.select("date", factor, outcome), factor, tiles=tiles)
         .groupBy("decile")
         .agg(F.count(F.lit(1)).alias("bars"), F.avg(outcome).alias("avg_return"))
     )

@@ -9,7 +9,6 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from barloom.operators.history import in_days
 from barloom.schemas import DAILY_PRICES_TABLE, DAILY_QUOTES_ENDPOINT, LISTED_INFO_ENDPOINT
 from barloom.sinks.prices import merge_by_security, normalize_and_store
 from barloom.sinks.raw import store_raw
@@ -101,18 +100,16 @@ class PriceLake:
         return read_daily_prices(self.spark, self.prices_path, start, end, codes)
 
     def price_days(self) -> DataFrame:
-        return available_days(self.spark, self.prices_path, "date")
+        return available_days(self.spark, self.prices_path)
 
     def price_stats(self) -> DataFrame:
-        return storage_stats(
-            self.spark, f"{self.root}/normalized", [DAILY_PRICES_TABLE], partition="date"
-        )
+        return storage_stats(self.spark, f"{self.root}/normalized", [DAILY_PRICES_TABLE])
 
     # Security-major layer
     def cluster(
         self, start: date | None = None, end: date | None = None, force: bool = False
     ) -> dict[str, int]:
-        incoming = in_days(self.daily_prices(), start, end)
+        incoming = self.daily_prices(start, end)
         return merge_by_security(incoming, self.by_security_path, self.buckets, force)
 
     def security_prices(

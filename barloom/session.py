@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "barloom", master: str | None = None, **conf) -> SparkSession:
@@ -24,6 +24,9 @@ def build_session(app: str = "barloom", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        # (security, day) keys hardly ever repeat, so a small first-level map only
+        # costs a second probe per row.
+        "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     }
     settings.update({key: str(value) for key, value in conf.items()})
     for key, value in settings.items():
@@ -52,3 +55,14 @@ def _local_folder(application_id: str) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path inside the shared folder."""
     return f"{shared_folder(spark)}/barloom/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(rows: DataFrame, label: str = "table") -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    For a costly frame that several branches of a plan read: it is computed once,
+    its lineage is cut, and each branch reads only its own columns.
+    """
+    path = new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.merge import keep_last, new_rows_only, pending_days, rewrite_stats
-from barloom.operators.normalize import BAD_VALUE, normalize_quotes
-from barloom.operators.quality import quality_report, split_by_quality
+from barloom.operators.normalize import normalize_quotes
+from barloom.operators.quality import quality_report
 from barloom.schemas import PRICE_COLUMNS
-from barloom.session import new_folder
+from barloom.session import materialize
 from barloom.sinks.raw import write_days
 from barloom.sources.inventory import available_days
 from barloom.sources.prices import BUCKET, YEAR, bucket_of, read_by_security
@@ -25,28 +25,41 @@ def normalize_and_store(
 ) -> DataFrame:
     """Normalise every raw day not stored yet; set aside the days that fail (SNK3, DQ2).
 
-    ``raw`` carries ``partition_date``. All days go through one job: a bad day
-    does not stop the others. Returns the report of the days looked at.
+    ``raw`` carries ``partition_date``, the day it was landed under; a day is
+    validated and stored under it as a whole. All days go through the same few
+    jobs, and a bad day does not stop the others. Returns the report of the days
+    looked at. Day lists are bounded by the calendar, so they may pass through
+    the driver, where they become partition filters of the scans.
     """
     spark = raw.sparkSession
-    stored = available_days(spark, prices_path, "date")
     landed = raw.select(F.to_date(PARTITION).alias("date"))
-    pending = pending_days(landed, stored, force)
-    todo = raw.join(
-        pending.select(F.col("date").cast("string").alias(PARTITION)), PARTITION, "left_semi"
+    pending = pending_days(landed, available_days(spark, prices_path), force)
+    expected = pending.select(F.col("date").cast("string").alias(PARTITION))
+    days = [row[0] for row in expected.collect()]
+    normalized = _of_days(raw, days, processed_at)
+    # Stored, so that both writes and every retried task see the same verdict.
+    report = materialize(
+        quality_report(normalized, PARTITION, spark.createDataFrame([(d,) for d in days], f"{PARTITION} string")),
+        "quality",
     )
-    normalized = normalize_quotes(todo, processed_at, on_bad_value="flag")
-    # The report is small (one row per day) and decides what is written: it is
-    # stored first, so both writes and a retried task see the same verdict.
-    report_path = new_folder(spark, "quality")
-    quality_report(normalized, expected_days=pending).write.parquet(report_path)
-    report = spark.read.parquet(report_path)
-    accepted, rejected = split_by_quality(normalized, report)
-    write_days(accepted.select(*PRICE_COLUMNS), prices_path, "date")
-    write_days(rejected.drop(BAD_VALUE), quarantine_path, "date")
+    verdict = {row[PARTITION]: row.valid for row in report.select(PARTITION, "valid").collect()}
+    accepted = [day for day in days if verdict[day]]
+    rejected = [day for day in days if not verdict[day]]
+    if accepted:
+        rows = _of_days(raw, accepted, processed_at).select(*PRICE_COLUMNS, PARTITION)
+        write_days(rows, prices_path, PARTITION)
+    if rejected:
+        rows = _of_days(raw, rejected, processed_at).join(
+            F.broadcast(report.select(PARTITION, "reason")), PARTITION
+        )
+        write_days(rows, quarantine_path, PARTITION)
     return report
 
 
+def _of_days(raw: DataFrame, days: list[str], processed_at: str) -> DataFrame:
+    return normalize_quotes(raw.where(F.col(PARTITION).isin(days)), processed_at, "flag", [PARTITION])
+
+
 def write_by_security(prices: DataFrame, path: str, buckets: int) -> None:
     """Write bars clustered by security, replacing the (year, bucket) partitions they touch.
 
@@ -76,24 +89,24 @@ def merge_by_security(
     copying can be repeated: the merge gives the same rows again.
     """
     spark: SparkSession = incoming.sparkSession
-    stored = read_by_security(spark, path)
-    fresh = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
-    if not force:
-        fresh = new_rows_only(fresh, stored)
-    layout = {YEAR: F.year("date"), BUCKET: bucket_of(F.col("code"), buckets)}
-    # Staged as well: what is written decides which partitions have to be rewritten.
-    fresh_path = new_folder(spark, "increment")
-    fresh.withColumns(layout).write.parquet(fresh_path)
-    fresh = spark.read.parquet(fresh_path)
-    touched = fresh.select(YEAR, BUCKET).distinct()
-    surviving = new_rows_only(stored.join(touched, [YEAR, BUCKET], "left_semi"), fresh)
-    merged_path = new_folder(spark, "merged")
-    merged = surviving.select(*PRICE_COLUMNS).unionByName(fresh.select(*PRICE_COLUMNS))
-    merged.write.parquet(merged_path)
-    write_by_security(spark.read.parquet(merged_path), path, buckets)
+    # A list of years is bounded by the calendar; it prunes the stored partitions.
+    years = [row[0] for row in incoming.select(F.year("date")).distinct().collect()]
+    stored = read_by_security(spark, path).where(F.col(YEAR).isin(years))
+    latest = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
+    fresh = materialize(
+        (latest if force else new_rows_only(latest, stored)).withColumns(
+            {YEAR: F.year("date"), BUCKET: bucket_of(F.col("code"), buckets)}
+        ),
+        "increment",
+    )
     offered = rewrite_stats(incoming).first().asDict()
     written = fresh.agg(
         F.count_distinct("code").alias("stocks_written"),
         F.count(F.lit(1)).alias("records_written"),
-    )
-    return offered | written.first().asDict()
+    ).first()
+    if written.records_written:
+        touched = fresh.select(YEAR, BUCKET).distinct()
+        surviving = new_rows_only(stored.join(touched, [YEAR, BUCKET], "left_semi"), fresh)
+        merged = surviving.select(*PRICE_COLUMNS).unionByName(fresh.select(*PRICE_COLUMNS))
+        write_by_security(materialize(merged, "merged"), path, buckets)
+    return offered | written.asDict()

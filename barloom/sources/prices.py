@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from barloom.operators.history import in_days, keyed_columns, of_codes
 from barloom.schemas import DAILY_PRICES, PRICE_COLUMNS
-from barloom.sources.raw import read_or_empty
+from barloom.sources.raw import PARTITION, read_or_empty
 
 YEAR, BUCKET = "year", "bucket"
+_BY_DAY = T.StructType([*DAILY_PRICES.fields, T.StructField(PARTITION, T.StringType())])
 _BY_SECURITY = T.StructType(
     [
         *DAILY_PRICES.fields,
@@ -34,12 +35,17 @@ def read_daily_prices(
     end: date | None = None,
     codes: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """Normalised prices of an inclusive range (SRC8); ``date`` is the partition column.
+    """Normalised prices of an inclusive range (SRC8).
 
-    Rows come unsorted: order them where they are consumed.
+    The range selects the landing days to read, and then the rows by their own
+    date. Rows come unsorted: order them where they are consumed.
     """
-    prices = read_or_empty(spark, path, DAILY_PRICES).select(*PRICE_COLUMNS)
-    return of_codes(in_days(prices, start, end), codes)
+    prices = read_or_empty(spark, path, _BY_DAY)
+    if start is not None:
+        prices = prices.where(F.col(PARTITION) >= start.isoformat())
+    if end is not None:
+        prices = prices.where(F.col(PARTITION) <= end.isoformat())
+    return of_codes(in_days(prices.select(*PRICE_COLUMNS), start, end), codes)
 
 
 def read_by_security(spark: SparkSession, path: str) -> DataFrame:

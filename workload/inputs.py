@@ -29,8 +29,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _code(key: Column, suffix: str = "0") -> Column:
-    return F.format_string(f"%04d{suffix}", key)
+def four_digits(key: Column) -> Column:
+    """At least four digits: longer keys are not cut."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(4)), F.lit("0"))
+
+
+def _code(key: Column) -> Column:
+    return F.concat(four_digits(key), F.lit("0"))
 
 
 def _factor(key: Column, turn: Column) -> Column:
@@ -148,7 +154,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return suppliers.withColumn(
         "suffix", F.explode(F.coalesce(classes, F.array(F.lit("0"))))
     ).select(
-        F.concat(F.format_string("%04d", "s_suppkey"), "suffix").alias("Code"),
+        F.concat(four_digits(F.col("s_suppkey")), "suffix").alias("Code"),
         F.col("s_name").alias("CompanyName"),
         F.upper("s_name").alias("CompanyNameEnglish"),
         F.col("n_nationkey").cast("string").alias("Sector17Code"),
@@ -190,7 +196,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Code requests in every accepted and refused form, one per customer."""
     key = F.col("c_custkey")
-    four = F.format_string("%04d", key)
+    four = four_digits(key)
     kind = key % 50
     request = (
         F.when(kind == 0, F.concat(four, F.lit("0")))

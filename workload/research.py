@@ -6,7 +6,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from barloom.operators import adjust, corporate, crosssection, merge, returns, signals
+from barloom.operators import adjust, corporate, crosssection, merge, returns
+from barloom.operators import signals as factors
+from barloom.session import materialize
 from workload import inputs
 from workload.inputs import sql
 from workload.registry import query
@@ -65,8 +67,8 @@ def return_correlation(spark, folder):
 def pair_correlation(spark, folder):
     key = F.col("s_suppkey")
     pairs = inputs.table(spark, folder, "supplier").select(
-        F.format_string("%04d0", key).alias("code_a"),
-        F.format_string("%04d0", key + 1).alias("code_b"),
+        F.concat(inputs.four_digits(key), F.lit("0")).alias("code_a"),
+        F.concat(inputs.four_digits(key + 1), F.lit("0")).alias("code_b"),
     )
     daily = returns.multi_period_returns(inputs.prices(spark, folder), (1,))
     rows = returns.pair_correlation(daily, pairs)
@@ -166,7 +168,7 @@ def winsorize_zscore(spark, folder):
         F.col("Code").alias("code"), F.col("Sector17Code").alias("sector")
     )
     clamped = crosssection.winsorize(rows, "volume").join(sectors, "code")
-    scored = crosssection.zscore(clamped, "volume", ["date", "sector"])
+    scored = crosssection.zscores(clamped, ["volume"], ["date", "sector"])
     return scored.withColumns(
         {"volume": F.round("volume", 6), "z_volume": F.round("z_volume", 6) + F.lit(0.0)}
     )
@@ -182,7 +184,7 @@ def winsorize_zscore(spark, folder):
 )
 def pit_fundamentals(spark, folder):
     bars = inputs.prices(spark, folder).select("code", "date", "close")
-    return signals.point_in_time(bars, inputs.statements(spark, folder))
+    return factors.point_in_time(bars, inputs.statements(spark, folder))
 
 
 @query(
@@ -195,7 +197,7 @@ def pit_fundamentals(spark, folder):
     )
 )
 def universe(spark, folder):
-    return signals.universe(inputs.prices(spark, folder), _AS_OF, 50000.0, 20.0, 365)
+    return factors.universe(inputs.prices(spark, folder), _AS_OF, 50000.0, 20.0, 365)
 
 
 _WEIGHTS = {"mom_3m": 0.6, "vol_20d": -0.4}
@@ -211,9 +213,8 @@ def _scored(spark, folder):
     rows = returns.features(inputs.prices(spark, folder)).select(
         "code", "date", F.round("mom_3m", 6).alias("mom_3m"), F.round("vol_20d", 6).alias("vol_20d")
     )
-    return signals.composite_signals(rows, _WEIGHTS).select(
-        "code", "date", "score", "rank", "decile"
-    )
+    scored = factors.composite_score(materialize(rows, "features"), _WEIGHTS)
+    return scored.select("code", "date", "score")
 
 
 @query(
@@ -226,8 +227,8 @@ def _scored(spark, folder):
         also=_SCORED,
     )
 )
-def composite_ranks(spark, folder):
-    return _scored(spark, folder)
+def signals(spark, folder):
+    return factors.composite_signals(materialize(_scored(spark, folder), "scores"))
 
 
 @query(
@@ -245,7 +246,7 @@ def top_per_sector(spark, folder):
     sectors = inputs.listing(spark, folder).select(
         F.col("Code").alias("code"), F.col("Sector17Code").alias("sector")
     )
-    scored = _scored(spark, folder).select("code", "date", "score").join(sectors, "code")
+    scored = _scored(spark, folder).join(sectors, "code")
     return crosssection.top_per_group(scored, "score", 2, ["date", "sector"])
 
 
@@ -289,11 +290,11 @@ _OUTCOME = """outcome AS (SELECT code, date, ret_5 AS factor, lead(ret_1) OVER
 
 def _outcome(spark, folder):
     daily = returns.multi_period_returns(inputs.prices(spark, folder), (1, 5))
-    return returns.with_forward_return(daily)
+    rows = returns.with_forward_return(daily).select("date", "ret_5", "forward_return")
+    return materialize(rows, "outcome")
 
 
-@query(
-    sql(
+_RANK_IC = sql(
         """SELECT date, codes, CASE WHEN codes >= 3 AND fs > 0 AND os > 0
             THEN round(ic, 6) + 0.0 END AS rank_ic
         FROM (SELECT date, count(*) AS codes, corr(f, o) AS ic, stddev_pop(f) AS fs,
@@ -304,9 +305,18 @@ def _outcome(spark, folder):
         "returns",
         also=_OUTCOME,
     )
-)
+
+
+@query(_RANK_IC)
 def rank_ic(spark, folder):
-    rows = signals.rank_ic(_outcome(spark, folder), "ret_5", "forward_return")
+    rows = factors.rank_ic(_outcome(spark, folder), "ret_5", "forward_return")
+    return rows.withColumn("rank_ic", F.round("rank_ic", 6) + F.lit(0.0))
+
+
+@query(_RANK_IC)
+def rank_ic_banded(spark, folder):
+    """The way taken when a day has too many securities for one task."""
+    rows = factors.rank_ic(_outcome(spark, folder), "ret_5", "forward_return", banded=True)
     return rows.withColumn("rank_ic", F.round("rank_ic", 6) + F.lit(0.0))
 
 
@@ -322,7 +332,7 @@ def rank_ic(spark, folder):
     )
 )
 def decile_returns(spark, folder):
-    rows = signals.tile_returns(_outcome(spark, folder), "ret_5", "forward_return")
+    rows = factors.tile_returns(_outcome(spark, folder), "ret_5", "forward_return")
     return rows.withColumn("avg_return", F.round("avg_return", 6))
 
 
