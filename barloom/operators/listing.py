@@ -103,10 +103,15 @@ def resolve_codes(
 
 
 def _best_by_base(codes: DataFrame, name: str) -> DataFrame:
-    """One row per base: its best code, and whether the bare base is itself a code."""
+    """One row per base: its best code, and whether the bare base is itself a code.
+
+    Codes are made distinct by a hash aggregate first; the smallest of a struct
+    needs a sorting one, which then sees only distinct codes.
+    """
     rank = F.struct((~F.col("code").endswith("0")).alias("other"), F.col("code").alias("code"))
     return (
         codes.where(F.length("code") >= 4)
+        .distinct()
         .groupBy(base_code(F.col("code")).alias("_clean"))
         .agg(F.min(rank).alias("top"), F.max(F.length("code") == 4).alias("exact"))
         .select("_clean", F.struct(F.col("top.code").alias("best"), "exact").alias(name))

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from barloom.schemas import DAILY_PRICES_TABLE, DAILY_QUOTES_ENDPOINT, LISTED_INFO_ENDPOINT
-from barloom.sinks.prices import merge_by_security, normalize_and_store
+from barloom.sinks.prices import (
+    compact_by_security,
+    merge_by_security,
+    normalize_and_store,
+)
 from barloom.sinks.raw import store_raw
 from barloom.sources.inventory import available_codes, available_days, security_stats, storage_stats
 from barloom.sources.prices import read_by_security, read_daily_prices, read_security_prices
@@ -112,6 +116,9 @@ class PriceLake:
         incoming = self.daily_prices(start, end)
         return merge_by_security(incoming, self.by_security_path, self.buckets, force)
 
+    def compact(self, years: Sequence[int]) -> None:
+        compact_by_security(self.spark, self.by_security_path, self.buckets, list(years))
+
     def security_prices(
         self,
         codes: str | Sequence[str],

@@ -8,10 +8,16 @@ from functools import cached_property
 from typing import Literal
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjustment_events
 from barloom.operators.history import latest_price, price_history, price_series
-from barloom.operators.listing import listing_row, resolve_codes, search_listing
+from barloom.operators.listing import (
+    ATTRIBUTES,
+    listing_row,
+    resolve_codes,
+    search_listing,
+)
 from barloom.plans.lake import PriceLake
 from barloom.schemas import FACTOR_TOLERANCE
 
@@ -48,7 +54,9 @@ class Security:
         if "Code" not in listing.columns:
             listing = spark.createDataFrame([], "Code string")
         asked = spark.createDataFrame([(code,)], "request string")
-        row = resolve_codes(asked, listing, self.lake.all_prices()).first()
+        # The prefix is pushed to the scan: other securities' row groups are skipped.
+        stored = self.lake.all_prices().where(F.col("code").startswith(cleaned))
+        row = resolve_codes(asked, listing, stored).first()
         if row.status != "ok":
             raise ValueError(f"Security code {code!r} is {row.status}")
         return row.code
@@ -61,9 +69,7 @@ class Security:
     def listing(self) -> Row:
         return listing_row(self.lake.listing(), self.code)
 
-    def __getattr__(self, name: str):
-        from barloom.operators.listing import ATTRIBUTES
-
+    def __getattr__(self, name: str) -> str | None:
         if name in ATTRIBUTES:
             return self.listing.asDict().get(ATTRIBUTES[name])
         raise AttributeError(name)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+from typing import Literal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.merge import keep_last, new_rows_only, pending_days, rewrite_stats
+from barloom.operators.merge import keep_last, new_rows_only, pending_days
 from barloom.operators.normalize import normalize_quotes
 from barloom.operators.quality import quality_report
 from barloom.schemas import PRICE_COLUMNS
-from barloom.session import materialize
+from barloom.session import materialize, new_folder
 from barloom.sinks.raw import write_days
 from barloom.sources.inventory import available_days
 from barloom.sources.prices import BUCKET, YEAR, bucket_of, read_by_security
 from barloom.sources.raw import PARTITION
 
+logger = logging.getLogger(__name__)
+
 
 def normalize_and_store(
     raw: DataFrame,
@@ -38,10 +43,8 @@ def normalize_and_store(
     days = [row[0] for row in expected.collect()]
     normalized = _of_days(raw, days, processed_at)
     # Stored, so that both writes and every retried task see the same verdict.
-    report = materialize(
-        quality_report(normalized, PARTITION, spark.createDataFrame([(d,) for d in days], f"{PARTITION} string")),
-        "quality",
-    )
+    expected = spark.createDataFrame([(day,) for day in days], f"{PARTITION} string")
+    report = materialize(quality_report(normalized, PARTITION, expected), "quality")
     verdict = {row[PARTITION]: row.valid for row in report.select(PARTITION, "valid").collect()}
     accepted = [day for day in days if verdict[day]]
     rejected = [day for day in days if not verdict[day]]
@@ -57,56 +60,91 @@ def normalize_and_store(
 
 
 def _of_days(raw: DataFrame, days: list[str], processed_at: str) -> DataFrame:
-    return normalize_quotes(raw.where(F.col(PARTITION).isin(days)), processed_at, "flag", [PARTITION])
+    chosen = raw.where(F.col(PARTITION).isin(days))
+    return normalize_quotes(chosen, processed_at, "flag", [PARTITION])
 
 
-def write_by_security(prices: DataFrame, path: str, buckets: int) -> None:
-    """Write bars clustered by security, replacing the (year, bucket) partitions they touch.
+def write_by_security(
+    prices: DataFrame, path: str, buckets: int, mode: Literal["append", "overwrite"]
+) -> None:
+    """Write bars clustered by security; ``overwrite`` replaces the partitions they touch.
 
     A bucket holds many securities, so files stay large; the year bounds a
     partition and confines a daily increment to the current year. Rebalancing
     splits a partition that is too large for one task.
     """
-    laid_out = prices.withColumns({YEAR: F.year("date"), BUCKET: bucket_of(F.col("code"), buckets)})
+    laid_out = prices.select(*PRICE_COLUMNS).withColumns(_layout(buckets))
     (
         laid_out.hint("rebalance", YEAR, BUCKET)
         .sortWithinPartitions(YEAR, BUCKET, "code", "date")
         .write.partitionBy(YEAR, BUCKET)
-        .mode("overwrite")
+        .mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
 
 
+def _layout(buckets: int) -> dict[str, Column]:
+    return {YEAR: F.year("date"), BUCKET: bucket_of(F.col("code"), buckets)}
+
+
 def merge_by_security(
     incoming: DataFrame, path: str, buckets: int, force: bool = False
 ) -> dict[str, int]:
     """Merge bars into the security-major dataset, one row per security and day (SNK4, JN2, WIN6).
 
-    Without ``force`` stored bars win, with it incoming bars do. A dataset cannot
-    be overwritten while it is read, so the new content of the touched
-    partitions is completed in a staging folder first. A run that dies while
-    copying can be repeated: the merge gives the same rows again.
+    Without ``force`` stored bars win: only new keys are appended, and nothing
+    stored is rewritten (:func:`compact_by_security` joins the small files of
+    many increments). With it incoming bars win, and the partitions they touch
+    are rewritten. Returns what was offered and what was written.
     """
     spark: SparkSession = incoming.sparkSession
-    # A list of years is bounded by the calendar; it prunes the stored partitions.
-    years = [row[0] for row in incoming.select(F.year("date")).distinct().collect()]
+    # The set of days is bounded by the calendar; its years prune the stored partitions.
+    offered = incoming.agg(
+        F.collect_set("date").alias("days"),
+        F.count_distinct("code").alias("codes"),
+        F.count(F.lit(1)).alias("records"),
+    ).first()
+    years = sorted({day.year for day in offered.days})
     stored = read_by_security(spark, path).where(F.col(YEAR).isin(years))
-    latest = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
-    fresh = materialize(
-        (latest if force else new_rows_only(latest, stored)).withColumns(
-            {YEAR: F.year("date"), BUCKET: bucket_of(F.col("code"), buckets)}
-        ),
-        "increment",
-    )
-    offered = rewrite_stats(incoming).first().asDict()
+    fresh = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
+    if not force and not stored.isEmpty():
+        fresh = new_rows_only(fresh, stored)
+    fresh = materialize(fresh, "increment")
     written = fresh.agg(
         F.count_distinct("code").alias("stocks_written"),
         F.count(F.lit(1)).alias("records_written"),
     ).first()
-    if written.records_written:
-        touched = fresh.select(YEAR, BUCKET).distinct()
-        surviving = new_rows_only(stored.join(touched, [YEAR, BUCKET], "left_semi"), fresh)
-        merged = surviving.select(*PRICE_COLUMNS).unionByName(fresh.select(*PRICE_COLUMNS))
-        write_by_security(materialize(merged, "merged"), path, buckets)
-    return offered | written.asDict()
+    if force and written.records_written:
+        touched = fresh.select(*(column.alias(name) for name, column in _layout(buckets).items()))
+        kept = stored.join(touched.distinct(), [YEAR, BUCKET], "left_semi")
+        rest = new_rows_only(kept, fresh).select(*PRICE_COLUMNS)
+        _rewrite(rest.unionByName(fresh), path, buckets)
+    elif written.records_written:
+        write_by_security(fresh, path, buckets, "append")
+    return {
+        "dates_processed": len(offered.days),
+        "stocks_input": offered.codes,
+        "records_input": offered.records,
+        **written.asDict(),
+    }
+
+
+def compact_by_security(spark: SparkSession, path: str, buckets: int, years: list[int]) -> None:
+    """Rewrite whole years so that each partition is again few sorted files."""
+    stored = read_by_security(spark, path).where(F.col(YEAR).isin(years))
+    _rewrite(stored.select(*PRICE_COLUMNS), path, buckets)
+
+
+def _rewrite(rows: DataFrame, path: str, buckets: int) -> None:
+    """Replace partitions by rows that were partly read from them.
+
+    The new content is completed in the shared folder first, since a dataset
+    should not be replaced while it is read. If the copy is cut short the staged
+    rows are still there: the log names them, and copying again is harmless.
+    """
+    staged_path = new_folder(rows.sparkSession, "merged")
+    rows.write.parquet(staged_path)
+    logger.info("replacing partitions of %s from %s", path, staged_path)
+    staged = rows.sparkSession.read.schema(rows.schema).parquet(staged_path)
+    write_by_security(staged, path, buckets, "overwrite")

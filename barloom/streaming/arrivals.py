@@ -7,6 +7,7 @@ what has arrived and stops; a scheduler starts it again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.plans.lake import PriceLake
@@ -38,10 +39,11 @@ def normalize_arrivals(
     )
 
     def process(batch: DataFrame, _batch_id: int) -> None:
-        changed = batch.distinct()
+        # Days are bounded by the calendar; as a list they prune the raw partitions.
+        changed = [row[0] for row in batch.distinct().collect()]
         raw = read_raw(spark, lake.raw_root, DAILY_QUOTES_ENDPOINT, schema=schema)
         normalize_and_store(
-            raw.join(changed, PARTITION, "left_semi"),
+            raw.where(F.col(PARTITION).isin(changed)),
             lake.prices_path,
             lake.quarantine_path,
             processed_at,

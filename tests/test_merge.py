@@ -11,7 +11,7 @@ from barloom.operators.merge import (
     rewrite_stats,
 )
 from barloom.schemas import PRICE_COLUMNS
-from barloom.sinks.prices import merge_by_security
+from barloom.sinks.prices import compact_by_security, merge_by_security
 from barloom.sources.prices import read_by_security, read_security_prices
 from tests.frames import D15, D16, D17, price_row, prices, two_by_two
 
@@ -118,6 +118,18 @@ def test_older_years_are_left_alone(spark, tmp_path):
     assert read_by_security(spark, path).count() == 2
 
 
+def test_increments_are_appended_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "increments")
+    for day in (D15, D16, D17):
+        merge_by_security(prices(spark, [price_row("1", day), price_row("2", day)]), path, 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    assert files.option("pathGlobFilter", "*.parquet").load(path).count() == 3
+    compact_by_security(spark, path, 1, [2024])
+    assert files.option("pathGlobFilter", "*.parquet").load(path).count() == 1
+    stored = read_by_security(spark, path)
+    assert stored.count() == 6 and duplicate_keys(stored).isEmpty()
+
+
 def test_one_security_reads_one_bucket(spark, tmp_path):
     path = str(tmp_path / "pruned")
     rows = prices(spark, [price_row(f"{n:05d}", D15) for n in range(40)])
