@@ -9,11 +9,17 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from barloom.schemas import DAILY_PRICES_TABLE, DAILY_QUOTES_ENDPOINT, LISTED_INFO_ENDPOINT
+from barloom.schemas import (
+    DAILY_PRICES_TABLE,
+    DAILY_QUOTES_ENDPOINT,
+    LISTED_INFO_ENDPOINT,
+    PRICE_COLUMNS,
+)
 from barloom.sinks.prices import (
     compact_by_security,
     merge_by_security,
     normalize_and_store,
+    save_bucketed_table,
 )
 from barloom.sinks.raw import store_raw
 from barloom.sources.inventory import available_codes, available_days, security_stats, storage_stats
@@ -119,6 +125,11 @@ class PriceLake:
     def compact(self, years: Sequence[int]) -> None:
         compact_by_security(self.spark, self.by_security_path, self.buckets, list(years))
 
+    def bucketed_table(self, table: str) -> DataFrame:
+        prices = self.all_prices().select(*PRICE_COLUMNS)
+        path = f"{self.root}/bucketed_{self.buckets}/{table}"
+        return save_bucketed_table(prices, table, path, self.buckets)
+
     def security_prices(
         self,
         codes: str | Sequence[str],

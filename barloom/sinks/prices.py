@@ -148,3 +148,20 @@ def _rewrite(rows: DataFrame, path: str, buckets: int) -> None:
     logger.info("replacing partitions of %s from %s", path, staged_path)
     staged = rows.sparkSession.read.schema(rows.schema).parquet(staged_path)
     write_by_security(staged, path, buckets, "overwrite")
+
+
+def save_bucketed_table(prices: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Save bars as a table bucketed by security, and return the table.
+
+    Windows and joins by ``code`` over it need no shuffle, so many analyses can
+    share the one that wrote it.
+    """
+    (
+        prices.repartition(buckets, "code")
+        .write.bucketBy(buckets, "code")
+        .sortBy("code", "date")
+        .option("path", path)
+        .mode("overwrite")
+        .saveAsTable(table)
+    )
+    return prices.sparkSession.table(table)

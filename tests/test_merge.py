@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from barloom.operators.adjust import adjust_prices
 from barloom.operators.merge import (
     duplicate_keys,
     keep_last,
@@ -11,7 +12,7 @@ from barloom.operators.merge import (
     rewrite_stats,
 )
 from barloom.schemas import PRICE_COLUMNS
-from barloom.sinks.prices import compact_by_security, merge_by_security
+from barloom.sinks.prices import compact_by_security, merge_by_security, save_bucketed_table
 from barloom.sources.prices import read_by_security, read_security_prices
 from tests.frames import D15, D16, D17, price_row, prices, two_by_two
 
@@ -140,3 +141,12 @@ def test_one_security_reads_one_bucket(spark, tmp_path):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1]
     assert "EqualTo(code,00007)" in plan or "In(code, [00007])" in plan
+
+
+def test_bucketed_bars_are_adjusted_without_a_shuffle(spark, tmp_path):
+    rows = prices(spark, [price_row(f"{n:05d}", day) for n in range(9) for day in (D15, D16)])
+    table = save_bucketed_table(rows, "bucketed_bars", str(tmp_path / "bars"), 4)
+    plan = adjust_prices(table, "add")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    assert adjust_prices(table, "add").count() == 18
+    spark.sql("DROP TABLE bucketed_bars")

@@ -161,9 +161,10 @@ _CLAMPED = """limits AS (SELECT date, quantile_cont(volume, 0.01) AS lo,
     )
 )
 def winsorize_zscore(spark, folder):
-    rows = inputs.prices(spark, folder).select(
+    volumes = inputs.prices(spark, folder).select(
         "code", "date", F.col("volume").cast("double").alias("volume")
     )
+    rows = materialize(volumes, "volumes")
     sectors = inputs.listing(spark, folder).select(
         F.col("Code").alias("code"), F.col("Sector17Code").alias("sector")
     )

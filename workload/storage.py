@@ -6,10 +6,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from barloom.operators.adjust import adjust_prices
 from barloom.operators.merge import merge_replacing, merge_skipping, pending_days, rewrite_stats
 from barloom.schemas import DAILY_QUOTES_ENDPOINT, PRICE_COLUMNS, RAW_QUOTES
 from barloom.session import new_folder
-from barloom.sinks.prices import merge_by_security
+from barloom.sinks.prices import merge_by_security, save_bucketed_table
 from barloom.sinks.raw import with_lineage
 from barloom.sources import endpoints
 from barloom.sources.inventory import storage_stats as dataset_stats
@@ -305,3 +306,19 @@ def merge_stored_dataset(spark, folder):
     merge_by_security(stored, path, 16)
     merge_by_security(incoming, path, 16, force=True)
     return read_by_security(spark, path).select(*PRICE_COLUMNS)
+
+
+@query(
+    sql(
+        """SELECT code, date, close, close * m AS adj_close, volume * (1 / m) AS adj_volume
+        FROM adjusted""",
+        "adjusted",
+    )
+)
+def adjusted_bucketed(spark, folder):
+    """Adjustment over a bucketed table: the window finds its rows already together."""
+    path = new_folder(spark, "bucketed")
+    table = f"bars_{path.rsplit('-', 1)[1]}"
+    bars = save_bucketed_table(inputs.prices(spark, folder), table, path, 16)
+    adjusted = adjust_prices(bars, "add")
+    return adjusted.select("code", "date", "close", "adj_close", "adj_volume")
