@@ -33,15 +33,21 @@ def keep_last(
 def new_rows_only(
     incoming: DataFrame, stored: DataFrame, key: Sequence[str] = PRICE_KEY
 ) -> DataFrame:
-    """Incoming rows whose key is not stored yet (JN2)."""
-    return incoming.join(stored.select(*key), list(key), "left_anti")
+    """Incoming rows whose key is not stored yet (JN2).
+
+    Only distinct keys of the stored side are shuffled or broadcast.
+    """
+    return incoming.join(stored.select(*key).distinct(), list(key), "left_anti")
 
 
 def merge_skipping(
     stored: DataFrame, incoming: DataFrame, order: Sequence[str | Column] = ("processed_at",)
 ) -> DataFrame:
-    """Stored rows win; only keys not stored yet are added."""
-    return stored.unionByName(keep_last(new_rows_only(incoming, stored), order))
+    """Stored rows win; only keys not stored yet are added.
+
+    Duplicates are cut before the join, which then reuses their partitioning.
+    """
+    return stored.unionByName(new_rows_only(keep_last(incoming, order), stored))
 
 
 def merge_replacing(
@@ -52,8 +58,7 @@ def merge_replacing(
     A small increment is broadcast by the planner, and then the stored side is
     neither shuffled nor sorted.
     """
-    latest = keep_last(incoming, order)
-    return new_rows_only(stored, latest).unionByName(latest)
+    return new_rows_only(stored, incoming).unionByName(keep_last(incoming, order))
 
 
 def pending_days(requested: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:

@@ -7,7 +7,6 @@ products are exact and do not depend on the order of summation.
 from __future__ import annotations
 
 from datetime import date
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,24 +236,28 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.select("request", "page", body.alias("body"))
 
 
-@cache
-def _filled_lake(application: str, folder: str) -> PriceLake:
-    spark = SparkSession.getActiveSession()
-    lake = PriceLake(spark, new_folder(spark, "lake"), _LAKE_BUCKETS)
-    lake.land(raw_quotes(spark, folder), DAILY_QUOTES_ENDPOINT, "Date")
-    first, second = SNAPSHOT_DAYS
-    listed = listing(spark, folder)
-    lake.land(listed, LISTED_INFO_ENDPOINT, first)
-    renamed = listed.withColumn("CompanyName", F.concat("CompanyName", F.lit(" KK")))
-    lake.land(renamed, LISTED_INFO_ENDPOINT, second)
-    lake.normalize(processed_at=PROCESSED_AT)
-    lake.cluster()
-    return lake
+_LAKES: dict[tuple[str, str], PriceLake] = {}
 
 
 def lake(spark: SparkSession, folder: str) -> PriceLake:
     """All layers filled from the tables, once per application and folder."""
-    return _filled_lake(spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LAKES:
+        _LAKES[key] = _filled_lake(spark, folder)
+    return _LAKES[key]
+
+
+def _filled_lake(spark: SparkSession, folder: str) -> PriceLake:
+    filled = PriceLake(spark, new_folder(spark, "lake"), _LAKE_BUCKETS)
+    filled.land(raw_quotes(spark, folder), DAILY_QUOTES_ENDPOINT, "Date")
+    first, second = SNAPSHOT_DAYS
+    listed = listing(spark, folder)
+    filled.land(listed, LISTED_INFO_ENDPOINT, first)
+    renamed = listed.withColumn("CompanyName", F.concat("CompanyName", F.lit(" KK")))
+    filled.land(renamed, LISTED_INFO_ENDPOINT, second)
+    filled.normalize(processed_at=PROCESSED_AT)
+    filled.cluster()
+    return filled
 
 
 # ---------------------------------------------------------------------------

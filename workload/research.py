@@ -234,10 +234,11 @@ def signals(spark, folder):
 
 @query(
     sql(
-        """SELECT code, date, sector, score, place FROM (SELECT *, row_number() OVER
-            (PARTITION BY date, sector ORDER BY score DESC, code) AS place
+        """SELECT code, date, sector, score, CAST(pos AS INTEGER) AS place
+        FROM (SELECT *, row_number() OVER
+            (PARTITION BY date, sector ORDER BY score DESC, code) AS pos
             FROM (SELECT s.code, date, score, "Sector17Code" AS sector FROM scored s
-                JOIN listing l ON s.code = l."Code")) WHERE place <= 2""",
+                JOIN listing l ON s.code = l."Code")) WHERE pos <= 2""",
         "features",
         "listing",
         also=_SCORED,
@@ -355,8 +356,8 @@ def forward_fill(spark, folder):
 
 @query(
     sql(
-        """SELECT code, year(date) AS year, count(*) AS bars, max(close) AS highest FROM prices
-        WHERE close >= 10000 GROUP BY ALL""",
+        """SELECT code, CAST(year(date) AS INTEGER) AS year, count(*) AS bars,
+        max(close) AS highest FROM prices WHERE close >= 10000 GROUP BY ALL""",
         "prices",
     )
 )

@@ -29,7 +29,7 @@ _ALL = ", ".join(PRICE_COLUMNS)
     q AS (SELECT *, n // 10 AS r, n % 10 AS page FROM p),
     k AS (SELECT *, (n % 7 = 3) OR (page = 0 AND n % 4 = 2) AS keyless FROM q)
     SELECT CAST(r AS VARCHAR) AS request, page,
-        row_number() OVER (PARTITION BY n ORDER BY event_id) - 1 AS position,
+        CAST(row_number() OVER (PARTITION BY n ORDER BY event_id) - 1 AS INTEGER) AS position,
         event_id, event_type, value FROM k
     WHERE NOT keyless AND r NOT IN (SELECT r FROM k WHERE page = 0 AND keyless)"""
 )
