@@ -18,7 +18,7 @@ SAMPLE_LOOKBACK = 84
 def day_sequence(spark: SparkSession, start: date, end: date) -> DataFrame:
     """Every day from start to end (CAL1)."""
     if start > end:
-        raise ValueError("start date must be on or before end date")
+        raise ValueError(f"{start} is after {end}")
     bounds = spark.range(1).select(F.sequence(F.lit(start), F.lit(end)).alias("days"))
     return bounds.select(F.explode("days").alias("date"))
 

@@ -44,7 +44,7 @@ def select_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column subset that names what is missing (PRJ11)."""
     missing = [name for name in columns if name not in rows.columns]
     if missing:
-        raise ValueError(f"Requested columns not present: {missing}")
+        raise ValueError(f"no such columns: {missing}")
     return rows.select(*columns)
 
 

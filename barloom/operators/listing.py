@@ -27,24 +27,24 @@ def search_listing(
     The value is a literal, never a pattern; rows without a code are left out.
     """
     if field not in listing.columns:
-        raise ValueError(f"Field '{field}' not found in listed info columns: {listing.columns}")
+        raise ValueError(f"{field!r} is not a listing column; there are {listing.columns}")
     text = F.col(field).cast("string")
     if match == "exact":
         hit = text == value
     elif match == "icontains":
         hit = F.contains(F.lower(text), F.lit(value.lower()))
     else:
-        raise ValueError("match must be 'exact' or 'icontains'")
+        raise ValueError(f"unknown kind of match {match!r}")
     return listing.where(hit & (F.col("Code") != ""))
 
 
 def listing_row(listing: DataFrame, code: str) -> Row:
     """The listing row of one code (PRJ13)."""
     if "Code" not in listing.columns:
-        raise LookupError("Listed info snapshot missing 'Code' column")
+        raise LookupError("the listing has no 'Code' column")
     found = listing.where(F.col("Code") == code).limit(1).collect()
     if not found:
-        raise LookupError(f"No listed info found for code {code}")
+        raise LookupError(f"{code} is not in the listing")
     return found[0]
 
 

@@ -81,9 +81,9 @@ def require_valid_day(prices: DataFrame) -> None:
     messages = {
         "bad_value": f"Found {row.bad_values} malformed values",
         "null_code": f"Found {row.null_codes} null codes",
-        "null_close": f"Found {row.null_closes} null close prices",
-        "non_positive_close": f"Found non-positive close prices: min={row.min_close}",
-        "broken_bar": f"Found {row.broken_bars} records with invalid OHLC relationships",
+        "null_close": f"Found {row.null_closes} null closes",
+        "non_positive_close": f"Found a non-positive close: {row.min_close}",
+        "broken_bar": f"Found {row.broken_bars} bars with invalid OHLC",
         "empty": "Found no rows",
     }
     raise ValueError(messages[row.reason])

@@ -39,7 +39,7 @@ def read_raw(
     anything is read. Directories that do not name a day are skipped.
     """
     if on is not None and between is not None:
-        raise ValueError("Cannot specify both a date and a date range")
+        raise ValueError("give a day or a range, not both")
     if schema is not None:
         # Declared as text: a directory with a bad name must not break the scan.
         schema = T.StructType([*schema.fields, T.StructField(PARTITION, T.StringType())])
