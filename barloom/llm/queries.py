@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, sharding
+from barloom.llm import fingerprints, mixing, quality_classifier, sharding, toxicity
 from barloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,21 @@ def op3_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query()
+def op8_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_classifier.train(docs, labels(spark, folder))
+    return quality_classifier.score_quality(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query()
+def op9_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.train(docs, labels(spark, folder))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).drop("text")
