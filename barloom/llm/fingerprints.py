@@ -104,8 +104,8 @@ def with_next(docs: DataFrame, **carried: Column) -> DataFrame:
         "__end", F.col("__head.doc_id").alias("__id"), F.col("__head.tie").alias("__head_tie")
     )
     after = (
-        links.join(
-            keyed,
+        keyed.join(
+            F.broadcast(links),  # one row a bucket, a small multiple of the shuffle partitions
             F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__head_tie") == F.col("__tie")),
         )
         .dropDuplicates(["__end"])
