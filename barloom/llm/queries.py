@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, quality_classifier, sharding, toxicity
+from barloom.llm import (
+    fingerprints,
+    mixing,
+    quality_classifier,
+    sentencepieces,
+    sharding,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from barloom.llm.common import documents
+from barloom.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +113,25 @@ def op9_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = toxicity.train(docs, labels(spark, folder))
     return toxicity.score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return sentencepieces.encode_texts(docs, check=True).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip"
+    )
+
+
+@query()
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, folder).select("doc_id", "text"))
+
+
+@query()
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    token_files.write_token_files(documents(spark, folder), path)
+    return token_files.read_token_files(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
