@@ -144,43 +144,87 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return doc_ids, ends, decode_blocks(starts, raw, n_ids)
 
 
+class Runs:
+    """Runs of ids by key, found in bulk and kept."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.counts = np.empty(0, np.int64)
+
+    def new(self, keys: list[str]) -> list[str]:
+        """Those of ``keys`` without a run yet, each once; ``add`` must follow with their runs."""
+        fresh = [key for key in dict.fromkeys(keys) if key not in self.rows]
+        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+        return fresh
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+        self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
+
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys one after the other, and how many each has."""
+        place = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        lengths = self.counts[place]
+        return self.ids[spread(self.starts[place], lengths)], lengths
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids
-    one after the other.
+    The tokenizer lower-cases, drops white space and never joins over it, so a text's ids are its
+    words' ids one after the other. It also cuts between letters and these closing marks, so the
+    words ``end``, ``End`` and ``end.`` share the ids of ``end``.
     """
 
+    marks = ".,;:!?|"
+
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        self.forget()
-
-    def forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
+        self.words, self.parts = Runs(), Runs()
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Runs of letters that lower-casing keeps letters go through the library as one text."""
+        plain, others = [], []
+        for part in dict.fromkeys(parts):
+            if part not in self.parts.rows:
+                (plain if part.isalpha() and max(part) < "\u0130" else others).append(part)
+        self.parts.new([*plain, *others])
+        if plain:
+            whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            counts = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(plain))
+            self.parts.add(np.array(whole.ids, np.uint32), counts)
+        if others:
+            each = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            each = [one.ids for one in each]
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+            ids = np.fromiter((i for own in each for i in own), np.uint32, int(counts.sum()))
+            self.parts.add(ids, counts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and how many each text has."""
-        if len(self.rows) > MOST_WORDS:
-            self.forget()
-        rows, found, sizes = self.rows, [], []
+        if len(self.words.rows) > MOST_WORDS:
+            self.words, self.parts = Runs(), Runs()
+        found, sizes = [], []
         for text in texts:
             own = (text or "").split()
             found.extend(own)
             sizes.append(len(own))
-        known = len(rows)
-        fresh = [word for word in dict.fromkeys(found) if word not in rows]
-        rows.update(zip(fresh, range(known, known + len(fresh)), strict=True))
-        if fresh:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            counts = np.fromiter(map(len, each), np.int64, len(each))
-            ids = np.fromiter((i for own in each for i in own), np.uint32, int(counts.sum()))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
-            self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
-        place = np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
-        lengths = self.counts[place]
-        flat = self.ids[spread(self.starts[place], lengths)]
+        fresh = self.words.new(found)
+        pairs = []
+        for word in fresh:
+            core = word.rstrip(self.marks)
+            if core.isalpha():
+                pairs.append(core.lower() if core.isascii() else core)
+                pairs.append(word[len(core) :])
+            else:
+                pairs.append(word)
+                pairs.append("")
+        if pairs:
+            self._encode_parts(pairs)
+            ids, counts = self.parts.get(pairs)
+            self.words.add(ids, counts.reshape(-1, 2).sum(axis=1))
+        flat, lengths = self.words.get(found)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes, dtype=np.int64)]
         counts = np.diff(np.concatenate([[0], ends])) + 1
         return np.insert(flat, ends, np.uint32(END)), counts
