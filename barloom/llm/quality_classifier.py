@@ -70,7 +70,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """
     seen = (text or "").split()
     if not seen:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     both = np.fromiter(map(_known.__getitem__, seen), np.uint64, len(seen))
     spelling = both & np.uint64((1 << 31) - 1)
     shape = (both >> np.uint64(31)) * _MIX
@@ -84,7 +84,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
         grams.append(value)
     mixed = np.concatenate(grams)
     mixed ^= mixed >> np.uint64(29)
-    return distinct((mixed * _MIX >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
+    return distinct((mixed * _MIX >> np.uint64(64 - bits)).astype(np.int32), 1 << bits)
 
 
 @dataclass
@@ -129,7 +129,7 @@ def dual_coordinate_descent(
     cost; each step solves one variable exactly. Classes weigh the same in sum.
     """
     weights, bias = np.zeros_like(ratio), 0.0
-    values = [ratio[row] for row in rows]
+    values = [ratio[row].astype(np.float32) for row in rows]
     lengths = [max(float(np.sqrt(v @ v)), 1e-9) for v in values]
     values = [v / length for v, length in zip(values, lengths, strict=True)]
     share = {s: len(signs) / (2 * max(int((signs == s).sum()), 1)) for s in (1, -1)}
