@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from barloom.llm.labels import fold, labelled_sample, map_texts, sigmoid
 
 BITS = 18
-SAMPLE = 8_000
+SAMPLE = 6_000
 FOLDS = 3
 HELD_OUT = 1
 THRESHOLD = 0.7
@@ -31,7 +31,7 @@ _WORD = re.compile(r"\S+")
 class _Words(dict):
     """Words to rows of ``table``: hashes of the lower-cased word and of its beginnings."""
 
-    most = 400_000
+    most = 150_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -89,7 +89,10 @@ class Bags:
     sentences: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None], spans: list[list[tuple[int, int]]]) -> Bags:
+    def of(
+        cls, texts: list[str | None], spans: list[list[tuple[int, int]]] | None = None
+    ) -> Bags:
+        spans = [sentences(text) for text in texts] if spans is None else spans
         flat: list[str] = []
         words, counts = [], []
         for text, own in zip(texts, spans, strict=True):
@@ -132,41 +135,49 @@ def fit(
     """Sentence weights that make the noisy-or of a document's sentences meet its label.
 
     Adam on the log loss over all documents, with weights of 0 or more and a small constant pull
-    towards 0, so that neutral words end at 0 and can't hide a toxic one. Weights start from the log ratio of a feature's
-    shares in toxic and in clean documents, drawn towards 0 where few toxic documents hold it;
-    features of fewer than 3 documents stay at 0. Without both labels every sentence scores
-    close to none.
+    towards 0, so that neutral words end at 0 and can't hide a toxic one. Only features that at
+    least 3 documents hold, and toxic documents more often than clean ones, get a weight. It starts
+    from the log ratio of both shares, drawn towards 0 where few toxic documents hold the feature.
+    Without both labels every sentence scores close to none.
     """
-    bags = Bags.of(texts, [sentences(text) for text in texts])
     model = Model(np.zeros(1 << BITS), -5.0)
     labels = labels.astype(float)
     if labels.min(initial=1) == labels.max(initial=0):
         return model
-    owner = np.repeat(np.arange(len(labels)), bags.sentences)
-    per_word = np.repeat(np.arange(len(bags.words)), bags.words * PER_WORD)
-    held = np.unique(owner[per_word] << BITS | bags.features.astype(np.int64))
-    feature, toxic = held & ((1 << BITS) - 1), labels[held >> BITS]
-    in_toxic = np.bincount(feature, toxic, 1 << BITS)
-    in_clean = np.bincount(feature, 1 - toxic, 1 << BITS)
-    ratio = np.log((in_toxic + 1) / (labels.sum() + 2)) - np.log(
-        (in_clean + 1) / ((1 - labels).sum() + 2)
+    held = {0.0: np.zeros(1 << BITS), 1.0: np.zeros(1 << BITS)}
+    for text, label in zip(texts, labels, strict=True):
+        held[label][np.unique(Bags.of([text]).features)] += 1
+    ratio = np.log((held[1.0] + 1) / (labels.sum() + 2)) - np.log(
+        (held[0.0] + 1) / ((1 - labels).sum() + 2)
     )
-    frequent = in_toxic + in_clean >= 3
-    start = np.where(frequent, np.maximum(ratio, 0.0) * in_toxic / (in_toxic + 10), 0.0)
-    used, place = np.unique(bags.features, return_inverse=True)
-    own, free = Bags(place, bags.words, bags.sentences), np.append(frequent[used], True)
-    theta = np.append(start[used], -5.0)
+    used = np.flatnonzero((ratio > 0) & (held[1.0] + held[0.0] >= 3))
+    theta = np.append(ratio[used] * held[1.0][used] / (held[1.0][used] + 10), -5.0)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    # places of weights, and the sentences that hold them; sentences without any count as well
+    places, holders, sizes, n = [], [], [], 0
+    for text in texts:
+        own = Bags.of([text])
+        place = number[own.features]
+        keep = place >= 0
+        places.append(place[keep])
+        holders.append(np.repeat(np.arange(n, n + len(own.words)), own.words * PER_WORD)[keep].astype(np.int32))
+        sizes.append(len(own.words))
+        n += len(own.words)
+    place, holder = np.concatenate(places), np.concatenate(holders)
+    own = Bags(place, np.zeros(n, np.int64), np.array(sizes, np.int64))
+    owner = np.repeat(np.arange(len(labels)), own.sentences)
     # Long documents add up the bias over thousands of sentences, so it is drawn down more.
     pull_down = np.append(np.full(len(used), decay), 300 * decay)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        scores = sigmoid(own.by_sentence(theta[place]) + theta[-1])
+        scores = sigmoid(np.bincount(holder, theta[place], n) + theta[-1])
         whole = np.clip(noisy_or(own, scores), 1e-9, 1 - 1e-9)
         # d loss / d sentence margin: p for clean documents, -p (1 - P) / P for toxic ones
         pull = np.where(labels == 1, -(1 - whole) / whole, 1.0)
         slopes = scores * pull[owner] / len(labels)
-        gradient = np.append(np.bincount(place, slopes[per_word], len(used)), slopes.sum())
-        gradient = (gradient + pull_down) * free
+        gradient = np.append(np.bincount(place, slopes[holder], len(used)), slopes.sum())
+        gradient += pull_down
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         unbiased = first / (1 - 0.9**step)
@@ -179,7 +190,7 @@ def fit(
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents (doc_id, toxic) outside the held-out fold.
 
-    The bound holds what reaches the driver: the sample's texts, 8,000 by default.
+    The bound holds what reaches the driver: the sample's texts, 6,000 by default.
     """
     keep = fold(FOLDS) != HELD_OUT
     sample = labelled_sample(docs, labels, "toxic", keep, most).toPandas()
