@@ -21,7 +21,7 @@ BLOCK = 128
 # Share of a block's values that fit its packed width; the others are exceptions.
 PERCENTILE = 90
 SEGMENT = 1 << 20
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
 _HEADER = struct.Struct("<4sBxHIQI")
 _MAGIC = b"PFR1"
 _BLOCK_HEADER = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "u1")])
@@ -144,29 +144,43 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return doc_ids, ends, decode_blocks(starts, raw, n_ids)
 
 
+class _Rows(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        row = self[key] = len(self)
+        self.fresh.append(key)
+        return row
+
+
 class Runs:
     """Runs of ids by key, found in bulk and kept."""
 
     def __init__(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = _Rows()
         self.ids, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
 
-    def new(self, keys: list[str]) -> list[str]:
-        """Those of ``keys`` without a run yet, each once; ``add`` must follow with their runs."""
-        fresh = [key for key in dict.fromkeys(keys) if key not in self.rows]
-        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
-        return fresh
+    def places(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+
+    def fresh(self) -> list[str]:
+        """Keys asked for since the last call; ``add`` must follow with their runs."""
+        keys, self.rows.fresh = self.rows.fresh, []
+        return keys
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
         self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
 
-    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all keys one after the other, and how many each has."""
-        place = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        lengths = self.counts[place]
-        return self.ids[spread(self.starts[place], lengths)], lengths
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at all places one after the other, and how many each has."""
+        lengths = self.counts[places]
+        return self.ids[spread(self.starts[places], lengths)], lengths
 
 
 class WordEncoder:
@@ -183,36 +197,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.words, self.parts = Runs(), Runs()
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self) -> None:
         """Runs of letters that lower-casing keeps letters go through the library as one text."""
-        plain, others = [], []
-        for part in dict.fromkeys(parts):
-            if part not in self.parts.rows:
-                (plain if part.isalpha() and max(part) < "\u0130" else others).append(part)
-        self.parts.new([*plain, *others])
-        if plain:
-            whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            counts = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(plain))
-            self.parts.add(np.array(whole.ids, np.uint32), counts)
-        if others:
-            each = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-            each = [one.ids for one in each]
-            counts = np.fromiter(map(len, each), np.int64, len(each))
-            ids = np.fromiter((i for own in each for i in own), np.uint32, int(counts.sum()))
-            self.parts.add(ids, counts)
+        fresh = self.parts.fresh()
+        if not fresh:
+            return
+        plain = np.fromiter((p.isalpha() and max(p) < "\u0130" for p in fresh), bool, len(fresh))
+        counts = np.zeros(len(fresh), np.int64)
+        flat = np.empty(0, np.uint32)
+        if plain.any():
+            text = " ".join(p for p, is_plain in zip(fresh, plain, strict=True) if is_plain)
+            whole = self.tokenizer.encode(text, add_special_tokens=False)
+            counts[plain] = np.bincount(np.array(whole.word_ids, np.int64), minlength=plain.sum())
+            flat = np.array(whole.ids, np.uint32)
+        others = [p for p, is_plain in zip(fresh, plain, strict=True) if not is_plain]
+        each = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
+        own = [np.array(one.ids, np.uint32) for one in each]
+        counts[~plain] = [len(ids) for ids in own]
+        result = np.empty(int(counts.sum()), np.uint32)
+        starts = np.cumsum(counts) - counts
+        result[spread(starts[plain], counts[plain])] = flat
+        if own:
+            result[spread(starts[~plain], counts[~plain])] = np.concatenate(own)
+        self.parts.add(result, counts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and how many each text has."""
         if len(self.words.rows) > MOST_WORDS:
             self.words, self.parts = Runs(), Runs()
-        found, sizes = [], []
-        for text in texts:
-            own = (text or "").split()
-            found.extend(own)
-            sizes.append(len(own))
-        fresh = self.words.new(found)
+        places = [self.words.places((text or "").split()) for text in texts]
         pairs = []
-        for word in fresh:
+        for word in self.words.fresh():
             core = word.rstrip(self.marks)
             if core.isalpha():
                 pairs.append(core.lower() if core.isascii() else core)
@@ -221,13 +236,25 @@ class WordEncoder:
                 pairs.append(word)
                 pairs.append("")
         if pairs:
-            self._encode_parts(pairs)
-            ids, counts = self.parts.get(pairs)
+            halves = self.parts.places(pairs)
+            self._encode_parts()
+            ids, counts = self.parts.get(halves)
             self.words.add(ids, counts.reshape(-1, 2).sum(axis=1))
-        flat, lengths = self.words.get(found)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes, dtype=np.int64)]
-        counts = np.diff(np.concatenate([[0], ends])) + 1
-        return np.insert(flat, ends, np.uint32(END)), counts
+        flat, lengths = self.words.get(np.concatenate(places) if places else np.empty(0, np.int64))
+        ends = np.cumsum([0, *map(len, places)])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
+        return np.insert(flat, ends[1:], np.uint32(END)), np.diff(ends) + 1
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(definition: str) -> WordEncoder:
+    """This process's encoder; the tasks that it runs one after the other share its words."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = WordEncoder(definition)
+    return _encoders[definition]
 
 
 def write_token_files(
@@ -246,7 +273,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(definition.value)
+        encoder = encoder_of(definition.value)
         names = [field.strip().split()[0] for field in SEGMENT_SCHEMA.split(",")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
