@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (
     fingerprints,
+    jaccard_join,
     mixing,
     quality_classifier,
     sentencepieces,
@@ -123,6 +124,11 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_components(documents(spark, folder), n=4, percent=85)
+
+
 @query()
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder).select("doc_id", "text"))
