@@ -12,6 +12,7 @@ from barloom.llm import (
     jaccard_join,
     mixing,
     quality_classifier,
+    quality_rules,
     sentencepieces,
     sharding,
     token_counts,
@@ -98,6 +99,40 @@ def op3_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    r"""WITH split AS (SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+            lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+    counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM windows),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE n > 1) GROUP BY doc_id),
+    measured AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}]'))) AS BIGINT)
+            AS n_bullet_lines,
+        CAST(len(list_filter(l, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[ \t\r]*$'))) AS BIGINT)
+            AS n_ellipsis_lines,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper
+        FROM split s LEFT JOIN covered c USING (doc_id)),
+    judged AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+        + 4 * (n_words > 100000)::INT + 8 * (10 * word_chars < 25 * n_words)::INT
+        + 16 * (word_chars > 12 * n_words)::INT + 32 * (10 * n_symbols > n_words)::INT
+        + 64 * (2 * n_dup_lines > n_lines)::INT + 128 * (10 * n_upper > 3 * word_chars)::INT
+        + 256 * (10 * n_bullet_lines > 9 * n_lines)::INT
+        + 512 * (10 * n_ellipsis_lines > 3 * n_lines)::INT AS INTEGER) AS failures FROM measured)
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        failures = 0 AS kept FROM judged"""
+)
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.apply_policy(quality_rules.ledger(documents(spark, folder)))
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
