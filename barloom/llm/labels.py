@@ -49,13 +49,14 @@ def map_texts(
     names = set(added.fieldNames())
     kept = [name for name in rows.columns if name not in names and name not in drop]
     fields = [rows.schema[name] for name in kept]
-    source = rows.select(*kept, F.col("text").alias("__text"))
+    source = rows.select(*kept, *([] if "text" in kept else [F.col("text").alias("__text")]))
+    place = kept.index("text") if "text" in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, block):
                 part = batch.slice(start, block)
-                results = each(part.column(len(kept)).to_pylist())
+                results = each(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(kept)], *results], [*kept, *added.fieldNames()]
                 )

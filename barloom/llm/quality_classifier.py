@@ -193,9 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fit(sample["text"].tolist(), sample["label"].to_numpy(int))
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep_text: bool = False
+) -> DataFrame:
     """``docs`` with held_out, score (0 to 1, label 1 likelier) and predicted (score >= threshold).
 
+    The text itself is left out unless ``keep_text``.
+
     Texts are scored whole; null and empty texts have no n-grams and score what the bias says.
     Repeated rows score alike. Input columns of the three names are replaced.
     """
@@ -208,4 +212,5 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     added = T.StructType(
         [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     )
-    return map_texts(docs.withColumn("held_out", fold(FOLDS) == 0), added, each)
+    drop = () if keep_text else ("text",)
+    return map_texts(docs.withColumn("held_out", fold(FOLDS) == 0), added, each, drop)

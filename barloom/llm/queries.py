@@ -141,14 +141,14 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality_classifier.train(docs, labels(spark, folder))
-    return quality_classifier.score_quality(docs.select("doc_id", "text"), model).drop("text")
+    return quality_classifier.score_quality(docs.select("doc_id", "text"), model)
 
 
 @query()
 def op9_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = toxicity.train(docs, labels(spark, folder))
-    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model)
 
 
 @query()

@@ -198,9 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fit(sample["text"].tolist(), sample["label"].to_numpy(int))
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep_text: bool = False
+) -> DataFrame:
     """``docs`` with held_out, score, predicted (score >= threshold) and toxic_spans.
 
+    The text itself is left out unless ``keep_text``.
+
     The score is the noisy-or over all sentences of the whole text; toxic_spans lists (start,
     end, score) of the sentences that score 0.5 or more, in code points. Null and empty texts
     have no sentences: score 0, no spans. Input columns of these names are replaced.
@@ -227,4 +231,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     fields = T.StructType.fromDDL(
         "score double, predicted int, toxic_spans array<struct<start: int, end: int, score: double>>"
     )
-    return map_texts(docs.withColumn("held_out", fold(FOLDS) == HELD_OUT), fields, each)
+    drop = () if keep_text else ("text",)
+    return map_texts(docs.withColumn("held_out", fold(FOLDS) == HELD_OUT), fields, each, drop)
