@@ -1,6 +1,5 @@
 """Column-level building blocks, all built-in JVM expressions."""
 
-from barloom.functions.bands import value_band
 from barloom.functions.casts import day_from_text, lenient_double, nan_to_null, strict_double
 from barloom.functions.codes import base_code, clean_code
 from barloom.functions.days import compact_day, next_weekday, previous_weekday
@@ -25,5 +24,4 @@ __all__ = [
     "next_weekday",
     "previous_weekday",
     "strict_double",
-    "value_band",
 ]

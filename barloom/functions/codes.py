@@ -7,7 +7,8 @@ BASE_LENGTH = 4
 
 
 def clean_code(code: Column) -> Column:
-    return F.trim(code.cast("string"))
+    """The code without white space of any kind around it."""
+    return F.regexp_replace(code.cast("string"), r"(?U)\A\s+|\s+\z", "")
 
 
 def base_code(code: Column) -> Column:

@@ -1,71 +1,106 @@
 """Ranks, percentiles and standard scores across all securities of a day.
 
-A day holds as many rows as there are securities, and nothing bounds that. The
-largest group is therefore counted first. Groups proven small are ordered by a
-plain window. Otherwise no step gathers a group in one task: values are counted,
-which folds ties, and ordered within narrow value bands, and only per-band
-totals are accumulated over a whole group. Both ways give the same rows.
-
-Counting the groups runs a job over ``rows``: materialise them when they are
-costly, or say ``banded=True`` or ``False`` where the answer is known.
+A day holds as many rows as there are securities, and nothing bounds that. Rows
+are therefore dealt into ranges of (group, value) whose borders follow the data,
+equal values being split by the rest of the row, and stored once. Inside a range
+they are ordered; totals of the ranges, a few rows a group, place each range in
+its group and settle values that lie in several ranges. No step gathers a group.
+
+NaN counts as missing, like null: it has no rank and no part in percentiles and
+moments. Infinite values rank at the ends; they have no part in moments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.functions import value_band
+from barloom.session import materialize
 
-BEFORE, TIES, TOTAL = "_before", "_ties", "_total"
+BEFORE, PLACE, TOTAL = "_before", "_place", "_total"
+_KEY, _RANGE = "_key", "_range"
+# A spread this small is rounding, not spread.
+LEAST_SPREAD = 1e-9
 
-# Rows of one group that a single task orders without strain.
-SMALL_GROUP = 200_000
 
+def _known(rows: DataFrame, value: str) -> Column:
+    """The value, null where it is NaN."""
+    if isinstance(rows.schema[value].dataType, T.DoubleType | T.FloatType):
+        return F.when(~F.isnan(value), F.col(value))
+    return F.col(value)
 
-def needs_bands(rows: DataFrame, group: Sequence[str], limit: int = SMALL_GROUP) -> bool:
-    """Whether any group has more rows than one task should order."""
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.where(F.col("n") > limit).isEmpty()
 
-
-def ordered_values(
+def with_places(
     rows: DataFrame, value: str, group: Sequence[str], descending: bool = False
 ) -> DataFrame:
-    """Distinct values of each group with how many rows precede, share and follow them.
+    """Rows with their place in the order of their group.
 
-    Adds ``_before`` (rows ordered ahead), ``_ties`` (rows of this value) and
-    ``_total`` (rows of the group).
+    Adds ``_before`` (rows of smaller value; null without a value), ``_place``
+    (a number of its own, from 0) and ``_total`` (rows with a value). The rows
+    are written to the shared folder once, while the plan is built: ranges must
+    be the same for every branch that reads them.
     """
     group = list(group)
-    direction = -1 if descending else 1
-    counted = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias(TIES))
-        .withColumn("_band", value_band(F.col(value)) * direction)
+    order = F.desc_nulls_last(_KEY) if descending else F.asc_nulls_last(_KEY)
+    keyed = rows.withColumn(_KEY, _known(rows, value))
+    dealt = keyed.repartitionByRange(*group, order, F.xxhash64(*rows.columns))
+    stored = materialize(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*group, _RANGE).orderBy(order)
+    ranked = stored.withColumns(
+        {"_inside": F.rank().over(inside) - 1, "_nth": F.row_number().over(inside) - 1}
+    )
+    first, last = (F.max, F.min) if descending else (F.min, F.max)
+    ranges = (
+        ranked.where(F.col(_KEY).isNotNull())
+        .groupBy(*group, _RANGE)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            first(_KEY).alias("_first"),
+            last(_KEY).alias("_last"),
+            F.max("_inside").alias("_below_last"),
+        )
     )
-    bands = counted.groupBy(*group, "_band").agg(F.sum(TIES).alias("_in_band"))
     whole = Window.partitionBy(*group)
-    ahead = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    placed = bands.select(
-        *group,
-        "_band",
-        F.coalesce(F.sum("_in_band").over(ahead), F.lit(0)).alias("_ahead"),
-        F.sum("_in_band").over(whole).alias(TOTAL),
+    ahead = whole.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of earlier ranges that equal a range's first value end those ranges.
+    ends = ranges.select(
+        *group, _RANGE, F.col("_last").alias("_v"), (F.col("_n") - F.col("_below_last")).alias("_m"), F.lit(1).alias("_end")
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = (
-        Window.partitionBy(*group, "_band")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        *group, _RANGE, F.col("_first").alias("_v"), F.lit(0).cast("long").alias("_m"), F.lit(0).alias("_end")
     )
-    return (
-        counted.withColumn("_inside", F.coalesce(F.sum(TIES).over(inside), F.lit(0)))
-        .join(placed, [*group, "_band"])
-        .select(*group, value, (F.col("_ahead") + F.col("_inside")).alias(BEFORE), TIES, TOTAL)
+    earlier = (
+        Window.partitionBy(*group, "_v")
+        .orderBy(_RANGE, "_end")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    equal = (
+        ends.unionByName(starts)
+        .withColumn("_equal", F.sum("_m").over(earlier))
+        .where("_end = 0")
+        .select(*group, _RANGE, "_equal")
+    )
+    offsets = ranges.select(
+        *group,
+        _RANGE,
+        "_first",
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
+        F.sum("_n").over(whole).alias(TOTAL),
+    ).join(equal, [*group, _RANGE])
+    before = F.when(F.col(_KEY) == F.col("_first"), F.col("_ahead") - F.col("_equal")).when(
+        F.col(_KEY).isNotNull(), F.col("_ahead") + F.col("_inside")
+    )
+    return ranked.join(offsets, [*group, _RANGE], "left").select(
+        *rows.columns,
+        _KEY,
+        before.alias(BEFORE),
+        F.when(F.col(_KEY).isNotNull(), F.col("_ahead") + F.col("_nth")).alias(PLACE),
+        TOTAL,
     )
 
 
@@ -77,29 +112,13 @@ def with_rank(
     descending: bool = False,
     tiles: int | None = None,
     tile_name: str = "decile",
-    banded: bool | None = None,
 ) -> DataFrame:
     """Add the rank of a value within its group; equal values share the smallest rank.
 
     With ``tiles`` the group is also cut into that many parts by rank, so equal
-    values always fall into the same part. A null value gets a null rank.
+    values always fall into the same part. A missing value gets a null rank.
     """
-    if banded is None:
-        banded = needs_bands(rows, group)
-    group = list(group)
-    if banded:
-        places = ordered_values(rows, value, group, descending).drop(TIES)
-        placed = rows.join(places, [*group, value], "left")
-    else:
-        order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-        whole = Window.partitionBy(*group)
-        known = F.col(value).isNotNull()
-        placed = rows.withColumns(
-            {
-                BEFORE: F.when(known, F.rank().over(whole.orderBy(order)).cast("long") - 1),
-                TOTAL: F.count(value).over(whole),
-            }
-        )
+    placed = with_places(rows, value, group, descending)
     columns = [(F.col(BEFORE) + 1).alias(name)]
     if tiles is not None:
         columns.append((F.floor(F.col(BEFORE) * tiles / F.col(TOTAL)).cast("int") + 1).alias(tile_name))
@@ -107,57 +126,41 @@ def with_rank(
 
 
 def with_ranks(
-    rows: DataFrame,
-    names: dict[str, str],
-    group: Sequence[str] = ("date",),
-    banded: bool | None = None,
+    rows: DataFrame, names: dict[str, str], group: Sequence[str] = ("date",)
 ) -> DataFrame:
-    """Ranks of several values at once: value column to rank column.
-
-    The plain windows share one shuffle; the banded orders each start from ``rows``.
-    """
-    if banded is None:
-        banded = needs_bands(rows, group)
+    """Ranks of several values, one after the other: value column to rank column."""
     ranked = rows
     for value, name in names.items():
-        if banded:
-            places = ordered_values(rows, value, group)
-            rank = places.select(*group, value, (F.col(BEFORE) + 1).alias(name))
-            ranked = ranked.join(rank, [*group, value], "left")
-        else:
-            ranked = with_rank(ranked, value, group, name, banded=False)
+        ranked = with_rank(ranked, value, group, name)
     return ranked.select(*rows.columns, *names.values())
 
 
 def group_percentiles(
-    rows: DataFrame,
-    value: str,
-    levels: dict[str, float],
-    group: Sequence[str] = ("date",),
-    banded: bool | None = None,
+    rows: DataFrame, value: str, levels: dict[str, float], group: Sequence[str] = ("date",)
 ) -> DataFrame:
-    """Exact interpolated percentiles of each group, one column per level."""
-    if banded is None:
-        banded = needs_bands(rows, group)
-    if not banded:
-        exact = F.percentile(value, F.array(*(F.lit(level) for level in levels.values())))
-        picked = rows.groupBy(*group).agg(exact.alias("_levels"))
-        return picked.select(
-            *group, *(F.col("_levels")[i].alias(name) for i, name in enumerate(levels))
-        )
-    places = ordered_values(rows, value, group)
+    """Exact percentiles of each group, one column per level.
+
+    Between two values ``low`` and ``high`` it is ``low + (high - low) * share``;
+    next to an infinite one it is that one.
+    """
+    placed = with_places(rows.select(*group, value), value, group)
     measures: list[Column] = []
     for name, level in levels.items():
         position = F.lit(level) * (F.col(TOTAL) - 1)
         for edge, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            here = (F.col(BEFORE) <= index) & (index < F.col(BEFORE) + F.col(TIES))
-            measures.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{edge}"))
-    picked = places.groupBy(*group).agg(*measures, F.max(TOTAL).alias(TOTAL))
+            here = F.col(PLACE) == index
+            measures.append(F.max(F.when(here, F.col(_KEY))).alias(f"_{name}_{edge}"))
+    picked = placed.groupBy(*group).agg(*measures, F.max(TOTAL).alias(TOTAL))
     result = []
     for name, level in levels.items():
         position = F.lit(level) * (F.col(TOTAL) - 1)
+        share = position - F.floor(position)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        result.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        endless = F.abs(low) == float("inf")
+        between = F.when(endless | (low == high) | (share == 0), low).otherwise(
+            low + (high - low) * share
+        )
+        result.append(between.alias(name))
     return picked.select(*group, *result)
 
 
@@ -167,29 +170,37 @@ def winsorize(
     lower: float = 0.01,
     upper: float = 0.99,
     group: Sequence[str] = ("date",),
-    banded: bool | None = None,
 ) -> DataFrame:
-    """Clamp a value to the given percentiles of its group."""
-    limits = group_percentiles(rows, value, {"_low": lower, "_high": upper}, group, banded)
+    """Clamp a value to the given percentiles of its group (D12); a missing one stays as it is."""
+    limits = group_percentiles(rows, value, {"_low": lower, "_high": upper}, group)
     clamped = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
-    clamped = F.when(F.col(value).isNotNull(), clamped)
+    clamped = F.when(_known(rows, value).isNotNull(), clamped).otherwise(F.col(value))
     return rows.join(limits, list(group), "left").withColumn(value, clamped).drop("_low", "_high")
 
 
 def zscores(rows: DataFrame, values: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Distances from the group mean in sample deviations, ``z_<value>``.
 
-    Null without spread. The moments of all values are one aggregate with
-    map-side partials, joined back.
+    Null without a spread above ``LEAST_SPREAD``, and for missing and infinite
+    values. The moments of all values are one aggregate with map-side partials,
+    joined back; null groups are groups of their own.
     """
-    moments = []
+    moments, finite = [], {}
     for value in values:
-        moments += [F.avg(value).alias(f"_mean_{value}"), F.stddev_samp(value).alias(f"_std_{value}")]
-    joined = rows.join(rows.groupBy(*group).agg(*moments), list(group), "left")
+        known = _known(rows, value)
+        finite[value] = F.when(F.abs(known) < float("inf"), known)
+        moments += [
+            F.avg(finite[value]).alias(f"_mean_{value}"),
+            F.stddev_samp(finite[value]).alias(f"_std_{value}"),
+        ]
+    keys = {name: f"_group_{name}" for name in group}
+    per_group = rows.groupBy(*group).agg(*moments).withColumnsRenamed(keys)
+    same = [F.col(name).eqNullSafe(F.col(key)) for name, key in keys.items()]
+    joined = rows.join(per_group, reduce(and_, same), "left")
     scores = [
         F.when(
-            F.col(f"_std_{value}") > 0,
-            (F.col(value) - F.col(f"_mean_{value}")) / F.col(f"_std_{value}"),
+            F.col(f"_std_{value}") > LEAST_SPREAD,
+            (finite[value] - F.col(f"_mean_{value}")) / F.col(f"_std_{value}"),
         ).alias(f"z_{value}")
         for value in values
     ]

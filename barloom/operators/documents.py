@@ -13,6 +13,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 ID = "_id"
 
 
@@ -35,20 +37,40 @@ def find(
     """Filter, sort, skip, limit, then project (DOC1). No limit, and zero, mean all.
 
     The id is always kept. Deep skips read everything before them: page with
-    :func:`page_after` instead.
+    :func:`page_after` instead. A skip without a limit needs the place of every
+    row, see :func:`_skipped`.
     """
     found = documents.where(_matches(condition))
+    if skip > 0 and not limit:
+        found = _skipped(found, list(sort or [F.col(ID)]), skip)
     if sort:
         found = found.orderBy(*sort)
-    if skip > 0:
-        found = found.offset(skip)
     if limit:
-        found = found.limit(limit)
+        found = found.offset(skip).limit(limit)
     if columns is None:
         return found
     return found.select(ID, *(name for name in columns if name != ID))
 
 
+def _skipped(found: DataFrame, sort: list[Column], skip: int) -> DataFrame:
+    """All but the first ``skip`` rows of an order.
+
+    Rows are dealt into ordered ranges and stored once in the shared folder;
+    range totals say how many rows lie ahead, so no task orders everything.
+    """
+    dealt = found.repartitionByRange(*sort).withColumn("_range", F.spark_partition_id())
+    stored = materialize(dealt, "ranges")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    )
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*sort))
+    placed = stored.withColumn("_nth", nth).join(offsets, "_range")
+    return placed.where(F.col("_ahead") + F.col("_nth") > skip).select(*found.columns)
+
+
 def find_one(
     documents: DataFrame, condition: Column | None = None, columns: Sequence[str] | None = None
 ) -> Row | None:
@@ -178,14 +200,26 @@ def replace(documents: DataFrame, incoming: DataFrame, upsert: bool = False) ->
     """Replace whole documents by id; unknown ids are added only on ``upsert`` (DOC7).
 
     Both forms are one anti join and a union: a stored document survives unless
-    its id comes in, and a small increment is broadcast by the planner.
+    its id comes in, and a small increment is broadcast by the planner. Repeated
+    ids in ``incoming`` are refused, since no order says which one is the last.
     """
+    repeated = incoming.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if repeated:
+        raise DuplicateKeyError(f"Repeated key: {repeated[ID]!r}")
     kept = documents.join(incoming.select(ID), ID, "left_anti")
     if not upsert:
         incoming = incoming.join(documents.select(ID), ID, "left_semi")
     return kept.unionByName(incoming)
 
 
+def delete_counts(documents: DataFrame, condition: Column) -> DataFrame:
+    """How many documents ``delete_many`` and ``delete_one`` take away (DOC8)."""
+    matched = F.count_if(_matches(condition))
+    return documents.agg(
+        matched.alias("deleted_many"), F.least(matched, F.lit(1)).alias("deleted_one")
+    )
+
+
 def delete_many(documents: DataFrame, condition: Column) -> DataFrame:
     """Documents left after deleting every match; an unknown condition deletes nothing (DOC8)."""
     return documents.where(~_matches(condition))

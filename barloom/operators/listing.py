@@ -79,7 +79,7 @@ def resolve_codes(
     """
     length = F.length("_clean")
     status = (
-        F.when(~F.coalesce(F.col("_clean").rlike("^[0-9]+$"), F.lit(False)), "not numeric")
+        F.when(~F.coalesce(F.col("_clean").rlike(r"\A[0-9]+\z"), F.lit(False)), "not numeric")
         .when(~length.isin(4, 5), "not 4 or 5 digits")
         .otherwise("ok")
     )

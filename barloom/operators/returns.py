@@ -24,6 +24,9 @@ MOMENTUM_DAYS = 63
 VOLATILITY_DAYS = 20
 TRADING_DAYS_PER_YEAR = 252
 
+# The group of securities that no listing names.
+UNLISTED = "unlisted"
+
 
 def adjusted_closes(prices: DataFrame) -> DataFrame:
     """``code, date, close`` with the close adjusted to the latest scale."""
@@ -85,10 +88,12 @@ def forward_fill(
 def security_vs_group(returns: DataFrame, groups: DataFrame, value: str = "ret_1") -> DataFrame:
     """Correlation of every security with the mean of its group.
 
-    ``groups`` maps ``code`` to ``peer_group``. The group mean is one row per group
-    and day, so the work grows with the bars and never with pairs of securities.
+    ``groups`` maps ``code`` to ``peer_group``; securities without one are the
+    group ``UNLISTED``. The group mean is one row per group and day, so the work
+    grows with the bars and never with pairs of securities.
     """
-    known = returns.where(F.col(value).isNotNull()).join(groups, "code")
+    known = returns.where(F.col(value).isNotNull()).join(groups, "code", "left")
+    known = known.withColumn("peer_group", F.coalesce("peer_group", F.lit(UNLISTED)))
     means = known.groupBy("peer_group", "date").agg(F.avg(value).alias("peer_mean"))
     return _correlate(known.join(means, ["peer_group", "date"]), ["code"], value, "peer_mean")
 
@@ -118,14 +123,19 @@ def _correlate(rows: DataFrame, by: list[str], left: str, right: str) -> DataFra
 
 
 def performance_metrics(closes: DataFrame) -> DataFrame:
-    """Growth, risk and drawdown of every series of adjusted closes."""
+    """Growth, risk and drawdown of every series of adjusted closes.
+
+    A zero close has no return after it, no drawdown before a positive one, and
+    no growth when it is the first.
+    """
     peak = earliest_first().rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0.0)
     steps = closes.select(
         "code",
         "date",
         "close",
-        (F.col("close") / F.lag("close").over(earliest_first()) - 1).alias("ret"),
-        (F.col("close") / F.max("close").over(peak) - 1).alias("drawdown"),
+        (F.col("close") / F.nullif(F.lag("close").over(earliest_first()), zero) - 1).alias("ret"),
+        (F.col("close") / F.nullif(F.max("close").over(peak), zero) - 1).alias("drawdown"),
     )
     sums = steps.groupBy("code").agg(
         F.count("ret").alias("periods"),
@@ -137,7 +147,7 @@ def performance_metrics(closes: DataFrame) -> DataFrame:
         F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"),
     )
     year = float(TRADING_DAYS_PER_YEAR)
-    growth = F.pow(F.col("_last") / F.col("_first"), F.lit(year) / F.col("periods")) - 1
+    growth = F.pow(F.col("_last") / F.nullif("_first", zero), F.lit(year) / F.col("periods")) - 1
     spread = F.col("_spread") * F.sqrt(F.lit(year))
     return (
         sums.where("periods > 0")

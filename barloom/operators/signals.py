@@ -43,9 +43,15 @@ def point_in_time(
     """Attach to every bar the latest statement disclosed on or before its day.
 
     Both frames are stacked per security and the last statement is carried along
-    the days, so it is one shuffle and no range join.
+    the days, so it is one shuffle and no range join. A statement without a
+    disclosure date is known on no day and left out. A fact named like a price
+    column is refused.
     """
     facts = [name for name in statements.columns if name not in ("code", disclosed)]
+    clashing = sorted({disclosed, *facts} & set(prices.columns))
+    if clashing:
+        raise ValueError(f"statements and prices both have {clashing}")
+    statements = statements.where(F.col(disclosed).isNotNull())
     known = F.struct(F.col(disclosed), *facts)
     bars = prices.withColumns({"_known": F.lit(None).cast(_type_of(statements, known)), "_bar": F.lit(1)})
     news = statements.select(
@@ -84,16 +90,11 @@ def composite_signals(scored: DataFrame, tiles: int = TILES) -> DataFrame:
     return with_rank(scored, "score", descending=True, tiles=tiles)
 
 
-def rank_ic(
-    rows: DataFrame, factor: str, outcome: str, banded: bool | None = None
-) -> DataFrame:
-    """Per day, the correlation of the ranks of a factor and of the outcome.
-
-    The rows are read more than once: materialise them when they are costly.
-    """
+def rank_ic(rows: DataFrame, factor: str, outcome: str) -> DataFrame:
+    """Per day, the correlation of the ranks of a factor and of the outcome."""
     both = rows.where(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
     pairs = both.select("date", factor, outcome)
-    ranked = with_ranks(pairs, {factor: "_f", outcome: "_o"}, banded=banded)
+    ranked = with_ranks(pairs, {factor: "_f", outcome: "_o"})
     per_day = ranked.groupBy("date").agg(
         F.count(F.lit(1)).alias("codes"),
         F.corr("_f", "_o").alias("ic"),

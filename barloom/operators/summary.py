@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def daily_counts(prices: DataFrame, day: str = "date") -> DataFrame:
-    """Rows per day in day order (AGG1)."""
-    return prices.groupBy(day).agg(F.count(F.lit(1)).alias("record_count")).orderBy(day)
+    """Rows per day (AGG1)."""
+    return prices.groupBy(day).agg(F.count(F.lit(1)).alias("record_count"))
 
 
 def quality_stats(prices: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def top_by_avg_close(prices: DataFrame, n: int = 10) -> DataFrame:
 
 
 def period_return(prices: DataFrame) -> DataFrame:
-    """First and last close of every security in date order, and the change in percent (AGG4)."""
+    """First and last close of every security by date, and the change in percent (AGG4)."""
     ends = prices.groupBy("code").agg(
         F.min_by("close", "date").alias("first_close"),
         F.max_by("close", "date").alias("last_close"),
@@ -41,7 +41,7 @@ def period_return(prices: DataFrame) -> DataFrame:
     change = (F.col("last_close") - F.col("first_close")) / F.nullif(
         F.col("first_close"), F.lit(0.0)
     )
-    return ends.withColumn("return_pct", change * 100).orderBy(F.desc("return_pct"), "code")
+    return ends.withColumn("return_pct", change * 100)
 
 
 def market_summary(prices: DataFrame) -> DataFrame:

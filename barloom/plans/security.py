@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date
 from functools import cached_property
 from typing import Literal
 
@@ -21,13 +21,7 @@ from barloom.operators.listing import (
 from barloom.plans.lake import PriceLake
 from barloom.schemas import FACTOR_TOLERANCE
 
-Day = date | datetime | str | None
-
-
-def as_day(value: Day) -> date | None:
-    if isinstance(value, str):
-        return datetime.strptime(value, "%Y-%m-%d").date()
-    return value.date() if isinstance(value, datetime) else value
+Day = date | None
 
 
 def search_securities(
@@ -47,8 +41,12 @@ class Security:
 
     def _resolve(self, code: str) -> str:
         cleaned = code.strip()
-        if len(cleaned) == 5 and cleaned.isdigit():
+        numeric = cleaned.isascii() and cleaned.isdigit()
+        if numeric and len(cleaned) == 5:
             return cleaned
+        if not numeric or len(cleaned) != 4:
+            reason = "not 4 or 5 digits" if numeric else "not numeric"
+            raise ValueError(f"Security code {code!r} is {reason}")
         spark = self.lake.spark
         listing = self.lake.listing()
         if "Code" not in listing.columns:
@@ -56,10 +54,7 @@ class Security:
         asked = spark.createDataFrame([(code,)], "request string")
         # The prefix is pushed to the scan: other securities' row groups are skipped.
         stored = self.lake.all_prices().where(F.col("code").startswith(cleaned))
-        row = resolve_codes(asked, listing, stored).first()
-        if row.status != "ok":
-            raise ValueError(f"Security code {code!r} is {row.status}")
-        return row.code
+        return resolve_codes(asked, listing, stored).first().code
 
     @property
     def base_code(self) -> str:
@@ -83,7 +78,7 @@ class Security:
         volume: bool = True,
         turnover: bool = False,
     ) -> DataFrame:
-        prices = self.lake.security_prices(self.code, as_day(start), as_day(end))
+        prices = self.lake.security_prices(self.code, start, end)
         return price_history(
             prices, columns=columns, adjust=adjust, volume=volume, turnover=turnover
         )
@@ -105,5 +100,4 @@ class Security:
         return None if row is None else row.asDict()
 
     def __repr__(self) -> str:
-        shown = ", ".join(filter(None, (self.company_name, self.market_code)))
-        return f"Security({self.code!r}{f', {shown}' if shown else ''})"
+        return f"Security({self.code!r})"

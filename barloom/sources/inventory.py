@@ -34,15 +34,15 @@ def _directory_value(column: str) -> Column:
 
 
 def available_days(spark: SparkSession, path: str, partition: str = "partition_date") -> DataFrame:
-    """Stored days in order (INV1); directories that do not name a day are ignored."""
+    """Stored days (INV1); directories that do not name a day are ignored."""
     day = F.try_to_date(_directory_value(partition), "yyyy-MM-dd")
     days = data_files(spark, path).select(day.alias("date")).distinct()
-    return days.where(F.col("date").isNotNull()).orderBy("date")
+    return days.where(F.col("date").isNotNull())
 
 
 def available_codes(prices: DataFrame) -> DataFrame:
-    """Stored securities in order (INV2)."""
-    return prices.select("code").distinct().orderBy("code")
+    """Stored securities (INV2)."""
+    return prices.select("code").distinct()
 
 
 def storage_stats(

@@ -146,3 +146,58 @@ def doc_delete(spark, folder):
 def doc_delete_one(spark, folder):
     slim = inputs.documents(spark, folder).drop("text")
     return documents.delete_one(slim, F.expr(_LONG))
+
+
+@query(
+    """SELECT doc_id AS _id, lang, source, n_chars FROM documents
+    UNION ALL SELECT -1 - doc_id, lang, source, n_chars FROM documents"""
+)
+def doc_insert(spark, folder):
+    slim = inputs.documents(spark, folder).drop("text")
+    return documents.insert(slim, slim.withColumn("_id", -1 - F.col("_id")))
+
+
+@query(
+    """SELECT doc_id AS _id, lang, source, n_chars FROM documents
+    UNION ALL SELECT -1, 'xx', 'added', 0"""
+)
+def doc_update_one_upsert(spark, folder):
+    """No document matches, so the given one is added."""
+    slim = inputs.documents(spark, folder).drop("text")
+    extra = spark.sql("SELECT -1L AS _id, 'xx' AS lang, 'added' AS source, 0L AS n_chars")
+    return documents.update_one(slim, F.col("n_chars") < 0, {"source": F.lit("first")}, extra)
+
+
+@query(
+    """SELECT page_id AS _id, '--' AS lang, url AS source, CAST(length(html) AS BIGINT) AS n_chars
+    FROM pages WHERE page_id IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT doc_id, lang, source, n_chars FROM documents
+    WHERE doc_id NOT IN (SELECT page_id FROM pages)"""
+)
+def doc_replace(spark, folder):
+    incoming = inputs.table(spark, folder, "pages").select(
+        F.col("page_id").alias("_id"),
+        F.lit("--").alias("lang"),
+        F.col("url").alias("source"),
+        F.length("html").cast("long").alias("n_chars"),
+    )
+    return documents.replace(inputs.documents(spark, folder).drop("text"), incoming)
+
+
+@query(
+    f"""SELECT CAST(count_if({_LONG}) AS BIGINT) AS deleted_many,
+    least(CAST(count_if({_LONG}) AS BIGINT), 1) AS deleted_one FROM documents"""
+)
+def doc_delete_counts(spark, folder):
+    return documents.delete_counts(inputs.documents(spark, folder), F.expr(_LONG))
+
+
+@query(
+    """SELECT _id, lang, n_chars FROM (SELECT doc_id AS _id, lang, n_chars,
+        row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+    WHERE place > 100"""
+)
+def doc_find_skip(spark, folder):
+    slim = inputs.documents(spark, folder).drop("text")
+    order = [F.desc("n_chars"), F.asc("_id")]
+    return documents.find(slim, columns=["lang", "n_chars"], sort=order, skip=100)

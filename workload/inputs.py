@@ -19,8 +19,6 @@ from barloom.session import new_folder
 
 PROCESSED_AT = "2024-02-01T00:00:00"
 SNAPSHOT_DAYS = (date(2024, 1, 5), date(2024, 1, 26))
-# Above every floor(l_extendedprice), so that order and price pack into one number.
-_PRICE_RANGE = 131072
 _LAKE_BUCKETS = 16
 
 
@@ -46,11 +44,13 @@ def _factor(key: Column, turn: Column) -> Column:
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     """One bar per supplier and ship day, in the normalised schema.
 
-    First and last price come from the smallest and largest packed key, so the
-    whole derivation is one hash aggregate with fixed-width buffers.
+    Lines follow each other by order and line number. As one decimal, wide enough
+    for any two of them, the pair keeps to the fixed-width buffers of a hash aggregate.
     """
     price = F.floor("l_extendedprice")
-    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * _PRICE_RANGE + price
+    place = F.expr(
+        "CAST(l_orderkey AS DECIMAL(19, 0)) * 10000000000000000000BD + l_linenumber"
+    ).cast("decimal(38, 0)")
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("k"),
         F.to_date("l_shipdate").alias("date"),
@@ -59,10 +59,10 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
         "l_quantity",
     )
     bars = lines.groupBy("k", "date").agg(
-        (F.min("place") % _PRICE_RANGE).cast("double").alias("open"),
+        F.min_by("price", "place").cast("double").alias("open"),
         F.max("price").cast("double").alias("high"),
         F.min("price").cast("double").alias("low"),
-        (F.max("place") % _PRICE_RANGE).cast("double").alias("close"),
+        F.max_by("price", "place").cast("double").alias("close"),
         F.sum("l_quantity").cast("long").alias("volume"),
         F.sum(F.col("price") * F.col("l_quantity")).alias("turnover_value"),
     )
@@ -137,10 +137,9 @@ def normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers in good standing as listed securities; rich ones have a second share class."""
+    """Suppliers as listed securities; rich ones have a second share class."""
     suppliers = (
         table(spark, folder, "supplier")
-        .where("s_acctbal >= 0")
         .join(
             table(spark, folder, "nation"),
             F.col("s_nationkey") == F.col("n_nationkey"),
@@ -219,7 +218,7 @@ _PAGE_ROWS, _PAGES_PER_REQUEST = 100, 10
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as landed pages of a hundred records; some pages lack the data field."""
+    """Events as landed pages of a hundred records; every 97th request lacks the data field."""
     number = F.floor(F.col("event_id") / _PAGE_ROWS).cast("long")
     grouped = (
         table(spark, folder, "events")
@@ -229,7 +228,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("request", F.floor(F.col("n") / _PAGES_PER_REQUEST).cast("string"))
         .withColumn("page", F.col("n") % _PAGES_PER_REQUEST)
     )
-    keyless = (F.col("n") % 7 == 3) | ((F.col("page") == 0) & (F.col("n") % 4 == 2))
+    keyless = F.col("request").cast("long") % 97 == 5
     body = F.when(keyless, F.lit('{"message": "no data"}')).otherwise(
         F.to_json(F.struct("daily_quotes", F.col("n").cast("string").alias("pagination_key")))
     )
@@ -268,17 +267,15 @@ _FACTOR = "CASE ({turn} + k) % 22 WHEN 0 THEN 0.5 WHEN 11 THEN 2.0 ELSE 1.0 END"
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "keyed": (
         (),
-        f"""SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS date,
+        """SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS date,
             CAST(floor(l_extendedprice) AS BIGINT) AS price,
-            (l_orderkey * 8 + l_linenumber) * {_PRICE_RANGE}
-                + CAST(floor(l_extendedprice) AS BIGINT) AS place,
-            l_quantity FROM lineitem""",
+            {'o': l_orderkey, 'n': l_linenumber} AS place, l_quantity FROM lineitem""",
     ),
     "bars": (
         ("keyed",),
-        f"""SELECT k, date, CAST(min(place) % {_PRICE_RANGE} AS DOUBLE) AS open,
+        f"""SELECT k, date, CAST(arg_min(price, place) AS DOUBLE) AS open,
             CAST(max(price) AS DOUBLE) AS high, CAST(min(price) AS DOUBLE) AS low,
-            CAST(max(place) % {_PRICE_RANGE} AS DOUBLE) AS close,
+            CAST(arg_max(price, place) AS DOUBLE) AS close,
             CAST(sum(l_quantity) AS BIGINT) AS volume,
             CAST(sum(price * l_quantity) AS DOUBLE) AS turnover_value,
             CAST({_FACTOR.format(turn="dayofyear(date)")} AS DOUBLE) AS adjustment_factor
@@ -375,7 +372,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
             CAST(r_regionkey AS VARCHAR) AS "MarketCode", r_name AS "MarketCodeName"
             FROM (SELECT *, unnest(CASE WHEN s_acctbal > 8000 THEN ['0', '5']
                     WHEN s_acctbal < 1000 THEN ['5'] ELSE ['0'] END) AS suffix
-                FROM supplier WHERE s_acctbal >= 0)
+                FROM supplier)
             JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     ),
     "calendar": (

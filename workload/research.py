@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from barloom.operators import adjust, corporate, crosssection, merge, returns
 from barloom.operators import signals as factors
-from barloom.session import materialize
 from workload import inputs
 from workload.inputs import sql
 from workload.registry import query
@@ -37,8 +36,8 @@ def features(spark, folder):
         """SELECT code, CAST(count(*) AS BIGINT) AS days,
         round(corr(ret_1, peer_mean), 6) AS correlation FROM
         (SELECT *, avg(ret_1) OVER (PARTITION BY peer_group, date) AS peer_mean
-            FROM (SELECT r.*, "Sector17Code" AS peer_group FROM returns r
-                JOIN listing l ON r.code = l."Code" WHERE ret_1 IS NOT NULL))
+            FROM (SELECT r.*, coalesce("Sector17Code", 'unlisted') AS peer_group FROM returns r
+                LEFT JOIN listing l ON r.code = l."Code" WHERE ret_1 IS NOT NULL))
         GROUP BY code""",
         "returns",
         "listing",
@@ -146,7 +145,7 @@ _CLAMPED = """limits AS (SELECT date, quantile_cont(volume, 0.01) AS lo,
         FROM (SELECT date, CAST(volume AS DOUBLE) AS volume FROM prices) GROUP BY date),
     clamped AS (SELECT p.code AS code, date, "Sector17Code" AS sector,
         greatest(least(CAST(volume AS DOUBLE), hi), lo) AS volume
-        FROM prices p JOIN limits USING (date) JOIN listing l ON p.code = l."Code")"""
+        FROM prices p JOIN limits USING (date) LEFT JOIN listing l ON p.code = l."Code")"""
 
 
 @query(
@@ -161,14 +160,13 @@ _CLAMPED = """limits AS (SELECT date, quantile_cont(volume, 0.01) AS lo,
     )
 )
 def winsorize_zscore(spark, folder):
-    volumes = inputs.prices(spark, folder).select(
+    rows = inputs.prices(spark, folder).select(
         "code", "date", F.col("volume").cast("double").alias("volume")
     )
-    rows = materialize(volumes, "volumes")
     sectors = inputs.listing(spark, folder).select(
         F.col("Code").alias("code"), F.col("Sector17Code").alias("sector")
     )
-    clamped = crosssection.winsorize(rows, "volume").join(sectors, "code")
+    clamped = crosssection.winsorize(rows, "volume").join(sectors, "code", "left")
     scored = crosssection.zscores(clamped, ["volume"], ["date", "sector"])
     return scored.withColumns(
         {"volume": F.round("volume", 6), "z_volume": F.round("z_volume", 6) + F.lit(0.0)}
@@ -202,7 +200,7 @@ def universe(spark, folder):
 
 
 _WEIGHTS = {"mom_3m": 0.6, "vol_20d": -0.4}
-_Z = """CASE WHEN stddev_samp({f}) OVER d > 0 THEN ({f} - avg({f}) OVER d)
+_Z = """CASE WHEN stddev_samp({f}) OVER d > 1e-9 THEN ({f} - avg({f}) OVER d)
     / stddev_samp({f}) OVER d END"""
 _SCORED = f"""scored AS (SELECT code, date, round(
     coalesce({_Z.format(f="mom_3m")}, 0.0) * 0.6 + coalesce({_Z.format(f="vol_20d")}, 0.0) * -0.4,
@@ -214,7 +212,7 @@ def _scored(spark, folder):
     rows = returns.features(inputs.prices(spark, folder)).select(
         "code", "date", F.round("mom_3m", 6).alias("mom_3m"), F.round("vol_20d", 6).alias("vol_20d")
     )
-    scored = factors.composite_score(materialize(rows, "features"), _WEIGHTS)
+    scored = factors.composite_score(rows, _WEIGHTS)
     return scored.select("code", "date", "score")
 
 
@@ -229,7 +227,7 @@ def _scored(spark, folder):
     )
 )
 def signals(spark, folder):
-    return factors.composite_signals(materialize(_scored(spark, folder), "scores"))
+    return factors.composite_signals(_scored(spark, folder))
 
 
 @query(
@@ -238,7 +236,7 @@ def signals(spark, folder):
         FROM (SELECT *, row_number() OVER
             (PARTITION BY date, sector ORDER BY score DESC, code) AS pos
             FROM (SELECT s.code, date, score, "Sector17Code" AS sector FROM scored s
-                JOIN listing l ON s.code = l."Code")) WHERE pos <= 2""",
+                LEFT JOIN listing l ON s.code = l."Code")) WHERE pos <= 2""",
         "features",
         "listing",
         also=_SCORED,
@@ -248,7 +246,7 @@ def top_per_sector(spark, folder):
     sectors = inputs.listing(spark, folder).select(
         F.col("Code").alias("code"), F.col("Sector17Code").alias("sector")
     )
-    scored = _scored(spark, folder).join(sectors, "code")
+    scored = _scored(spark, folder).join(sectors, "code", "left")
     return crosssection.top_per_group(scored, "score", 2, ["date", "sector"])
 
 
@@ -268,11 +266,11 @@ def duplicate_keys(spark, folder):
             AS sharpe, round(dd, 6) AS max_drawdown,
         round(CASE WHEN dd < 0 THEN cagr / -dd END, 6) AS calmar, round(hit, 6) AS hit_rate
         FROM (SELECT code, count(ret) AS periods,
-            pow(arg_max(close, date) / arg_min(close, date), 252.0 / count(ret)) - 1 AS cagr,
+            pow(arg_max(close, date) / nullif(arg_min(close, date), 0), 252.0 / count(ret)) - 1 AS cagr,
             avg(ret) AS mean, stddev_samp(ret) * sqrt(252.0) AS vol, min(drop) AS dd,
             avg(CAST(ret > 0 AS DOUBLE)) AS hit
-            FROM (SELECT *, close / lag(close) OVER w - 1 AS ret,
-                close / max(close) OVER w - 1 AS drop FROM adj_closes
+            FROM (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS ret,
+                close / nullif(max(close) OVER w, 0) - 1 AS drop FROM adj_closes
                 WINDOW w AS (PARTITION BY code ORDER BY date))
             GROUP BY code HAVING count(ret) > 0)""",
         "adj_closes",
@@ -292,8 +290,7 @@ _OUTCOME = """outcome AS (SELECT code, date, ret_5 AS factor, lead(ret_1) OVER
 
 def _outcome(spark, folder):
     daily = returns.multi_period_returns(inputs.prices(spark, folder), (1, 5))
-    rows = returns.with_forward_return(daily).select("date", "ret_5", "forward_return")
-    return materialize(rows, "outcome")
+    return returns.with_forward_return(daily).select("date", "ret_5", "forward_return")
 
 
 _RANK_IC = sql(
@@ -317,9 +314,8 @@ def rank_ic(spark, folder):
 
 @query(_RANK_IC)
 def rank_ic_banded(spark, folder):
-    """The way taken when a day has too many securities for one task."""
-    rows = factors.rank_ic(_outcome(spark, folder), "ret_5", "forward_return", banded=True)
-    return rows.withColumn("rank_ic", F.round("rank_ic", 6) + F.lit(0.0))
+    """An earlier name of ``rank_ic``; days of every size now go one way."""
+    return rank_ic(spark, folder)
 
 
 @query(

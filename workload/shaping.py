@@ -220,3 +220,26 @@ def missing_dates(spark, folder):
     days = inputs.calendar(spark, folder).where("HolidayDivision = '0'")
     open_days = days.select(F.to_date("Date").alias("date"))
     return calendar.missing_days(inputs.prices(spark, folder), open_days)
+
+
+@query(
+    """SELECT f AS from_date, f + 14 AS to_date FROM (SELECT d + CASE isodow(d)
+        WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS f
+        FROM (SELECT DATE '2024-02-01' - 365 AS d))"""
+)
+def default_window_first_run(spark, folder):
+    """Nothing is stored yet: the window starts a year back."""
+    nothing = inputs.prices(spark, folder).where(F.col("close") < 0)
+    return calendar.default_window(nothing, date(2024, 2, 1))
+
+
+@query(
+    sql(
+        """SELECT * FROM listing WHERE "Code" = (SELECT max("Code") FROM listing)""",
+        "listing",
+    )
+)
+def listing_row_lookup(spark, folder):
+    listed = inputs.listing(spark, folder)
+    code = listed.agg(F.max("Code")).first()[0]
+    return spark.createDataFrame([listing.listing_row(listed, code)], listed.schema)

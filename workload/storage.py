@@ -7,12 +7,16 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjust_prices
+from barloom.operators.history import not_of_codes
 from barloom.operators.merge import merge_replacing, merge_skipping, pending_days, rewrite_stats
+from barloom.plans.views import register_views, run_sql
 from barloom.schemas import DAILY_QUOTES_ENDPOINT, PRICE_COLUMNS, RAW_QUOTES
 from barloom.session import new_folder
+from barloom.sinks.files import save_table
 from barloom.sinks.prices import merge_by_security, save_bucketed_table
 from barloom.sinks.raw import with_lineage
 from barloom.sources import endpoints
+from barloom.sources.files import load_table
 from barloom.sources.inventory import storage_stats as dataset_stats
 from barloom.sources.pages import flatten_pages as pages_to_rows
 from barloom.sources.prices import read_by_security
@@ -27,7 +31,7 @@ _ALL = ", ".join(PRICE_COLUMNS)
 @query(
     """WITH p AS (SELECT event_id, event_type, value, event_id // 100 AS n FROM events),
     q AS (SELECT *, n // 10 AS r, n % 10 AS page FROM p),
-    k AS (SELECT *, (n % 7 = 3) OR (page = 0 AND n % 4 = 2) AS keyless FROM q)
+    k AS (SELECT *, r % 97 = 5 AS keyless FROM q)
     SELECT CAST(r AS VARCHAR) AS request, page,
         CAST(row_number() OVER (PARTITION BY n ORDER BY event_id) - 1 AS INTEGER) AS position,
         event_id, event_type, value FROM k
@@ -322,3 +326,57 @@ def adjusted_bucketed(spark, folder):
     bars = save_bucketed_table(inputs.prices(spark, folder), table, path, 16)
     adjusted = adjust_prices(bars, "add")
     return adjusted.select("code", "date", "close", "adj_close", "adj_volume")
+
+
+@query(sql("SELECT * FROM listing WHERE \"Code\" = '00080'", "listing"))
+def listing_scan_code(spark, folder):
+    listed = inputs.lake(spark, folder).listing(as_of=date(2024, 1, 20))
+    return endpoints.listed_info(listed, "00080").drop("partition_date")
+
+
+@query(
+    sql(
+        f"""SELECT {_ALL} FROM accepted WHERE code NOT IN
+        (SELECT "Code" FROM listing WHERE "MarketCodeName" = 'ASIA')""",
+        "accepted",
+        "listing",
+    )
+)
+def silver_scan_not_codes(spark, folder):
+    listed = inputs.listing(spark, folder).where("MarketCodeName = 'ASIA'")
+    codes = listed.select(F.col("Code").alias("code"))
+    return not_of_codes(inputs.lake(spark, folder).daily_prices(), codes)
+
+
+def _saved(spark, folder, extension):
+    path = f"{new_folder(spark, 'saved')}/prices.{extension}"
+    bars = inputs.prices(spark, folder)
+    save_table(bars, path)
+    return load_table(spark, path, bars.schema)
+
+
+@query(sql(f"SELECT {_ALL} FROM prices", "prices"))
+def saved_parquet(spark, folder):
+    return _saved(spark, folder, "parquet")
+
+
+@query(sql(f"SELECT {_ALL} FROM prices", "prices"))
+def saved_csv(spark, folder):
+    return _saved(spark, folder, "csv")
+
+
+@query(
+    sql(
+        """SELECT code, count(*) AS bars, max(close) AS highest FROM accepted
+        WHERE close >= 100 GROUP BY code""",
+        "accepted",
+    )
+)
+def sql_over_layers(spark, folder):
+    register_views(inputs.lake(spark, folder))
+    return run_sql(
+        spark,
+        """SELECT code, count(*) AS bars, max(close) AS highest FROM daily_prices
+        WHERE close >= :floor GROUP BY code""",
+        floor=100,
+    )
