@@ -11,10 +11,14 @@ may have ahead of the first one in common: n - ceil(percent * n / 100) in all. T
 meet in the region of their first common pivot, for any order. The order only decides how full
 regions get; it comes from a bounded sample of documents.
 
-Inside a region, two of its documents serve as pivots. Everything within ``eps`` of a pivot is
+Inside a region, two of its documents serve as pivots, in fuller ones six. Everything within ``eps`` of a pivot is
 linked to it, so its members form one component and need no further comparison. What is left are
-pairs from different components; the triangle inequality drops those whose distances to a pivot
-differ by more than ``eps``, and the others are compared exactly.
+pairs from different components, each formed in one of their common regions; the triangle inequality drops those whose distances to a pivot
+differ by more than ``eps``.
+
+Before any two sets are fetched, their images in a coarser space are compared: counts of their
+items in 64 hash bins, whose city-block distance is never above the size of the sets' symmetric
+difference. Unrelated texts are far apart there too. The pairs left are compared exactly.
 """
 
 from __future__ import annotations
@@ -32,12 +36,16 @@ from barloom.session import materialize
 
 WORDS = 5
 PERCENT = 80
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 # Documents whose n-grams decide which pivots come last.
 SAMPLE = 4_000
 FREQUENT = 3
 # Bits of the filter that spares most documents without candidates the second pass.
 FILTER_BITS = 1 << 25
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+BINS = 64
+# Regions with at least so many members get the further pivots, the smallest keys under these masks.
+FULL = 8
+_MASKS = tuple((odd * 0xBF58476D1CE4E5B9) % (1 << 63) for odd in (*_ODD, 0x165667B19E3779F9))
 
 
 def ngram_set(text: str | None, n: int) -> np.ndarray:
@@ -82,6 +90,24 @@ def pivots_of(
     return np.concatenate([rare, late[np.lexsort((late, weight))][: most - len(rare)]])
 
 
+def bins_of(items: np.ndarray) -> np.ndarray:
+    """How many items fall into each of BINS hash bins, stopping at the largest short."""
+    held = np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=BINS)
+    return np.minimum(held, 32767).astype(np.int16)
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and bins of two sets (columns size_<a>, bins_<a>, ...) allow a link."""
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+    gaps = F.zip_with(
+        f"bins_{a}", f"bins_{b}", lambda x, y: F.abs(x.cast("int") - y.cast("int"))
+    )
+    apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (
+        (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
+    )
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -129,21 +155,24 @@ def frequent_ngrams(docs: DataFrame, n: int, most: int = SAMPLE) -> tuple[np.nda
 
 
 def nodes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, key and size of each document's set, and its pivots. Empty sets have key null."""
+    """doc_id, key, size and bins of each document's set, and its pivots. Empty sets have key null."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, n))
 
     def each(part: pa.RecordBatch, sets) -> list[pa.Array]:
         found = sets(part.column(1).to_pylist())
         keys = [set_key(items) if len(items) else None for items in found]
+        bins = np.concatenate([bins_of(items) for items in found])
+        offsets = np.arange(0, len(bins) + 1, BINS, dtype=np.int32)
         return [
             part.column(0),
             pa.array(keys, pa.int64()),
             pa.array([len(items) for items in found], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins)),
             _longs([pivots_of(items, percent, *shared.value) for items in found]),
         ]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key bigint, size bigint, pivots array<bigint>"
+    schema = f"doc_id {kind}, key bigint, size bigint, bins array<smallint>, pivots array<bigint>"
     return _map_sets(docs.select("doc_id", "text"), n, schema, each)
 
 
@@ -189,21 +218,29 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
     return materialize(rows.dropDuplicates(["key"]), "ngram-sets")
 
 
-def distances(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """a, b, distance and linked for those pairs of keys whose sizes allow a link."""
-    a = sizes.select(F.col("key").alias("a"), F.col("size").alias("size_a"))
-    b = sizes.select(F.col("key").alias("b"), F.col("size").alias("size_b"))
-    fitting = (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    )
-    shared = F.size(F.array_intersect("items_a", "items_b"))
+def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of keys whose sizes and bins allow a link."""
+    for end in ("a", "b"):
+        side = points.select(
+            F.col("key").alias(end),
+            F.col("size").alias(f"size_{end}"),
+            F.col("bins").alias(f"bins_{end}"),
+        )
+        pairs = pairs.join(side, end)
+    return pairs.where(may_link("a", "b", percent)).select("a", "b", "size_a", "size_b")
+
+
+def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b, distance and linked of ``possible`` pairs, from their whole sets."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = points.select("key", "first").join(keys, "key").select(F.col("first").alias("doc_id"))
+    sets = sets_of(docs, wanted, n)
+    shared = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
     together = F.col("size_a") + F.col("size_b") - F.col("shared")
     return (
-        fitting.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b")
+        pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b")
         .join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
-        .select("a", "b", "size_a", "size_b", shared.cast("bigint").alias("shared"))
+        .select("a", "b", "size_a", "size_b", shared.alias("shared"))
         .select(
             "a",
             "b",
@@ -241,6 +278,10 @@ def components(edges: DataFrame) -> DataFrame:
         roots = moved.select("node", "root")
 
 
+_CENTRES = f"""array_distinct(CASE WHEN members < {FULL} THEN array(low, high)
+    ELSE array(low, high, {", ".join(f"p{i}" for i in range(len(_MASKS)))}) END)"""
+
+
 def linked_components(
     docs: DataFrame, n: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -256,53 +297,57 @@ def linked_components(
     """
     nodes = materialize(nodes_of(docs, n, percent), "ngram-nodes")
     held = nodes.where("key IS NOT NULL")
-    classes = settle(
-        held.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("size").alias("size"))
+    points = settle(
+        held.groupBy("key").agg(
+            F.min("doc_id").alias("first"),
+            F.min("size").alias("size"),
+            F.first("bins").alias("bins"),
+        )
     )
     members = held.select("key", "pivots").dropDuplicates(["key"]).select(
         F.explode("pivots").alias("pivot"), "key"
     )
     regions = (
         members.groupBy("pivot")
-        .agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        .agg(
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+            F.count(F.lit(1)).alias("members"),
+            *[F.expr(f"min(key ^ {m}L) ^ {m}L").alias(f"p{i}") for i, m in enumerate(_MASKS)],
+        )
         .where("low < high")
+        .select("pivot", F.expr(_CENTRES).alias("centres"))
     )
     shared = materialize(members.join(regions, "pivot"), "ngram-regions")
-    keys = shared.select("key").distinct()
-    sizes = settle(classes.join(keys, "key"))
-    sets = sets_of(docs, sizes.select(F.col("first").alias("doc_id")), n)
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    to_pivots = (
-        shared.where("key != low")
-        .select(*ordered("low", "key"))
-        .union(shared.where("key != high").select(*ordered("high", "key")))
-        .distinct()
-    )
-    first = settle(distances(to_pivots, sets, sizes, percent))
-    roots = components(first.where("linked"))
-    rest = settle(distances(_open_pairs(shared, first, roots, sizes, percent), sets, sizes, percent))
-    links = first.where("linked").select("a", "b").union(rest.where("linked").select("a", "b"))
+    to_centres = shared.select("key", F.explode("centres").alias("centre"))
+    to_centres = to_centres.where("key != centre").select(*ordered("centre", "key")).distinct()
+    near = settle(possible(to_centres, points, percent))
+    first = settle(distances(docs, near, points, n, percent))
+    links = first.where("linked").select("a", "b")
     roots = components(links)
+    open_pairs = settle(_open_pairs(shared, first, roots, points, percent))
+    rest = settle(distances(docs, open_pairs, points, n, percent).where("linked"))
+    roots = components(links.union(rest.select("a", "b")))
+    classes = points.select("key", "first")
     joined = roots.withColumnRenamed("node", "key").join(classes, "key")
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
     named = joined.join(lowest, "root").select("key", "lowest")
-    result = nodes.join(classes.select("key", "first"), "key", "left").join(named, "key", "left")
+    result = nodes.select("doc_id", "key", "size").join(classes, "key", "left").join(named, "key", "left")
     own = F.coalesce("lowest", "first", "doc_id")
     return result.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
 
 def _open_pairs(
-    shared: DataFrame, first: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int
+    shared: DataFrame, first: DataFrame, roots: DataFrame, points: DataFrame, percent: int
 ) -> DataFrame:
     """Pairs of a region that lie in different components and may still be within ``eps``."""
     eps = 1 - percent / 100 + 1e-9
-    placed = (
-        shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
-        .withColumn("root", F.coalesce("root", "key"))
-        .join(sizes.select("key", "size"), "key")
+    placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "root", F.coalesce("root", "key")
     )
     mixed = (
         placed.groupBy("pivot")
@@ -310,7 +355,10 @@ def _open_pairs(
         .where("least < most")
         .select("pivot")
     )
-    inside = placed.join(mixed, "pivot").where("key != low AND key != high")
+    inside = placed.where(~F.array_contains("centres", F.col("key"))).join(mixed, "pivot")
+    inside = settle(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
+    # as many as the document has pivots at most
+    own = inside.groupBy("key").agg(F.collect_set("pivot").alias("pivots"))
     to_low = first.select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("from_low")
     )
@@ -318,22 +366,25 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .select("pivot", "key", "root", "size", "from_low")
+        .join(points.select("key", "size", "bins"), "key")
+        .join(own, "key")
+        .select("pivot", "key", "root", "size", "bins", "pivots", "from_low")
     )
-    inside = settle(inside)
-    left, right = inside.alias("l"), inside.alias("r")
-    near = F.coalesce(F.abs(F.col("l.from_low") - F.col("r.from_low")) <= eps, F.lit(True))
+    sides = {
+        end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
+        for end in ("a", "b")
+    }
+    near = F.abs(F.col("from_low_a") - F.col("from_low_b")) <= eps
     return (
-        left.join(
-            right,
-            (F.col("l.pivot") == F.col("r.pivot"))
-            & (F.col("l.root") < F.col("r.root"))
-            & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
-            & near,
-        )
-        .select(
-            F.least("l.key", "r.key").alias("a"),
-            F.greatest("l.key", "r.key").alias("b"),
+        sides["a"]
+        .join(
+            sides["b"],
+            (F.col("pivot_a") == F.col("pivot_b"))
+            & (F.col("key_a") < F.col("key_b"))
+            & (F.col("root_a") != F.col("root_b"))
+            & F.coalesce(near, F.lit(True))
+            & may_link("a", "b", percent)
+            & (F.col("pivot_a") == F.array_min(F.array_intersect("pivots_a", "pivots_b"))),
         )
-        .distinct()
+        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b")
     )

@@ -20,8 +20,8 @@ END = 1
 BLOCK = 128
 # Share of a block's values that fit its packed width; the others are exceptions.
 PERCENTILE = 90
-SEGMENT = 1 << 20
-MOST_WORDS = 400_000
+SEGMENT = 1 << 18
+MOST_WORDS = 200_000
 _HEADER = struct.Struct("<4sBxHIQI")
 _MAGIC = b"PFR1"
 _BLOCK_HEADER = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "u1")])
@@ -202,12 +202,12 @@ class WordEncoder:
         fresh = self.parts.fresh()
         if not fresh:
             return
-        plain = np.fromiter((p.isalpha() and max(p) < "\u0130" for p in fresh), bool, len(fresh))
+        plain = np.fromiter((p.isalpha() and (p.isascii() or max(p) < "\u0130") for p in fresh), bool, len(fresh))
         counts = np.zeros(len(fresh), np.int64)
         flat = np.empty(0, np.uint32)
         if plain.any():
             text = " ".join(p for p, is_plain in zip(fresh, plain, strict=True) if is_plain)
-            whole = self.tokenizer.encode(text, add_special_tokens=False)
+            whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             counts[plain] = np.bincount(np.array(whole.word_ids, np.int64), minlength=plain.sum())
             flat = np.array(whole.ids, np.uint32)
         others = [p for p, is_plain in zip(fresh, plain, strict=True) if not is_plain]
