@@ -17,6 +17,7 @@ from barloom.llm.sentencepieces import spread
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
+SUFFIX = "</w>"
 BLOCK = 128
 # Share of a block's values that fit its packed width; the others are exceptions.
 PERCENTILE = 90
@@ -183,6 +184,16 @@ class Runs:
         return self.ids[spread(self.starts[places], lengths)], lengths
 
 
+    def trim(self, most: int) -> None:
+        """Forget all but the first ``most`` keys; frequent ones come early."""
+        if len(self.rows) <= most:
+            return
+        while len(self.rows) > most:
+            self.rows.popitem()
+        self.starts, self.counts = self.starts[:most].copy(), self.counts[:most].copy()
+        self.ids = self.ids[: self.starts[-1] + self.counts[-1]].copy()
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
@@ -195,6 +206,10 @@ class WordEncoder:
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        # The last piece of every word says so in its name.
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for name, i in vocabulary.items() if name.endswith(SUFFIX)]] = True
         self.words, self.parts = Runs(), Runs()
 
     def _encode_parts(self) -> None:
@@ -208,8 +223,8 @@ class WordEncoder:
         if plain.any():
             text = " ".join(p for p, is_plain in zip(fresh, plain, strict=True) if is_plain)
             whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-            counts[plain] = np.bincount(np.array(whole.word_ids, np.int64), minlength=plain.sum())
             flat = np.array(whole.ids, np.uint32)
+            counts[plain] = np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
         others = [p for p, is_plain in zip(fresh, plain, strict=True) if not is_plain]
         each = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
         own = [np.array(one.ids, np.uint32) for one in each]
@@ -223,18 +238,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and how many each text has."""
-        if len(self.words.rows) > MOST_WORDS:
-            self.words, self.parts = Runs(), Runs()
         places = [self.words.places((text or "").split()) for text in texts]
-        pairs = []
-        for word in self.words.fresh():
-            core = word.rstrip(self.marks)
-            if core.isalpha():
-                pairs.append(core.lower() if core.isascii() else core)
-                pairs.append(word[len(core) :])
-            else:
-                pairs.append(word)
-                pairs.append("")
+        fresh = self.words.fresh()
+        cores = [word.rstrip(self.marks) for word in fresh]
+        whole = [not core.isalpha() for core in cores]
+        pairs = [""] * (2 * len(fresh))
+        pairs[::2] = [
+            word if keep else core.lower() if core.isascii() else core
+            for word, core, keep in zip(fresh, cores, whole, strict=True)
+        ]
+        pairs[1::2] = [
+            "" if keep else word[len(core) :]
+            for word, core, keep in zip(fresh, cores, whole, strict=True)
+        ]
         if pairs:
             halves = self.parts.places(pairs)
             self._encode_parts()
@@ -243,6 +259,8 @@ class WordEncoder:
         flat, lengths = self.words.get(np.concatenate(places) if places else np.empty(0, np.int64))
         ends = np.cumsum([0, *map(len, places)])
         ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
+        self.words.trim(MOST_WORDS)
+        self.parts.trim(MOST_WORDS)
         return np.insert(flat, ends[1:], np.uint32(END)), np.diff(ends) + 1
 
 
