@@ -21,6 +21,7 @@ HELD_OUT = 1
 THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
 LONGEST = 40
+LEAST_BIAS = -9.0
 STEMS = (3, 4, 5)
 PER_WORD = 1 + len(STEMS)
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -142,7 +143,7 @@ def fit(
     """
     model = Model(np.zeros(1 << BITS), -5.0)
     labels = labels.astype(float)
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(set(labels.tolist())) < 2:
         return model
     held = {0.0: np.zeros(1 << BITS), 1.0: np.zeros(1 << BITS)}
     for text, label in zip(texts, labels, strict=True):
@@ -183,6 +184,7 @@ def fit(
         unbiased = first / (1 - 0.9**step)
         theta -= rate * unbiased / (np.sqrt(second / (1 - 0.99**step)) + 3e-4)
         theta[:-1] = np.maximum(theta[:-1], 0.0)
+        theta[-1] = max(theta[-1], LEAST_BIAS)
     model.weights[used], model.bias = theta[:-1], float(theta[-1])
     return model
 
