@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from tools.compare import connect, difference, rows_of_spark, rows_of_sql
+from workload.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,14 +22,14 @@ def test_entry(spark):
 
 
 def test_every_statement_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"storage_sizes"}
+    assert set(ORACLES) <= set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"storage_sizes"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    ours = rows_of_spark(queries()[name](spark, FOLDER))
-    if name in oracle_sql():
-        assert difference(ours, rows_of_sql(tables, oracle_sql()[name])) is None
+    ours = rows_of_spark(QUERIES[name](spark, FOLDER))
+    if name in ORACLES:
+        assert difference(ours, rows_of_sql(tables, ORACLES[name])) is None
     else:
         assert ours[1]
