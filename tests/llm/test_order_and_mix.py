@@ -74,8 +74,8 @@ def test_edited_texts(spark):
 def test_sketches_merge(spark):
     left = " ".join(f"a{i}" for i in range(400))
     right = " ".join(f"b{i}" for i in range(30))
-    rows = spark.createDataFrame([(left, right)], "l string, r string")
-    one, other = fingerprints.sketch(F.col("l")), fingerprints.sketch(F.col("r"))
+    rows = spark.createDataFrame([(left, right)], "left string, right string")
+    one, other = fingerprints.sketch(F.col("left")), fingerprints.sketch(F.col("right"))
     row = rows.select(
         one.alias("l"),
         other.alias("r"),
