@@ -17,8 +17,9 @@ pairs from different components, each formed in one of their common regions; the
 differ by more than ``eps``.
 
 Before any two sets are fetched, their images in a coarser space are compared: counts of their
-items in 64 hash bins, whose city-block distance is never above the size of the sets' symmetric
-difference. Unrelated texts are far apart there too. The pairs left are compared exactly.
+items in 64 hash bins, and for large sets in 1024, whose city-block distance is never above the
+size of the sets' symmetric difference. Unrelated texts are far apart there too. The pairs left
+are compared exactly.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ FREQUENT = 3
 # Bits of the filter that spares most documents without candidates the second pass.
 FILTER_BITS = 1 << 25
 BINS = 64
+FINE_BINS = 1024
+# Sets above this size have fine bins as well.
+LARGE = 700
 # Regions with at least so many members get the further pivots, the smallest keys under these masks.
 FULL = 8
 _MASKS = tuple((odd * 0xBF58476D1CE4E5B9) % (1 << 63) for odd in (*_ODD, 0x165667B19E3779F9))
@@ -90,28 +94,41 @@ def pivots_of(
     return np.concatenate([rare, late[np.lexsort((late, weight))][: most - len(rare)]])
 
 
-def bins_of(items: np.ndarray) -> np.ndarray:
-    """How many items fall into each of BINS hash bins, stopping at the largest short."""
-    held = np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=BINS)
-    return np.minimum(held, 32767).astype(np.int16)
+def bins_of(items: np.ndarray, bins: int = BINS, most: int = 32767) -> np.ndarray:
+    """How many items fall into each hash bin (a power of two of them), stopping at ``most``."""
+    shift = np.uint64(65 - bins.bit_length())
+    held = np.bincount((items >> shift).astype(np.int64), minlength=bins)
+    return np.minimum(held, most).astype(np.int16)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and bins of two sets (columns size_<a>, bins_<a>, ...) allow a link."""
+    """Whether sizes and bins of two sets (columns size_<a>, bins_<a>, fine_<a>, ...) allow a link."""
     size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
-    gaps = F.zip_with(
-        f"bins_{a}", f"bins_{b}", lambda x, y: F.abs(x.cast("int") - y.cast("int"))
-    )
-    apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
-    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & (
-        (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
+
+    def close(name: str) -> Column:
+        gaps = F.zip_with(
+            f"{name}_{a}", f"{name}_{b}", lambda x, y: F.abs(x.cast("int") - y.cast("int"))
+        )
+        apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
+        return (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
+
+    without_fine = F.least(F.size(f"fine_{a}"), F.size(f"fine_{b}")) == 0
+    return (
+        (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
+        & close("bins")
+        & (without_fine | close("fine"))
     )
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
     offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays) if arrays else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind, copy=False)))
+
+
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    """Unsigned items as signed longs, bit by bit."""
+    return _lists([array.view(np.int64) for array in arrays], np.int64)
 
 
 def _map_sets(docs: DataFrame, n: int, schema: str, each) -> DataFrame:
@@ -161,18 +178,19 @@ def nodes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def each(part: pa.RecordBatch, sets) -> list[pa.Array]:
         found = sets(part.column(1).to_pylist())
         keys = [set_key(items) if len(items) else None for items in found]
-        bins = np.concatenate([bins_of(items) for items in found])
-        offsets = np.arange(0, len(bins) + 1, BINS, dtype=np.int32)
+        none = np.empty(0, np.int16)
+        fine = [bins_of(s, FINE_BINS, 127) if len(s) > LARGE else none for s in found]
         return [
             part.column(0),
             pa.array(keys, pa.int64()),
             pa.array([len(items) for items in found], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins)),
+            _lists([bins_of(items) for items in found], np.int16),
+            _lists(fine, np.int8),
             _longs([pivots_of(items, percent, *shared.value) for items in found]),
         ]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key bigint, size bigint, bins array<smallint>, pivots array<bigint>"
+    schema = f"doc_id {kind}, key bigint, size bigint, bins array<smallint>, fine array<tinyint>, pivots array<bigint>"
     return _map_sets(docs.select("doc_id", "text"), n, schema, each)
 
 
@@ -225,6 +243,7 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             F.col("key").alias(end),
             F.col("size").alias(f"size_{end}"),
             F.col("bins").alias(f"bins_{end}"),
+            F.col("fine").alias(f"fine_{end}"),
         )
         pairs = pairs.join(side, end)
     return pairs.where(may_link("a", "b", percent)).select("a", "b", "size_a", "size_b")
@@ -302,6 +321,7 @@ def linked_components(
             F.min("doc_id").alias("first"),
             F.min("size").alias("size"),
             F.first("bins").alias("bins"),
+            F.first("fine").alias("fine"),
         )
     )
     members = held.select("key", "pivots").dropDuplicates(["key"]).select(
@@ -366,9 +386,9 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .join(points.select("key", "size", "bins"), "key")
+        .join(points.select("key", "size", "bins", "fine"), "key")
         .join(own, "key")
-        .select("pivot", "key", "root", "size", "bins", "pivots", "from_low")
+        .select("pivot", "key", "root", "size", "bins", "fine", "pivots", "from_low")
     )
     sides = {
         end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
