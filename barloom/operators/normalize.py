@@ -30,13 +30,14 @@ def normalize_quotes(
     processed_at: str,
     on_bad_value: Literal["fail", "flag"] = "fail",
     keep: Sequence[str] = (),
+    keep_incomplete: Column | None = None,
 ) -> DataFrame:
     """Rename, type, filter and fill one or many days of raw quotes.
 
     ``fail`` casts strictly, so one malformed price ends the job. ``flag`` keeps
     malformed rows and marks them in ``_bad_value``, so that a later step can
-    reject only their days. ``keep`` names further columns to carry along. Rows
-    keep no particular order.
+    reject only their days, and so do rows that meet ``keep_incomplete``. ``keep``
+    names further columns to carry along. Rows keep no particular order.
     """
     strict = on_bad_value == "fail"
     price = strict_double if strict else lenient_double
@@ -58,7 +59,8 @@ def normalize_quotes(
         typed = raw.select(*columns, *keep).where(complete)
         return fill_adj_close(typed).select(*PRICE_COLUMNS, *keep)
     flagged = raw.select(*columns, _has_bad_value().alias(BAD_VALUE), *keep)
-    typed = flagged.where(complete | F.col(BAD_VALUE))
+    stays = F.lit(False) if keep_incomplete is None else keep_incomplete
+    typed = flagged.where(complete | F.col(BAD_VALUE) | stays)
     return fill_adj_close(typed).select(*PRICE_COLUMNS, BAD_VALUE, *keep)
 
 

@@ -9,6 +9,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from barloom.operators.history import in_days
+from barloom.operators.merge import pending_days
 from barloom.schemas import (
     DAILY_PRICES_TABLE,
     DAILY_QUOTES_ENDPOINT,
@@ -24,7 +26,7 @@ from barloom.sinks.prices import (
 from barloom.sinks.raw import store_raw
 from barloom.sources.inventory import available_codes, available_days, security_stats, storage_stats
 from barloom.sources.prices import read_by_security, read_daily_prices, read_security_prices
-from barloom.sources.raw import PARTITION, read_latest, read_raw
+from barloom.sources.raw import read_latest, read_raw
 
 DEFAULT_BUCKETS = 64
 
@@ -94,12 +96,22 @@ class PriceLake:
         force: bool = False,
         processed_at: str | None = None,
     ) -> DataFrame:
-        between = (start or date.min, end or date.max)
-        raw = self.raw(DAILY_QUOTES_ENDPOINT, between=between)
-        if PARTITION not in raw.columns:
+        landed = in_days(self.raw_days(DAILY_QUOTES_ENDPOINT), start, end)
+        if landed.isEmpty():
             raise LookupError("no raw daily quotes are stored")
-        clock = processed_at or datetime.now().isoformat()
-        return normalize_and_store(raw, self.prices_path, self.quarantine_path, clock, force)
+        wanted = pending_days(landed, self.price_days(), force).orderBy("date").collect()
+        return self.normalize_days([row.date.isoformat() for row in wanted], processed_at)
+
+    def normalize_days(self, days: list[str], processed_at: str | None = None) -> DataFrame:
+        """Normalise the given landed days, stored already or not."""
+        return normalize_and_store(
+            self.spark,
+            f"{self.raw_root}/{DAILY_QUOTES_ENDPOINT}",
+            days,
+            self.prices_path,
+            self.quarantine_path,
+            processed_at or datetime.now().isoformat(),
+        )
 
     def daily_prices(
         self,

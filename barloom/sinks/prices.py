@@ -3,65 +3,81 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.operators.merge import keep_last, new_rows_only, pending_days
+from barloom.operators.merge import keep_last, new_rows_only
 from barloom.operators.normalize import normalize_quotes
-from barloom.operators.quality import quality_report
-from barloom.schemas import PRICE_COLUMNS
-from barloom.session import materialize, new_folder
+from barloom.operators.quality import SCHEMA_GAP, quality_report
+from barloom.schemas import PRICE_COLUMNS, RAW_QUOTES
+from barloom.session import new_folder, remove_folder
 from barloom.sinks.raw import write_days
-from barloom.sources.inventory import available_days
 from barloom.sources.prices import BUCKET, YEAR, bucket_of, read_by_security
-from barloom.sources.raw import PARTITION
+from barloom.sources.raw import PARTITION, read_days_by_schema
 
 logger = logging.getLogger(__name__)
+_FRESH = "_fresh"
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def normalize_and_store(
-    raw: DataFrame,
+    spark: SparkSession,
+    raw_path: str,
+    days: list[str],
     prices_path: str,
     quarantine_path: str,
     processed_at: str,
-    force: bool = False,
 ) -> DataFrame:
-    """Normalise every raw day not stored yet; set aside the days that fail (SNK3, DQ2).
-
-    ``raw`` carries ``partition_date``, the day it was landed under; a day is
-    validated and stored under it as a whole. All days go through the same few
-    jobs, and a bad day does not stop the others. Returns the report of the days
-    looked at. Day lists are bounded by the calendar, so they may pass through
-    the driver, where they become partition filters of the scans.
+    """Normalise the given raw days; set aside those that fail (SNK3, DQ2).
+
+    A day is validated and stored as a whole under the day it was landed under.
+    Days go through the same few jobs, one scan per schema found among their
+    files; a day whose files lack a column, or hold rows of another date, is
+    rejected like one with bad rows, and a bad day does not stop the others. The
+    last verdict counts: a day leaves the quarantine when it is accepted, and the
+    accepted prices when it is rejected. Returns the report of the days, which are
+    bounded by the calendar and so may pass through the driver.
     """
-    spark = raw.sparkSession
-    landed = raw.select(F.to_date(PARTITION).alias("date"))
-    pending = pending_days(landed, available_days(spark, prices_path), force)
-    expected = pending.select(F.col("date").cast("string").alias(PARTITION))
-    days = [row[0] for row in expected.collect()]
-    normalized = _of_days(raw, days, processed_at)
-    # Stored, so that both writes and every retried task see the same verdict.
     expected = spark.createDataFrame([(day,) for day in days], f"{PARTITION} string")
-    report = materialize(quality_report(normalized, PARTITION, expected), "quality")
+    frames = [_normalized(raw, processed_at) for raw in read_days_by_schema(spark, raw_path, days)]
+    if not frames:
+        nothing = spark.createDataFrame([], RAW_QUOTES).withColumn(PARTITION, F.lit(""))
+        frames = [_normalized(nothing, processed_at)]
+    rows = reduce(DataFrame.unionByName, frames)
+    report = quality_report(rows, PARTITION, expected)
+    # As plain rows, so that both writes and every retried task see one verdict.
+    report = spark.createDataFrame(report.collect(), report.schema)
     verdict = {row[PARTITION]: row.valid for row in report.select(PARTITION, "valid").collect()}
     accepted = [day for day in days if verdict[day]]
     rejected = [day for day in days if not verdict[day]]
     if accepted:
-        rows = _of_days(raw, accepted, processed_at).select(*PRICE_COLUMNS, PARTITION)
-        write_days(rows, prices_path, PARTITION)
+        good = rows.where(F.col(PARTITION).isin(accepted)).select(*PRICE_COLUMNS, PARTITION)
+        write_days(good, prices_path, PARTITION)
     if rejected:
-        rows = _of_days(raw, rejected, processed_at).join(
+        bad = rows.where(F.col(PARTITION).isin(rejected)).join(
             F.broadcast(report.select(PARTITION, "reason")), PARTITION
         )
-        write_days(rows, quarantine_path, PARTITION)
+        write_days(bad, quarantine_path, PARTITION)
+    for others, path in ((accepted, quarantine_path), (rejected, prices_path)):
+        for day in others:
+            remove_folder(spark, f"{path}/{PARTITION}={day}")
     return report
 
 
-def _of_days(raw: DataFrame, days: list[str], processed_at: str) -> DataFrame:
-    chosen = raw.where(F.col(PARTITION).isin(days))
-    return normalize_quotes(chosen, processed_at, "flag", [PARTITION])
+def _normalized(raw: DataFrame, processed_at: str) -> DataFrame:
+    """Flagged rows; columns the frame lacks are null, and its rows say so."""
+    plain = {f.name for f in raw.schema if not isinstance(f.dataType, _NESTED)}
+    missing = [name for name in RAW_QUOTES.fieldNames() if name not in plain]
+    filled = raw.withColumns({name: F.lit(None).cast("string") for name in missing})
+    marked = filled.withColumn(SCHEMA_GAP, F.lit(bool(missing)))
+    keep = [PARTITION, SCHEMA_GAP]
+    return normalize_quotes(marked, processed_at, "flag", keep, F.col(SCHEMA_GAP))
 
 
 def write_by_security(
@@ -70,12 +86,13 @@ def write_by_security(
     """Write bars clustered by security; ``overwrite`` replaces the partitions they touch.
 
     A bucket holds many securities, so files stay large; the year bounds a
-    partition and confines a daily increment to the current year. Rebalancing
-    splits a partition that is too large for one task.
+    partition and confines a daily increment to the current year. Rows are dealt
+    by ranges of (year, bucket, code): a large bucket is split between securities,
+    and a security's year lies in one file of a write.
     """
     laid_out = prices.select(*PRICE_COLUMNS).withColumns(_layout(buckets))
     (
-        laid_out.hint("rebalance", YEAR, BUCKET)
+        laid_out.repartitionByRange(YEAR, BUCKET, "code")
         .sortWithinPartitions(YEAR, BUCKET, "code", "date")
         .write.partitionBy(YEAR, BUCKET)
         .mode(mode)
@@ -110,18 +127,24 @@ def merge_by_security(
     fresh = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
     if not force and not stored.isEmpty():
         fresh = new_rows_only(fresh, stored)
-    fresh = materialize(fresh, "increment")
-    written = fresh.agg(
-        F.count_distinct("code").alias("stocks_written"),
-        F.count(F.lit(1)).alias("records_written"),
-    ).first()
-    if force and written.records_written:
-        touched = fresh.select(*(column.alias(name) for name, column in _layout(buckets).items()))
+    fresh = fresh.withColumn(_FRESH, F.lit(True))
+    if force:
+        touched = incoming.select(*(column.alias(name) for name, column in _layout(buckets).items()))
         kept = stored.join(touched.distinct(), [YEAR, BUCKET], "left_semi")
-        rest = new_rows_only(kept, fresh).select(*PRICE_COLUMNS)
-        _rewrite(rest.unionByName(fresh), path, buckets)
-    elif written.records_written:
-        write_by_security(fresh, path, buckets, "append")
+        rest = new_rows_only(kept, incoming).select(*PRICE_COLUMNS)
+        fresh = fresh.unionByName(rest.withColumn(_FRESH, F.lit(False)))
+    # Complete in the shared folder before the dataset, which was read, is touched.
+    with staged(fresh, "increment") as rows:
+        written = (
+            rows.where(_FRESH)
+            .agg(
+                F.count_distinct("code").alias("stocks_written"),
+                F.count(F.lit(1)).alias("records_written"),
+            )
+            .first()
+        )
+        if written.records_written:
+            write_by_security(rows, path, buckets, "overwrite" if force else "append")
     return {
         "dates_processed": len(offered.days),
         "stocks_input": offered.codes,
@@ -133,21 +156,22 @@ def merge_by_security(
 def compact_by_security(spark: SparkSession, path: str, buckets: int, years: list[int]) -> None:
     """Rewrite whole years so that each partition is again few sorted files."""
     stored = read_by_security(spark, path).where(F.col(YEAR).isin(years))
-    _rewrite(stored.select(*PRICE_COLUMNS), path, buckets)
+    with staged(stored.select(*PRICE_COLUMNS), "compacted") as rows:
+        write_by_security(rows, path, buckets, "overwrite")
 
 
-def _rewrite(rows: DataFrame, path: str, buckets: int) -> None:
-    """Replace partitions by rows that were partly read from them.
+@contextmanager
+def staged(rows: DataFrame, label: str) -> Iterator[DataFrame]:
+    """Rows written to the shared folder and read back; the folder goes when all went well.
 
-    The new content is completed in the shared folder first, since a dataset
-    should not be replaced while it is read. If the copy is cut short the staged
-    rows are still there: the log names them, and copying again is harmless.
+    If a copy from it is cut short the rows are still there: the log names them,
+    and copying again is harmless.
     """
-    staged_path = new_folder(rows.sparkSession, "merged")
-    rows.write.parquet(staged_path)
-    logger.info("replacing partitions of %s from %s", path, staged_path)
-    staged = rows.sparkSession.read.schema(rows.schema).parquet(staged_path)
-    write_by_security(staged, path, buckets, "overwrite")
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    logger.info("staged %s in %s", label, path)
+    yield spark.read.schema(rows.schema).parquet(path)
+    remove_folder(spark, path)
 
 
 def save_bucketed_table(prices: DataFrame, table: str, path: str, buckets: int) -> DataFrame:

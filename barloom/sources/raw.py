@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from barloom.sources.inventory import available_days
 
@@ -54,6 +59,42 @@ def read_raw(
     return rows.where(F.try_to_date(text, "yyyy-MM-dd").isNotNull()).withColumn(PARTITION, text)
 
 
+def read_days_by_schema(spark: SparkSession, path: str, days: list[str]) -> list[DataFrame]:
+    """Raw rows of the given days as one frame per schema that their files have.
+
+    Days land by themselves, so column types may differ from one to the next, and
+    one schema for all would fail the whole scan. The footers of the days' files
+    are read in tasks; the driver sees one row per schema with its files.
+    """
+    if not days:
+        return []
+    folders = [f"{path}/{PARTITION}={day}" for day in days]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders)
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schemas = [
+                from_arrow_schema(pq.read_schema(pa.BufferReader(content.as_buffer()))).json()
+                for content in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(schemas)], ["path", "schema"])
+
+    kinds = (
+        files.select("path", "content")
+        .mapInArrow(footers, "path string, schema string")
+        .groupBy("schema")
+        .agg(F.collect_list("path").alias("paths"))
+        .collect()
+    )
+    frames = []
+    for kind in kinds:
+        fields = T.StructType.fromJson(json.loads(kind.schema)).fields
+        schema = T.StructType([*fields, T.StructField(PARTITION, T.StringType())])
+        reader = spark.read.schema(schema).option("basePath", path)
+        frames.append(reader.parquet(*kind.paths))
+    return frames
+
+
 def read_latest(
     spark: SparkSession,
     root: str,

@@ -7,13 +7,11 @@ what has arrived and stops; a scheduler starts it again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.plans.lake import PriceLake
 from barloom.schemas import DAILY_QUOTES_ENDPOINT, RAW_QUOTES
-from barloom.sinks.prices import normalize_and_store
-from barloom.sources.raw import PARTITION, read_raw
+from barloom.sources.raw import PARTITION
 
 
 def normalize_arrivals(
@@ -40,15 +38,8 @@ def normalize_arrivals(
 
     def process(batch: DataFrame, _batch_id: int) -> None:
         # Days are bounded by the calendar; as a list they prune the raw partitions.
-        changed = [row[0] for row in batch.distinct().collect()]
-        raw = read_raw(spark, lake.raw_root, DAILY_QUOTES_ENDPOINT, schema=schema)
-        normalize_and_store(
-            raw.where(F.col(PARTITION).isin(changed)),
-            lake.prices_path,
-            lake.quarantine_path,
-            processed_at,
-            force=True,
-        )
+        changed = sorted(row[0] for row in batch.distinct().collect())
+        lake.normalize_days(changed, processed_at)
 
     query = (
         arrivals.writeStream.foreachBatch(process)

@@ -5,7 +5,6 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions import value_band
 from barloom.operators import corporate, crosssection, returns, signals
 from tests.frames import D15, D16, D17, price_row, prices
 
@@ -29,49 +28,82 @@ def crowd(spark):
     )
 
 
-def same(left, right, columns):
-    def key(rows):
-        return sorted(
-            tuple(round(v, 9) if isinstance(v, float) else v for v in row)
-            for row in rows.select(*columns).na.fill(-1).collect()
-        )
-
-    return key(left) == key(right)
-
-
-def test_bands_keep_order(spark):
-    rows = spark.createDataFrame(
-        [(v,) for v in (-1e300, -5.0, -4.99, -1e-300, -0.0, 0.0, 1e-320, 1.0, 1.5, 1e300)], "v double"
+def plain_ranks(rows, descending=False):
+    """(day, code) to the rank of value, smallest rank for equals; nulls and NaN have none."""
+    days = {}
+    for r in rows:
+        known = r.value is not None and r.value == r.value
+        days.setdefault(r.date, []).append((r.code, r.value if known else None))
+    ranks = {}
+    for day, values in days.items():
+        ordered = sorted((v for _, v in values if v is not None), reverse=descending)
+        first = {}
+        for i, v in enumerate(ordered):
+            first.setdefault(v, i + 1)
+        ranks.update({(day, code): first.get(v) for code, v in values})
+    return ranks
+
+
+@pytest.fixture(scope="module", params=["crowd", "odd", "one value", "narrow"])
+def values(request, spark, crowd):
+    n = F.col("id")
+    odd = (
+        F.when(n % 7 == 0, float("nan"))
+        .when(n % 7 == 1, float("inf"))
+        .when(n % 7 == 2, float("-inf"))
+        .when(n % 7 == 3, -0.0)
+        .when(n % 7 == 4, 0.0)
+        .when(n % 7 == 5, n.cast("double"))
+    )
+    kinds = {"odd": odd, "one value": F.lit(5.0), "narrow": 1000 + (n % 701) * 0.04}
+    if request.param == "crowd":
+        return crowd
+    return spark.range(2000).select(
+        F.format_string("%05d", n).alias("code"),
+        F.when(n % 3 == 0, F.lit(D15)).otherwise(F.lit(D16)).alias("date"),
+        kinds[request.param].alias("value"),
     )
-    bands = [r[0] for r in rows.orderBy("v").select(value_band(F.col("v"))).collect()]
-    assert bands == sorted(bands) and bands[4] == bands[5] == 0
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_both_ways_of_ranking_agree(crowd, descending):
-    ranked = [
-        crosssection.with_rank(crowd, "value", descending=descending, tiles=10, banded=banded)
-        for banded in (False, True, None)
-    ]
-    columns = ["code", "date", "rank", "decile"]
-    assert same(ranked[0], ranked[1], columns) and same(ranked[0], ranked[2], columns)
-    assert ranked[0].where("value is null and rank is not null").isEmpty()
-    two = [crosssection.with_ranks(crowd, {"value": "a", "other": "b"}, banded=b) for b in (False, True)]
-    assert same(*two, ["code", "a", "b"])
-
-
-def test_both_ways_of_percentiles_agree(crowd):
-    levels = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "top": 1.0}
-    both = [crosssection.group_percentiles(crowd, "value", levels, banded=b) for b in (False, True)]
-    assert same(*both, ["date", *levels])
-    clamped = [crosssection.winsorize(crowd, "value", banded=b) for b in (False, True)]
-    assert same(*clamped, ["code", "value"])
-    assert clamped[0].where("value is null").count() == crowd.where("value is null").count()
+def test_ranks(values, descending):
+    ranked = crosssection.with_rank(values, "value", descending=descending, tiles=10)
+    found = {(r.date, r.code): r.rank for r in ranked.collect()}
+    assert found == plain_ranks(values.collect(), descending)
+    sizes = {r.date: r.n for r in ranked.where("rank IS NOT NULL").groupBy("date").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    for r in ranked.where("rank IS NOT NULL").collect():
+        assert r.decile == (r.rank - 1) * 10 // sizes[r.date] + 1
 
 
-def test_the_check_chooses_bands_only_for_large_groups(crowd):
-    assert not crosssection.needs_bands(crowd, ["date"])
-    assert crosssection.needs_bands(crowd, ["date"], limit=100)
+def test_percentiles(values):
+    levels = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "top": 1.0}
+    found = crosssection.group_percentiles(values, "value", levels).collect()
+    rows = values.collect()
+    for row in found:
+        known = sorted(
+            r.value for r in rows if r.date == row.date and r.value is not None and r.value == r.value
+        )
+        for name, level in levels.items():
+            place = level * (len(known) - 1)
+            low, high = known[int(place)], known[-int(-place // 1)]
+            share = place - int(place)
+            endless = low in (float("inf"), float("-inf"))
+            wanted = low if endless or low == high or share == 0 else low + (high - low) * share
+            assert row[name] == wanted
+    clamped = crosssection.winsorize(values, "value")
+    assert clamped.count() == len(rows)
+    missing = "value IS NULL OR isnan(value)"
+    assert clamped.where(missing).count() == values.where(missing).count()
+
+
+def test_one_value_is_dealt_over_ranges(spark):
+    rows = spark.range(4000).select(
+        F.lit(D15).alias("date"), F.col("id").alias("code"), F.lit(1.0).alias("value")
+    )
+    placed = crosssection.with_places(rows, "value", ["date"])
+    assert placed.agg(F.max("_before"), F.min("_before")).first()[:] == (0, 0)
+    assert placed.select("_place").distinct().count() == 4000
 
 
 def test_zscores(spark):
@@ -178,14 +210,35 @@ def test_universe(spark):
 
 
 def test_rank_ic_and_tiles(crowd):
-    both = [
-        signals.rank_ic(crowd, "value", "other", banded=banded).orderBy("date").collect()
-        for banded in (False, True)
-    ]
-    assert [r.codes for r in both[0]] == [r.codes for r in both[1]]
-    assert [r.rank_ic for r in both[0]] == pytest.approx([r.rank_ic for r in both[1]])
+    assert [r.codes for r in signals.rank_ic(crowd, "value", "other").collect()]
     same_order = signals.rank_ic(crowd.withColumn("again", F.col("value") * 2), "value", "again")
     assert [r.rank_ic for r in same_order.collect()] == pytest.approx([1.0] * 3)
-    tiles = signals.tile_returns(crowd, "other", "other").orderBy("decile").collect()
+    twice = crowd.withColumn("again", F.col("other") * 2)
+    tiles = signals.tile_returns(twice, "other", "again").orderBy("decile").collect()
     means = [r.avg_return for r in tiles]
     assert len(means) == 10 and means == sorted(means)
+
+
+def test_statements_without_a_day_are_never_known(spark):
+    rows = history(spark, [1.0, 2.0]).select("code", "date", "close")
+    facts = spark.createDataFrame(
+        [("1", None, 99), ("1", date(2024, 1, 2), 10)], "code string, disclosed_date date, eps int"
+    )
+    known = signals.point_in_time(rows, facts).orderBy("date").collect()
+    assert [r.eps for r in known] == [None, 10]
+    with pytest.raises(ValueError, match="close"):
+        signals.point_in_time(rows, facts.withColumnRenamed("eps", "close"))
+
+
+def test_zero_closes_have_no_returns(spark):
+    closes = history(spark, [0.0, 100.0, 0.0, 50.0]).select("code", "date", "close")
+    row = returns.performance_metrics(closes).first()
+    assert row.periods == 1 and row.cagr is None and row.max_drawdown == -1.0
+
+
+def test_unlisted_securities_are_a_group(spark):
+    rows = spark.createDataFrame(
+        [("a", date(2024, 1, d), d * 0.01) for d in range(1, 6)], "code string, date date, ret_1 double"
+    )
+    groups = spark.createDataFrame([("b", "g")], "code string, peer_group string")
+    assert returns.security_vs_group(rows, groups).first().correlation == pytest.approx(1.0)
