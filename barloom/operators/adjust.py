@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from barloom.functions import inverse_multiplier, is_adjustment_event
 from barloom.schemas import FACTOR_TOLERANCE
 
-MULTIPLIER = "_cumulative_adj"
+MULTIPLIER = "_multiplier"
 PRICES = ("open", "high", "low", "close")
 
+
 def latest_first() -> WindowSpec:
     """One security, latest day first: a frame growing from there takes one pass."""
     return Window.partitionBy("code").orderBy(F.col("date").desc())
@@ -35,41 +36,41 @@ def _day_factor() -> Column:
     return F.coalesce(F.col("adjustment_factor").cast("double"), F.lit(1.0))
 
 
+def later_factors() -> Column:
+    """The product of the factors of all later days of a row's security."""
+    later_days = latest_first().rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.product(_day_factor()).over(later_days), F.lit(1.0))
+
+
 def cumulative_adjustment(prices: DataFrame, name: str = MULTIPLIER) -> DataFrame:
     """Add the product of the factors strictly after each row (WIN1)."""
-    if "adjustment_factor" not in prices.columns:
-        return prices.withColumn(name, F.lit(1.0))
-    later_days = latest_first().rowsBetween(Window.unboundedPreceding, -1)
-    return prices.withColumn(
-        name, F.coalesce(F.product(_day_factor()).over(later_days), F.lit(1.0))
-    )
+    known = "adjustment_factor" in prices.columns
+    return prices.withColumn(name, later_factors() if known else F.lit(1.0))
 
 
-def scale_by(
+def scaled(
     prices: DataFrame,
-    multiplier: str,
+    multiplier: Column,
     mode: Literal["add", "replace"],
     volume: bool = True,
     turnover: bool = False,
 ) -> DataFrame:
-    """Apply a multiplier column to prices, volume and turnover (WIN2-WIN4).
+    """Bars times a multiplier, volume divided by it (WIN2-WIN4).
 
-    ``add`` writes ``adj_*`` columns (an existing ``adj_close`` is overwritten),
-    ``replace`` overwrites in place. Missing columns are skipped.
+    ``add`` writes ``adj_*`` columns (a stored ``adj_close`` gives way),
+    ``replace`` takes the columns' own names. What the bars lack is left out.
+    The multiplier is worked out once a row and does not appear in the result.
     """
-    factor = F.col(multiplier)
-    scales = {name: factor for name in PRICES}
-    if volume:
-        scales["volume"] = inverse_multiplier(factor)
-    if turnover:
-        scales["turnover_value"] = factor
-    prefix = "adj_" if mode == "add" else ""
-    scaled = {
-        prefix + name: F.col(name).cast("double") * scale
-        for name, scale in scales.items()
-        if name in prices.columns
-    }
-    return prices.withColumns(scaled).drop(multiplier) if scaled else prices.drop(multiplier)
+    wanted = [*PRICES, *["volume"] * volume, *["turnover_value"] * turnover]
+    by = F.col(MULTIPLIER)
+    results = {name: F.col(name) for name in prices.columns}
+    for name in wanted:
+        if name in prices.columns:
+            share = inverse_multiplier(by) if name == "volume" else by
+            target = name if mode == "replace" else f"adj_{name}"
+            results[target] = F.col(name).cast("double") * share
+    columns = [value.alias(name) for name, value in results.items()]
+    return prices.withColumn(MULTIPLIER, multiplier).select(*columns)
 
 
 def adjust_prices(
@@ -86,7 +87,7 @@ def adjust_prices(
         raise ValueError("mode must be 'none', 'add' or 'replace'")
     if mode == "none" or "adjustment_factor" not in prices.columns:
         return prices
-    return scale_by(cumulative_adjustment(prices), MULTIPLIER, mode, volume, turnover)
+    return scaled(prices, later_factors(), mode, volume, turnover)
 
 
 def adjust_to_reference(
@@ -101,19 +102,15 @@ def adjust_to_reference(
     The reference value is the product of the factors after the reference day,
     taken over the same partitioning as the multiplier, so it costs no shuffle.
     """
-    whole = Window.partitionBy("code")
     if reference == "latest":
-        at_reference = F.lit(1.0)
-    else:
-        start = F.min("date").over(whole) if reference == "earliest" else F.lit(reference)
-        prices = prices.withColumn("_reference", start)
-        after = F.when(F.col("date") > F.col("_reference"), _day_factor())
-        at_reference = F.coalesce(F.product(after).over(whole), F.lit(1.0))
-    relative = cumulative_adjustment(prices).withColumn("_at_reference", at_reference)
-    relative = relative.withColumn(MULTIPLIER, F.col(MULTIPLIER) / F.col("_at_reference"))
-    return scale_by(
-        relative.drop("_at_reference", "_reference"), MULTIPLIER, mode, volume, turnover
-    )
+        return scaled(prices, later_factors(), mode, volume, turnover)
+    whole = Window.partitionBy("code")
+    start = F.min("date").over(whole) if reference == "earliest" else F.lit(reference)
+    dated = prices.withColumn("_reference", start)
+    after = F.when(F.col("date") > F.col("_reference"), _day_factor())
+    at_reference = F.coalesce(F.product(after).over(whole), F.lit(1.0))
+    moved = scaled(dated, later_factors() / at_reference, mode, volume, turnover)
+    return moved.drop("_reference")
 
 
 def adjustment_events(prices: DataFrame, tolerance: float = FACTOR_TOLERANCE) -> DataFrame:

@@ -14,6 +14,7 @@ RAW = (
     "Code string, Date string, Open double, High double, Low double, Close double, "
     "Volume long, TurnoverValue double, AdjustmentFactor double, AdjustmentClose double"
 )
+# Two raw quotes of one day.
 RAW_ROWS = [
     ("1301", "2024-01-15", 101.0, 105.0, 98.0, 102.0, 100000, 10200000.0, 1.0, 102.0),
     ("1332", "2024-01-15", 201.0, 210.0, 198.0, 205.0, 50000, 10250000.0, 1.1, 225.5),
@@ -25,6 +26,7 @@ SPLIT = (
     "code string, date date, open double, high double, low double, close double, "
     "volume double, turnover_value double, adjustment_factor double, processed_at string"
 )
+# A security before and after a split of one into three.
 SPLIT_ROWS = [
     ("13010", D15, 300.0, 330.0, 290.0, 315.0, 900.0, 283500.0, 1.0, "t"),
     ("13010", D16, 110.0, 120.0, 105.0, 115.0, 2700.0, 310500.0, 1 / 3, "t"),
