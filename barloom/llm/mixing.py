@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ BUCKETS = 1 << 16
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
+# Up to so many sources, tables of one row a source are broadcast; more are joined by shuffling.
+FEW_SOURCES = 100_000
 
 
 def source_targets(
@@ -87,7 +91,8 @@ def pareto_mix(
     source; a source without words has target 0. Empty texts have no words: they are taken as
     the rank says, at no cost. Other columns are ignored; no rows give no rows.
 
-    Texts are read once, for their word counts. A source is never gathered: ranks fall into
+    Texts are read once, for their word counts. A source is never gathered: what is known of it is
+    one row, broadcast unless sources are many; ranks fall into
     65,536 buckets, whose word totals are running sums per source, and only the bucket in which
     a source's sample ends is ordered row by row.
     """
@@ -100,7 +105,9 @@ def pareto_mix(
             F.monotonically_increasing_id().alias("__row"),
         )
     )
-    targets = source_targets(sizes.select("source", "size"), weights, share, most)
+    targets = settle(source_targets(sizes.select("source", "size"), weights, share, most))
+    few = targets.count() <= FEW_SOURCES
+    small: Callable[[DataFrame], DataFrame] = F.broadcast if few else lambda rows: rows
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("__whole", F.floor(ratio).cast("long")).select(
         F.coalesce(F.xxhash64("source", F.col("source").isNull()), F.lit(0)).alias("__source"),
@@ -114,7 +121,7 @@ def pareto_mix(
     inclusion = F.col("__p") / (1 - F.col("__p"))
     ranked = (
         sizes.withColumn("__source", F.xxhash64("source", F.col("source").isNull()))
-        .join(targets, "__source")
+        .join(small(targets), "__source")
         .withColumn("__rank", F.when(F.col("__p") > 0, odds / inclusion))
         # rank / (1 + rank) rises with the rank and lies between 0 and 1
         .withColumn(
@@ -140,7 +147,7 @@ def pareto_mix(
         .select("__source", F.col("__end.__bucket").alias("__end"), F.col("__end.__before"))
     )
     # A source without an end fits whole.
-    marked = ranked.join(ends, "__source", "left")
+    marked = ranked.join(small(ends), "__source", "left")
     in_end = marked.where("__bucket = __end")
     in_order = (
         Window.partitionBy("__source")
@@ -162,7 +169,7 @@ def pareto_mix(
         F.col("__last"),
         F.coalesce(F.col("__reached"), F.col("__before")).alias("__reached"),
     )
-    drawn = ranked.join(cut, "__source", "left").withColumn(
+    drawn = ranked.join(small(cut), "__source", "left").withColumn(
         "__in",
         F.col("__rank").isNotNull()
         & (
@@ -185,7 +192,7 @@ def pareto_mix(
     copies = F.col("__whole") + F.when(
         F.col("__in") | F.coalesce(F.col("__row") == F.col("__closing"), F.lit(False)), 1
     ).otherwise(0)
-    return drawn.join(closing, "__source", "left").select(
+    return drawn.join(small(closing), "__source", "left").select(
         "doc_id",
         "source",
         "size",
