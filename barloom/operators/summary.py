@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,11 +82,14 @@ def price_summary(prices: DataFrame) -> DataFrame:
 def market_coverage(prices: DataFrame) -> DataFrame:
     """Securities seen per day, against all securities of the frame.
 
-    Both counts start from distinct (code, day) keys. The total is one row; it is
-    attached as a scalar subquery, not as a join.
+    One pass groups by day and as a whole. The window then sees one row a day.
     """
-    per_day = prices.groupBy("date").agg(F.count_distinct("code").alias("codes"))
-    total = prices.agg(F.count_distinct("code").alias("n")).scalar()
-    return per_day.withColumn("all_codes", total).withColumn(
-        "coverage", F.col("codes") / F.col("all_codes")
+    counted = prices.rollup("date").agg(
+        F.count_distinct("code").alias("codes"), F.grouping("date").alias("_whole")
+    )
+    total = F.max(F.when(F.col("_whole") == 1, F.col("codes"))).over(Window.partitionBy(F.lit(0)))
+    return (
+        counted.withColumn("all_codes", total)
+        .where(F.col("_whole") == 0)
+        .select("date", "codes", "all_codes", (F.col("codes") / F.col("all_codes")).alias("coverage"))
     )

@@ -85,8 +85,8 @@ class PriceLake:
     def listing(self, as_of: date | None = None) -> DataFrame:
         return read_latest(self.spark, self.raw_root, LISTED_INFO_ENDPOINT, as_of)
 
-    def raw_stats(self, endpoints: Sequence[str]) -> DataFrame:
-        return storage_stats(self.spark, self.raw_root, list(endpoints))
+    def raw_stats(self, endpoints: Sequence[str] | None = None) -> DataFrame:
+        return storage_stats(self.spark, self.raw_root, None if endpoints is None else list(endpoints))
 
     # Normalised layer
     def normalize(

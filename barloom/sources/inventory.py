@@ -46,21 +46,23 @@ def available_codes(prices: DataFrame) -> DataFrame:
 
 
 def storage_stats(
-    spark: SparkSession, root: str, tables: list[str], partition: str = "partition_date"
+    spark: SparkSession,
+    root: str,
+    tables: list[str] | None = None,
+    partition: str = "partition_date",
 ) -> DataFrame:
-    """Days, files and megabytes per dataset, and a ``total`` row (INV3)."""
-    listed = [
-        data_files(spark, f"{root}/{table}").select(
-            F.lit(table).alias("dataset"),
-            F.try_to_date(_directory_value(partition), "yyyy-MM-dd").alias("day"),
-            "length",
-        )
-        for table in tables
-    ]
-    files = listed[0]
-    for more in listed[1:]:
-        files = files.unionByName(more)
+    """Days, files and megabytes per dataset, and a ``total`` row (INV3).
+
+    Datasets are the folders below ``root`` that hold days; ``tables`` picks some.
+    """
+    files = data_files(spark, root).select(
+        F.regexp_extract("path", f"/([^/]+)/{partition}=", 1).alias("dataset"),
+        F.try_to_date(_directory_value(partition), "yyyy-MM-dd").alias("day"),
+        "length",
+    )
     files = files.where(F.col("day").isNotNull())
+    if tables is not None:
+        files = files.where(F.col("dataset").isin(tables))
     sums = files.rollup("dataset").agg(
         F.count_distinct("day").alias("dates"),
         F.count(F.lit(1)).alias("files"),

@@ -10,7 +10,12 @@ from barloom.operators.adjust import adjust_prices
 from barloom.operators.history import not_of_codes
 from barloom.operators.merge import merge_replacing, merge_skipping, pending_days, rewrite_stats
 from barloom.plans.views import register_views, run_sql
-from barloom.schemas import DAILY_QUOTES_ENDPOINT, PRICE_COLUMNS, RAW_QUOTES
+from barloom.schemas import (
+    DAILY_QUOTES_ENDPOINT,
+    LISTED_INFO_ENDPOINT,
+    PRICE_COLUMNS,
+    RAW_QUOTES,
+)
 from barloom.session import new_folder
 from barloom.sinks.files import save_table
 from barloom.sinks.prices import merge_by_security, save_bucketed_table
@@ -231,7 +236,7 @@ def available_codes(spark, folder):
 
 def _stats(spark, folder):
     lake = inputs.lake(spark, folder)
-    return dataset_stats(spark, lake.raw_root, ["daily_quotes", "listed_info"])
+    return dataset_stats(spark, lake.raw_root)
 
 
 @query(
@@ -247,10 +252,22 @@ def storage_stats(spark, folder):
     return _stats(spark, folder).select("dataset", "dates")
 
 
-@query()
+@query("SELECT unnest(['daily_quotes', 'listed_info']) AS dataset, true AS files, true AS size_mb")
 def storage_sizes(spark, folder):
-    """Files and megabytes depend on how the rows were written, so there is no SQL for them."""
-    return _stats(spark, folder)
+    """Files and sizes of the listing against those that a scan of the data reports."""
+    lake = inputs.lake(spark, folder)
+    scans = [
+        lake.raw(endpoint).select(
+            F.lit(endpoint).alias("dataset"), "_metadata.file_path", "_metadata.file_size"
+        )
+        for endpoint in (DAILY_QUOTES_ENDPOINT, LISTED_INFO_ENDPOINT)
+    ]
+    seen = scans[0].union(scans[1]).distinct().groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("file_size") / (1 << 20), 2).alias("mb")
+    )
+    return _stats(spark, folder).join(seen, "dataset").select(
+        "dataset", (F.col("files") == F.col("n")).alias("files"), (F.col("size_mb") == F.col("mb")).alias("size_mb")
+    )
 
 
 @query(sql("SELECT code, count(*) AS records FROM accepted GROUP BY code", "accepted"))
