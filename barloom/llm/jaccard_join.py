@@ -13,13 +13,13 @@ regions get; it comes from a bounded sample of documents.
 
 Inside a region, two of its documents serve as pivots, in fuller ones six. Everything within ``eps`` of a pivot is
 linked to it, so its members form one component and need no further comparison. What is left are
-pairs from different components, each formed in one of their common regions; the triangle inequality drops those whose distances to a pivot
+pairs from different components; the triangle inequality drops those whose distances to a pivot
 differ by more than ``eps``.
 
-Before any two sets are fetched, their images in a coarser space are compared: counts of their
-items in 64 hash bins, and for large sets in 1024, whose city-block distance is never above the
-size of the sets' symmetric difference. Unrelated texts are far apart there too. The pairs left
-are compared exactly.
+Before any two sets are fetched, their images in coarser spaces are compared: counts of their
+items in 32, then 256 hash bins, and for large sets in 1024, whose city-block distance is never
+above the size of the sets' symmetric difference. Unrelated texts are far apart there too. The
+pairs left are compared exactly.
 """
 
 from __future__ import annotations
@@ -43,10 +43,9 @@ SAMPLE = 4_000
 FREQUENT = 3
 # Bits of the filter that spares most documents without candidates the second pass.
 FILTER_BITS = 1 << 25
-BINS = 64
-FINE_BINS = 1024
+COARSE_BINS, BINS, FINE_BINS = 32, 256, 1024
 # Sets above this size have fine bins as well.
-LARGE = 700
+LARGE = 2000
 # Regions with at least so many members get the further pivots, the smallest keys under these masks.
 FULL = 8
 _MASKS = tuple((odd * 0xBF58476D1CE4E5B9) % (1 << 63) for odd in (*_ODD, 0x165667B19E3779F9))
@@ -94,29 +93,38 @@ def pivots_of(
     return np.concatenate([rare, late[np.lexsort((late, weight))][: most - len(rare)]])
 
 
-def bins_of(items: np.ndarray, bins: int = BINS, most: int = 32767) -> np.ndarray:
+def bins_of(items: np.ndarray, bins: int, most: int) -> np.ndarray:
     """How many items fall into each hash bin (a power of two of them), stopping at ``most``."""
     shift = np.uint64(65 - bins.bit_length())
     held = np.bincount((items >> shift).astype(np.int64), minlength=bins)
     return np.minimum(held, most).astype(np.int16)
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and bins of two sets (columns size_<a>, bins_<a>, fine_<a>, ...) allow a link."""
-    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+def bins_allow(name: str, percent: int) -> Column:
+    """Whether the bins <name>_a and <name>_b of sets of size_a and size_b items allow a link."""
+    gaps = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+    apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
 
-    def close(name: str) -> Column:
-        gaps = F.zip_with(
-            f"{name}_{a}", f"{name}_{b}", lambda x, y: F.abs(x.cast("int") - y.cast("int"))
-        )
-        apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
-        return (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
 
-    without_fine = F.least(F.size(f"fine_{a}"), F.size(f"fine_{b}")) == 0
+def may_link(percent: int) -> Column:
+    """Whether sizes, coarse bins and bins of two sets allow a link."""
+    size_a, size_b = F.col("size_a"), F.col("size_b")
     return (
         (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
-        & close("bins")
-        & (without_fine | close("fine"))
+        & bins_allow("coarse", percent)
+        & bins_allow("bins", percent)
+    )
+
+
+def finely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) without those of two large sets whose fine bins rule out a link."""
+    large = points.where(F.size("fine") > 0)
+    for end in ("a", "b"):
+        side = large.select(F.col("key").alias(end), F.col("fine").alias(f"fine_{end}"))
+        pairs = pairs.join(side, end, "left")
+    return pairs.where(F.coalesce(bins_allow("fine", percent), F.lit(True))).select(
+        "a", "b", "size_a", "size_b"
     )
 
 
@@ -180,17 +188,22 @@ def nodes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
         keys = [set_key(items) if len(items) else None for items in found]
         none = np.empty(0, np.int16)
         fine = [bins_of(s, FINE_BINS, 127) if len(s) > LARGE else none for s in found]
+        coarse = [bins_of(s, COARSE_BINS, 32767) for s in found]
         return [
             part.column(0),
             pa.array(keys, pa.int64()),
             pa.array([len(items) for items in found], pa.int64()),
-            _lists([bins_of(items) for items in found], np.int16),
+            _lists(coarse, np.int16),
+            _lists([bins_of(items, BINS, 127) for items in found], np.int8),
             _lists(fine, np.int8),
             _longs([pivots_of(items, percent, *shared.value) for items in found]),
         ]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key bigint, size bigint, bins array<smallint>, fine array<tinyint>, pivots array<bigint>"
+    schema = (
+        f"doc_id {kind}, key bigint, size bigint, coarse array<smallint>, bins array<tinyint>, "
+        "fine array<tinyint>, pivots array<bigint>"
+    )
     return _map_sets(docs.select("doc_id", "text"), n, schema, each)
 
 
@@ -239,14 +252,11 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of keys whose sizes and bins allow a link."""
     for end in ("a", "b"):
-        side = points.select(
-            F.col("key").alias(end),
-            F.col("size").alias(f"size_{end}"),
-            F.col("bins").alias(f"bins_{end}"),
-            F.col("fine").alias(f"fine_{end}"),
-        )
+        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "coarse", "bins")}}
+        side = points.select(*[F.col(name).alias(new) for name, new in names.items()])
         pairs = pairs.join(side, end)
-    return pairs.where(may_link("a", "b", percent)).select("a", "b", "size_a", "size_b")
+    near = pairs.where(may_link(percent)).select("a", "b", "size_a", "size_b")
+    return finely(near, points, percent)
 
 
 def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, percent: int) -> DataFrame:
@@ -320,6 +330,7 @@ def linked_components(
         held.groupBy("key").agg(
             F.min("doc_id").alias("first"),
             F.min("size").alias("size"),
+            F.first("coarse").alias("coarse"),
             F.first("bins").alias("bins"),
             F.first("fine").alias("fine"),
         )
@@ -349,7 +360,9 @@ def linked_components(
     first = settle(distances(docs, near, points, n, percent))
     links = first.where("linked").select("a", "b")
     roots = components(links)
-    open_pairs = settle(_open_pairs(shared, first, roots, points, percent))
+    open_pairs = settle(
+        finely(_open_pairs(shared, first, roots, points, percent), points, percent)
+    )
     rest = settle(distances(docs, open_pairs, points, n, percent).where("linked"))
     roots = components(links.union(rest.select("a", "b")))
     classes = points.select("key", "first")
@@ -377,8 +390,6 @@ def _open_pairs(
     )
     inside = placed.where(~F.array_contains("centres", F.col("key"))).join(mixed, "pivot")
     inside = settle(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
-    # as many as the document has pivots at most
-    own = inside.groupBy("key").agg(F.collect_set("pivot").alias("pivots"))
     to_low = first.select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("from_low")
     )
@@ -386,9 +397,8 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .join(points.select("key", "size", "bins", "fine"), "key")
-        .join(own, "key")
-        .select("pivot", "key", "root", "size", "bins", "fine", "pivots", "from_low")
+        .join(points.select("key", "size", "coarse", "bins"), "key")
+        .select("pivot", "key", "root", "size", "coarse", "bins", "from_low")
     )
     sides = {
         end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
@@ -403,8 +413,8 @@ def _open_pairs(
             & (F.col("key_a") < F.col("key_b"))
             & (F.col("root_a") != F.col("root_b"))
             & F.coalesce(near, F.lit(True))
-            & may_link("a", "b", percent)
-            & (F.col("pivot_a") == F.array_min(F.array_intersect("pivots_a", "pivots_b"))),
+            & may_link(percent),
         )
         .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b")
+        .distinct()
     )

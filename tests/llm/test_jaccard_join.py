@@ -85,8 +85,8 @@ def test_bins_never_exceed_the_difference():
     for _ in range(50):
         pool = chance.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
         a, b = (np.unique(chance.choice(pool, 200)) for _ in range(2))
-        for bins in (jaccard_join.BINS, jaccard_join.FINE_BINS):
-            one, other = (jaccard_join.bins_of(s, bins).astype(int) for s in (a, b))
+        for bins in (jaccard_join.COARSE_BINS, jaccard_join.BINS, jaccard_join.FINE_BINS):
+            one, other = (jaccard_join.bins_of(s, bins, 127).astype(int) for s in (a, b))
             assert len(one) == bins and one.sum() == len(a)
             assert np.abs(one - other).sum() <= len(np.setxor1d(a, b))
 
