@@ -190,7 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """
     sample = labelled_sample(docs, labels, "quality", fold(FOLDS) != 0, most).toPandas()
     sample = sample.sort_values(["text", "label"])
-    return fit(sample["text"].tolist(), sample["label"].to_numpy(int))
+    model = fit(sample["text"].tolist(), sample["label"].to_numpy(int))
+    _known.clear()  # the driver scores nothing
+    return model
 
 
 def score_quality(
