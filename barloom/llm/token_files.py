@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ BLOCK = 128
 PERCENTILE = 90
 SEGMENT = 1 << 18
 MOST_WORDS = 200_000
+# Python takes U+001C to U+001F for white space; the tokenizer's \s does not, and keeps them.
+_KEPT = re.compile(r"[\S\x1c-\x1f]+")
 _HEADER = struct.Struct("<4sBxHIQI")
 _MAGIC = b"PFR1"
 _BLOCK_HEADER = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "u1")])
@@ -194,12 +198,25 @@ class Runs:
         self.ids = self.ids[: self.starts[-1] + self.counts[-1]].copy()
 
 
+def split_words(text: str) -> list[str]:
+    """What lies between the characters that the tokenizer takes for white space."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return _KEPT.findall(text)
+    return text.split()
+
+
+def ends_in_letter(word: str) -> bool:
+    """Whether the word still ends in a letter once the tokenizer has normalised it."""
+    return unicodedata.normalize("NFC", word[-1]).lower()[-1].isalpha()
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
-    The tokenizer lower-cases, drops white space and never joins over it, so a text's ids are its
-    words' ids one after the other. It also cuts between letters and these closing marks, so the
-    words ``end``, ``End`` and ``end.`` share the ids of ``end``.
+    The tokenizer lower-cases, drops what its \\s matches and never joins over it, so a text's ids
+    are those of the words between, one after the other. It also cuts between letters and these closing marks, so the
+    words ``end``, ``End`` and ``end.`` share the ids of ``end``. A letter that NFC or lower-casing
+    takes apart may end in a sign, which joins the mark after it; such words stay whole.
     """
 
     marks = ".,;:!?|"
@@ -238,10 +255,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and how many each text has."""
-        places = [self.words.places((text or "").split()) for text in texts]
+        places = [self.words.places(split_words(text or "")) for text in texts]
         fresh = self.words.fresh()
         cores = [word.rstrip(self.marks) for word in fresh]
-        whole = [not core.isalpha() for core in cores]
+        whole = [not (core.isalpha() and (core.isascii() or ends_in_letter(core))) for core in cores]
         pairs = [""] * (2 * len(fresh))
         pairs[::2] = [
             word if keep else core.lower() if core.isascii() else core

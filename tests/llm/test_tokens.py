@@ -152,3 +152,16 @@ def test_a_full_store_forgets_late_words(monkeypatch):
         ids, _ = encoder.encode([text])
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + [1]
         assert len(encoder.words.rows) <= 3
+
+
+def test_words_end_where_the_tokenizer_says():
+    with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as file:
+        encoder = token_files.WordEncoder(file.read())
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    forms = ("a_b", "x_", "_", "End._ _two")
+    texts = [form.replace("_", blank) for blank in blanks for form in forms]
+    texts += ["\u0130. x", "\u0958! x"]  # taken apart into a letter and a sign that joins the mark
+    ids, counts = encoder.encode(texts)
+    for text, end, count in zip(texts, np.cumsum(counts), counts, strict=True):
+        wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [token_files.END]
+        assert ids[end - count : end].tolist() == wanted, ascii(text)
