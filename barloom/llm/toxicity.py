@@ -22,6 +22,7 @@ THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
 LONGEST = 40
 LEAST_BIAS = -9.0
+UNEXPLAINED = 0.02
 STEMS = (3, 4, 5)
 PER_WORD = 1 + len(STEMS)
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -116,18 +117,24 @@ class Bags:
         return np.bincount(owner, values, len(self.sentences))
 
 
+def above_none(evidence: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences score above one without evidence: 0 there, up to 1."""
+    none = sigmoid(np.float64(bias))
+    return (sigmoid(evidence + bias) - none) / (1 - none)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
     def sentence_scores(self, bags: Bags) -> np.ndarray:
-        return sigmoid(bags.by_sentence(self.weights[bags.features]) + self.bias)
+        return above_none(bags.by_sentence(self.weights[bags.features]), self.bias)
 
 
 def noisy_or(bags: Bags, scores: np.ndarray) -> np.ndarray:
     """The chance that at least one sentence of a document is toxic; 0 without sentences."""
-    return -np.expm1(bags.by_document(np.log1p(-np.minimum(scores, 1 - 1e-12))))
+    return 0.0 - np.expm1(bags.by_document(np.log1p(-np.minimum(scores, 1 - 1e-12))))
 
 
 def fit(
@@ -139,7 +146,9 @@ def fit(
     towards 0, so that neutral words end at 0 and can't hide a toxic one. Only features that at
     least 3 documents hold, and toxic documents more often than clean ones, get a weight. It starts
     from the log ratio of both shares, drawn towards 0 where few toxic documents hold the feature.
-    Without both labels every sentence scores close to none.
+    A sentence counts by what it scores above one without evidence, so neutral sentences add up to
+    nothing, however many there are; what no sentence explains is a chance of each document,
+    UNEXPLAINED. Without both labels every sentence scores 0.
     """
     model = Model(np.zeros(1 << BITS), -5.0)
     labels = labels.astype(float)
@@ -168,16 +177,22 @@ def fit(
     place, holder = np.concatenate(places), np.concatenate(holders)
     own = Bags(place, np.zeros(n, np.int64), np.array(sizes, np.int64))
     owner = np.repeat(np.arange(len(labels)), own.sentences)
-    # Long documents add up the bias over thousands of sentences, so it is drawn down more.
+    # The lower the bias, the less weak evidence of many sentences adds up, so it is drawn down more.
     pull_down = np.append(np.full(len(used), decay), 300 * decay)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        scores = sigmoid(np.bincount(holder, theta[place], n) + theta[-1])
-        whole = np.clip(noisy_or(own, scores), 1e-9, 1 - 1e-9)
+        evidence = np.bincount(holder, theta[place], n)
+        whole = noisy_or(own, above_none(evidence, theta[-1]))
+        whole = np.clip(UNEXPLAINED + (1 - UNEXPLAINED) * whole, 1e-9, 1 - 1e-9)
         # d loss / d sentence margin: p for clean documents, -p (1 - P) / P for toxic ones
-        pull = np.where(labels == 1, -(1 - whole) / whole, 1.0)
-        slopes = scores * pull[owner] / len(labels)
-        gradient = np.append(np.bincount(place, slopes[holder], len(used)), slopes.sum())
+        pull = np.where(labels == 1, -(1 - whole) / whole, 1.0)[owner] / len(labels)
+        scores = sigmoid(evidence + theta[-1])
+        slopes = scores * pull
+        # the bias also moves what a sentence without evidence scores
+        none = sigmoid(theta[-1])
+        gradient = np.append(
+            np.bincount(place, slopes[holder], len(used)), ((scores - none) * pull).sum()
+        )
         gradient += pull_down
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -209,8 +224,10 @@ def score_toxicity(
 
     The text itself is left out unless ``keep_text``.
 
-    The score is the noisy-or over all sentences of the whole text; toxic_spans lists (start,
-    end, score) of the sentences that score 0.5 or more, in code points. Null and empty texts
+    The score is the noisy-or over all sentences of the whole text, each by what it scores above
+    one without evidence: neutral sentences add nothing at any length, but weak evidence of
+    thousands of sentences does add up. toxic_spans lists (start, end, score) of the sentences
+    that score 0.5 or more, in code points. Null and empty texts
     have no sentences: score 0, no spans. Input columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -82,6 +82,17 @@ def test_offending_sentences_are_found():
     assert text[start:end].strip() == "The moron sleeps." and scores.max() > 0.5
 
 
+def test_neutral_sentences_do_not_add_up():
+    clean = [f"The river is wide. You are a friend {i}. Boats go by." for i in range(30)]
+    toxic = [f"The river is wide. You are a moron {i}. Boats go by." for i in range(30)]
+    model = toxicity.fit(clean + toxic, np.array([0] * 30 + [1] * 30))
+    long = "The river is wide. Boats go by. " * 25_000
+    bags = toxicity.Bags.of([long, long + "The moron sleeps."])
+    assert bags.sentences.tolist() == [50_000, 50_001]
+    scores = toxicity.noisy_or(bags, model.sentence_scores(bags))
+    assert scores[0] < 0.01 and scores[1] >= toxicity.THRESHOLD
+
+
 def test_sentences_cover_all_words():
     text = "one two. three\n\nfour" + " five" * 100
     spans = toxicity.sentences(text)
