@@ -14,6 +14,8 @@ BUCKETS = 1 << 16
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
+# How often the pipeline's mix goes on with smaller documents.
+ROUNDS = 8
 # Up to so many sources, tables of one row a source are broadcast; more are joined by shuffling.
 FEW_SOURCES = 100_000
 
@@ -72,11 +74,68 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def _cut(ranked: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Where each source's rows, by rank, no longer fit its __goal; no row for one that fits whole."""
+    running = Window.partitionBy("__source").orderBy("__bucket")
+    upto = F.sum("__words").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = (
+        ranked.where("__rank IS NOT NULL")
+        .groupBy("__source", "__bucket")
+        .agg(F.sum("size").alias("__words"), F.first("__goal").alias("__goal"))
+        .withColumn("__upto", upto)
+    )
+    ends = (
+        filled.where("__upto > __goal")
+        .groupBy("__source")
+        .agg(
+            F.min(F.struct("__bucket", (F.col("__upto") - F.col("__words")).alias("__before"))).alias(
+                "__end"
+            )
+        )
+        .select("__source", F.col("__end.__bucket").alias("__end"), F.col("__end.__before"))
+    )
+    # A source without an end fits whole.
+    marked = ranked.join(small(ends), "__source", "left")
+    in_end = marked.where("__bucket = __end")
+    in_order = (
+        Window.partitionBy("__source")
+        .orderBy("__rank", "__row")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    fitting = (
+        in_end.withColumn("__upto", F.col("__before") + F.sum("size").over(in_order))
+        .where("__upto <= __goal")
+        .groupBy("__source")
+        .agg(
+            F.max(F.struct("__rank", "__row")).alias("__last"),
+            F.max("__upto").alias("__reached"),
+        )
+    )
+    return ends.join(fitting, "__source", "left").select(
+        "__source",
+        F.col("__end").alias("__cut_bucket"),
+        F.col("__last"),
+        F.coalesce(F.col("__reached"), F.col("__before")).alias("__reached"),
+    )
+
+
+def _before_cut() -> Column:
+    return (
+        F.col("__cut_bucket").isNull()
+        | (F.col("__bucket") < F.col("__cut_bucket"))
+        | (
+            (F.col("__bucket") == F.col("__cut_bucket"))
+            & F.coalesce(F.struct("__rank", "__row") <= F.col("__last"), F.lit(False))
+        )
+    )
+
+
 def pareto_mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     share: float = SHARE,
     most: int = MOST_COPIES,
+    rounds: int = 0,
 ) -> DataFrame:
     """How often each row of ``docs`` (doc_id, text, source) enters a mix that meets source targets.
 
@@ -87,6 +146,10 @@ def pareto_mix(
     words: the source's documents are taken in ascending rank as long as they fit what is left of
     the target, and one more, the document whose size is nearest to the gap, where that narrows it.
 
+    A document that does not fit ends the sample there, as the SQL of ``op1_pareto_mix`` has it; a
+    very long one leaves a source far off its target. With ``rounds``, documents larger than what is
+    left are passed over and the sample goes on in rank with those that fit, up to so many times.
+
     Reruns agree. Rows repeated under one doc_id are drawn one by one. Null sources are one
     source; a source without words has target 0. Empty texts have no words: they are taken as
     the rank says, at no cost. Other columns are ignored; no rows give no rows.
@@ -128,59 +191,29 @@ def pareto_mix(
             "__bucket", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BUCKETS).cast("int")
         )
     )
-    running = Window.partitionBy("__source").orderBy("__bucket")
-    upto = F.sum("__words").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = (
-        ranked.where("__rank IS NOT NULL")
-        .groupBy("__source", "__bucket")
-        .agg(F.sum("size").alias("__words"), F.first("__goal").alias("__goal"))
-        .withColumn("__upto", upto)
-    )
-    ends = (
-        filled.where("__upto > __goal")
-        .groupBy("__source")
-        .agg(
-            F.min(F.struct("__bucket", (F.col("__upto") - F.col("__words")).alias("__before"))).alias(
-                "__end"
-            )
-        )
-        .select("__source", F.col("__end.__bucket").alias("__end"), F.col("__end.__before"))
-    )
-    # A source without an end fits whole.
-    marked = ranked.join(small(ends), "__source", "left")
-    in_end = marked.where("__bucket = __end")
-    in_order = (
-        Window.partitionBy("__source")
-        .orderBy("__rank", "__row")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    fitting = (
-        in_end.withColumn("__upto", F.col("__before") + F.sum("size").over(in_order))
-        .where("__upto <= __goal")
-        .groupBy("__source")
-        .agg(
-            F.max(F.struct("__rank", "__row")).alias("__last"),
-            F.max("__upto").alias("__reached"),
-        )
-    )
-    cut = ends.join(fitting, "__source", "left").select(
-        "__source",
-        F.col("__end").alias("__cut_bucket"),
-        F.col("__last"),
-        F.coalesce(F.col("__reached"), F.col("__before")).alias("__reached"),
-    )
+    cut = _cut(ranked, small)
     drawn = ranked.join(small(cut), "__source", "left").withColumn(
         "__in",
-        F.col("__rank").isNotNull()
-        & (
-            F.col("__cut_bucket").isNull()
-            | (F.col("__bucket") < F.col("__cut_bucket"))
-            | (
-                (F.col("__bucket") == F.col("__cut_bucket"))
-                & F.coalesce(F.struct("__rank", "__row") <= F.col("__last"), F.lit(False))
-            )
-        ),
-    )
+        F.col("__rank").isNotNull() & _before_cut(),
+    )
+    for _ in range(rounds):
+        # a source that fits whole has no gap
+        drawn = settle(drawn.withColumn("__goal", F.col("__goal") - F.col("__reached")))
+        fits = F.col("__rank").isNotNull() & ~F.col("__in") & (F.col("size") <= F.col("__goal"))
+        left = drawn.drop("__cut_bucket", "__last", "__reached").withColumn("__fits", fits)
+        open_rows = left.where("__fits")
+        if open_rows.isEmpty():
+            drawn = drawn.withColumn("__reached", F.when(F.col("__goal").isNotNull(), F.lit(0.0)))
+            break
+        everything = open_rows.groupBy("__source").agg(F.sum("size").alias("__all"))
+        cut = _cut(open_rows, small)
+        drawn = (
+            left.join(small(everything), "__source", "left")
+            .join(small(cut), "__source", "left")
+            .withColumn("__in", F.col("__in") | (F.col("__fits") & _before_cut()))
+            .withColumn("__reached", F.coalesce("__reached", "__all", F.lit(0)))
+            .drop("__fits", "__all")
+        )
     gap = F.col("__goal") - F.col("__reached")
     closing = (
         drawn.where(F.col("__rank").isNotNull() & ~F.col("__in"))

@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id are taken alike, as often as the luckiest of them.
     """
-    mix = mixing.pareto_mix(docs).where("copies > 0")
+    mix = mixing.pareto_mix(docs, rounds=mixing.ROUNDS).where("copies > 0")
     mix = mix.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     taken = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")))
     repeats = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")

@@ -116,3 +116,27 @@ def test_mix_meets_targets(spark, weights):
     ).collect()
     assert sum(r.target for r in per_source) == pytest.approx(1.5 * sum(r.size for r in per_source))
     assert all(abs(r.taken - r.target) <= 37 for r in per_source)
+
+
+def test_mix_goes_on_past_a_long_text(spark):
+    """One text of a third of its source, early in rank, and a plain fill to compare with."""
+    ranked = sorted(range(630), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()[:12])
+    for long_id in (ranked[0], ranked[40], ranked[90]):
+        size = F.when(F.col("id") == long_id, 6000).otherwise(1 + F.col("id") % 37).cast("int")
+        docs = spark.range(640).select(
+            F.col("id").alias("doc_id"),
+            F.repeat(F.lit("w "), size).alias("text"),
+            F.when(F.col("id") < 630, "big").otherwise("small").alias("source"),
+        )
+        rows = mixing.pareto_mix(docs, (1, 5), 0.2, rounds=mixing.ROUNDS).withColumn(
+            "u", mixing.uniform(F.col("doc_id"))
+        ).collect()
+        big = sorted((r for r in rows if r.source == "big"), key=lambda r: r.u)
+        left, taken = big[0].target, set()
+        for r in big:
+            if r.size <= left:
+                left -= r.size
+                taken.add(r.doc_id)
+        found = {r.doc_id for r in big if r.copies}
+        assert taken <= found and len(found - taken) <= 1
+        assert abs(sum(r.taken for r in big) - big[0].target) <= 37
