@@ -142,7 +142,8 @@ def pareto_mix(
     Returns doc_id, source, size (words; null text: 0), source_size, target, copies, taken.
     A source whose target is r times its words takes every document floor(r) times for certain.
     For the rest, each document has inclusion probability p = r - floor(r) and ranks by its odds
-    u / (1 - u) divided by p / (1 - p), u being fixed by its doc_id. The sample's size is fixed in
+    u / (1 - u) divided by p / (1 - p), u being fixed by its doc_id. As p is one for all documents of
+    a source, that is the order of u: an equal-probability sample within the source. The sample's size is fixed in
     words: the source's documents are taken in ascending rank as long as they fit what is left of
     the target, and one more, the document whose size is nearest to the gap, where that narrows it.
 
