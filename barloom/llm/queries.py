@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import (
+    exact_dedup,
     fingerprints,
+    importance,
+    infill,
     jaccard_join,
     mixing,
     quality_classifier,
@@ -176,3 +179,92 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query(
+    r"""WITH texts AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+        sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+        count(*) OVER (PARTITION BY text_sha256) AS group_size,
+        doc_id = first_value(doc_id) OVER best AS kept, text_sha256 FROM texts
+    WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+)
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, folder))
+
+
+@query(
+    r"""WITH RECURSIVE steps AS (SELECT b, 0 AS k, b AS c FROM range(256) t(b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+        FROM steps WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS bytes FROM steps WHERE k = 8),
+    texts AS (SELECT doc_id, 0 AS kind, text FROM documents
+        UNION ALL SELECT item_id, 1, text FROM benchmark),
+    cut AS (SELECT row_number() OVER () AS row, doc_id, kind, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM texts),
+    features AS (SELECT row, kind, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+        AS feature FROM cut),
+    names AS (SELECT DISTINCT feature FROM features),
+    hexed AS (SELECT feature, hex(encode(feature)) AS h FROM names),
+    hashed AS (SELECT feature, xor(list_reduce(
+        list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)),
+        lambda a, b: xor(bytes[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+        FROM hexed, crc),
+    placed AS (SELECT row, kind, bucket FROM features JOIN hashed USING (feature)),
+    held AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM placed
+        GROUP BY bucket),
+    totals AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM held),
+    gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (ss + 10000)
+        / ((s + 1.0::DOUBLE) * (tt + 10000)))) AS BIGINT) AS gain FROM held, totals),
+    weights AS (SELECT row, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+        FROM placed JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row),
+    scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+        coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+        (CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT)
+        AS score FROM cut LEFT JOIN weights USING (row) WHERE kind = 0),
+    drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+        FROM scored WHERE n_words >= 20)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+        CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+    FROM scored LEFT JOIN drawn USING (doc_id)"""
+)
+def op12_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    target = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return importance.resample(documents(spark, folder), target).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+@query(
+    r"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+    numbers AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM cut),
+    placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+    parts AS (SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m,
+        array_to_string(u[high + 1:], '') AS s FROM placed)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+        CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars,
+        CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM parts"""
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, folder))
+
+    def sha(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha(F.col("output")).alias("output_sha256"),
+        sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
