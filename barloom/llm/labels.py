@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Texts of a sample, in bytes of UTF-8, that may reach the driver.
+SAMPLE_BYTES = 64 << 20
+
 
 def fold(folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds``; a null doc_id counts as empty text."""
@@ -18,20 +23,80 @@ def fold(folds: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    keep: Column,
+    most: int,
+    most_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents among those that ``keep`` admits.
+    """(text, label) of at most ``most`` labelled documents and ``most_bytes`` of text.
+
+    Of the documents that ``keep`` admits, those with the smallest hash of their doc_id, one text
+    each: where rows share a doc_id, the text with the smallest hash, so that no doc_id outweighs
+    the others however many rows it has. Texts are taken in that order until the next one would
+    pass ``most_bytes``. Rows without doc_id or label are left out; label rows that contradict each
+    other count each.
 
-    The sample is the ``most`` label rows with the smallest hash of their doc_id. It is small by
-    its bound, so it is broadcast and no text is shuffled. Rows without doc_id or label are left
-    out; several label rows of one document count each.
+    Label rows are cut to ``most`` first and broadcast; texts are picked by hash and length, and
+    only picked texts leave their task.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("__label"))
-    rows = rows.where(F.col("__label").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
+    rows = rows.where(F.col("__label").isin(0, 1) & F.col("doc_id").isNotNull() & keep).distinct()
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        F.coalesce("text", F.lit("")).alias("text"), F.col("__label").alias("label")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("__hash"))
+    sizes = texts.select("doc_id", "__hash", F.octet_length("text").alias("__bytes"))
+    own = sizes.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    own = own.groupBy("doc_id").agg(F.min(F.struct("__hash", "__bytes")).alias("__own"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    picked = (
+        own.select("doc_id", "__own.*")
+        .withColumn("__upto", F.sum("__bytes").over(upto))
+        .where(F.col("__upto") <= most_bytes)
+        .select("doc_id", "__hash")
     )
+    found = texts.join(F.broadcast(picked), ["doc_id", "__hash"]).dropDuplicates(["doc_id"])
+    return found.join(F.broadcast(chosen), "doc_id").select(
+        "text", F.col("__label").alias("label")
+    )
+
+
+def collected(sample: DataFrame) -> Iterator[tuple[str, int]]:
+    """The rows of a ``labelled_sample`` in an order that reruns keep, texts made one at a time."""
+    table = sample.toArrow()
+    order = pc.sort_indices(table, [("text", "ascending"), ("label", "ascending")])
+    texts, marks = table.column("text"), table.column("label").to_numpy()
+    for i in order.to_numpy():
+        yield texts[int(i)].as_py(), int(marks[i])
+
+
+@dataclass
+class Rows:
+    """Feature numbers of many rows, one after the other, and where each row ends."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, arrays: Iterable[np.ndarray]) -> Rows:
+        """From arrays of small integers; holds each once, whatever it came from."""
+        flat, ends, n = np.empty(1 << 16, np.int32), [], 0
+        for array in arrays:
+            while n + len(array) > len(flat):
+                flat = np.concatenate([flat, np.empty(len(flat) // 2, np.int32)])
+            flat[n : n + len(array)] = array
+            n += len(array)
+            ends.append(n)
+        return cls(flat[:n], np.array(ends, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
 def map_texts(

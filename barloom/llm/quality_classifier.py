@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.labels import (
+    Rows,
+    collected,
     distinct,
     fit_sigmoid,
     fold,
@@ -104,19 +107,17 @@ class Model:
         return sigmoid(self.slope * margins + self.offset)
 
 
-def log_count_ratio(rows: list[np.ndarray], signs: np.ndarray, bits: int = BITS) -> np.ndarray:
+def log_count_ratio(rows: Rows, chosen: np.ndarray, signs: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Per feature, the log of its smoothed share among positive over that among negative rows."""
-    counts = []
-    for sign in (1, -1):
-        chosen = [row for row, s in zip(rows, signs, strict=True) if s == sign]
-        flat = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
-        held = np.bincount(flat, minlength=1 << bits) + 1.0
-        counts.append(held / held.sum())
-    return np.log(counts[0] / counts[1])
+    held = {1: np.ones(1 << bits), -1: np.ones(1 << bits)}
+    for i in chosen:
+        held[int(signs[i])][rows[i]] += 1.0  # a row holds a feature once
+    return np.log(held[1] / held[1].sum()) - np.log(held[-1] / held[-1].sum())
 
 
 def dual_coordinate_descent(
-    rows: list[np.ndarray],
+    rows: Rows,
+    chosen: np.ndarray,
     signs: np.ndarray,
     ratio: np.ndarray,
     cost: float = 1.0,
@@ -126,34 +127,38 @@ def dual_coordinate_descent(
     """Weights and bias of a linear hinge-loss model over indicators scaled by ``ratio``.
 
     Rows are scaled to unit length. The dual has one variable a row, between 0 and its class's
-    cost; each step solves one variable exactly. Classes weigh the same in sum.
+    cost; each step solves one variable exactly. Classes weigh the same in sum. Scaled values are
+    made when a row's turn comes, so that a fit holds little besides the rows themselves.
     """
     weights, bias = np.zeros_like(ratio), 0.0
-    values = [ratio[row].astype(np.float32) for row in rows]
-    lengths = [max(float(np.sqrt(v @ v)), 1e-9) for v in values]
-    values = [v / length for v, length in zip(values, lengths, strict=True)]
-    share = {s: len(signs) / (2 * max(int((signs == s).sum()), 1)) for s in (1, -1)}
-    upper = np.array([cost * share[int(s)] for s in signs])
-    alpha, order = np.zeros(len(rows)), np.random.default_rng(seed)
+    single = ratio.astype(np.float32)
+    marks = signs[chosen]
+    lengths = []
+    for i in chosen:
+        value = single[rows[i]]
+        lengths.append(max(float(np.sqrt(value @ value)), 1e-9))
+    share = {s: len(marks) / (2 * max(int((marks == s).sum()), 1)) for s in (1, -1)}
+    upper = np.array([cost * share[int(s)] for s in marks])
+    alpha, order = np.zeros(len(chosen)), np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in order.permutation(len(rows)):
-            row, value, sign = rows[i], values[i], signs[i]
+        for k in order.permutation(len(chosen)):
+            row, sign = rows[chosen[k]], marks[k]
+            value = single[row] / np.float32(lengths[k])
             slack = sign * (weights[row] @ value + bias) - 1.0
-            new = min(max(alpha[i] - slack / 2.0, 0.0), upper[i])
-            step = (new - alpha[i]) * sign
+            new = min(max(alpha[k] - slack / 2.0, 0.0), upper[k])
+            step = (new - alpha[k]) * sign
             if step:
                 weights[row] += step * value
                 bias += step
-                alpha[i] = new
+                alpha[k] = new
     return weights, bias
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
+def fit(rows: Rows, labels: np.ndarray) -> Model:
     """A model of label 1; margins become probabilities by a sigmoid fitted on a fifth left out.
 
     With fewer than two rows of either label, every text scores the smoothed share of label 1.
     """
-    rows = [features(text) for text in texts]
     signs = np.where(labels == 1, 1, -1)
     nothing = np.zeros(1 << BITS)
     flat = Model(nothing, nothing, 0.0, 0.0, 0.0)
@@ -163,9 +168,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         return flat
 
     def trained(chosen: np.ndarray) -> Model:
-        picked, marks = [rows[i] for i in chosen], signs[chosen]
-        ratio = log_count_ratio(picked, marks)
-        weights, bias = dual_coordinate_descent(picked, marks, ratio)
+        ratio = log_count_ratio(rows, chosen, signs)
+        weights, bias = dual_coordinate_descent(rows, chosen, signs, ratio)
         return Model(weights, ratio, bias, 1.0, 0.0)
 
     def margins(model: Model, chosen: np.ndarray) -> np.ndarray:
@@ -182,17 +186,23 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     return model
 
 
-
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents (doc_id, quality) outside the held-out fold.
 
-    The bound holds what reaches the driver: the sample's texts, 12,000 by default.
+    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is what reaches
+    the driver, which keeps the features of each text as 32-bit numbers.
     """
-    sample = labelled_sample(docs, labels, "quality", fold(FOLDS) != 0, most).toPandas()
-    sample = sample.sort_values(["text", "label"])
-    model = fit(sample["text"].tolist(), sample["label"].to_numpy(int))
+    sample = labelled_sample(docs, labels, "quality", fold(FOLDS) != 0, most)
+    marks: list[int] = []
+
+    def found() -> Iterator[np.ndarray]:
+        for text, label in collected(sample):
+            marks.append(label)
+            yield features(text)
+
+    rows = Rows.of(found())
     _known.clear()  # the driver scores nothing
-    return model
+    return fit(rows, np.array(marks, int))
 
 
 def score_quality(

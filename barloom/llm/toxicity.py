@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.labels import fold, labelled_sample, map_texts, sigmoid
+from barloom.llm.labels import Rows, collected, distinct, fold, labelled_sample, map_texts, sigmoid
 
 BITS = 18
 SAMPLE = 6_000
@@ -125,21 +126,125 @@ def above_none(evidence: np.ndarray, bias: float) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Sentence weights, their bias, and the score that no clean training sentence exceeds."""
+
     weights: np.ndarray
     bias: float
+    floor: float = 0.0
 
     def sentence_scores(self, bags: Bags) -> np.ndarray:
         return above_none(bags.by_sentence(self.weights[bags.features]), self.bias)
 
 
-def noisy_or(bags: Bags, scores: np.ndarray) -> np.ndarray:
-    """The chance that at least one sentence of a document is toxic; 0 without sentences."""
-    return 0.0 - np.expm1(bags.by_document(np.log1p(-np.minimum(scores, 1 - 1e-12))))
+def noisy_or(bags: Bags, scores: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """The chance that at least one sentence of a document is toxic; 0 without sentences.
+
+    Sentences that score ``floor`` or less do not add up: only the greatest of them counts, so
+    that weak evidence says the same however long a text is. Above the floor, sentences of one
+    document with the same score are taken for one sentence repeated, and count once.
+    """
+    owner = np.repeat(np.arange(len(bags.sentences)), bags.sentences)
+    weak = np.zeros(len(bags.sentences))
+    below = scores <= floor
+    np.maximum.at(weak, owner[below], scores[below])
+    above = np.flatnonzero(~below)
+    above = above[np.lexsort((scores[above], owner[above]))]
+    mine, value = owner[above], np.minimum(scores[above], 1 - 1e-12)
+    once = np.ones(len(above), bool)
+    once[1:] = (mine[1:] != mine[:-1]) | (value[1:] != value[:-1])
+    strong = np.bincount(mine[once], np.log1p(-value[once]), len(weak))
+    return 0.0 - np.expm1(strong + np.log1p(-weak))
+
+
+@dataclass
+class Sample:
+    """Features of labelled documents: all of them by sentence, 32 bits each, and their labels."""
+
+    features: Rows
+    words: Rows
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str, int]]) -> Sample:
+        words: list[np.ndarray] = []
+        marks: list[int] = []
 
+        def each() -> Iterator[np.ndarray]:
+            for text, label in rows:
+                own = Bags.of([text])
+                words.append(own.words.astype(np.int32))
+                marks.append(label)
+                yield own.features
 
-def fit(
-    texts: list[str], labels: np.ndarray, steps: int = 120, rate: float = 0.2, decay: float = 1e-5
-) -> Model:
+        features = Rows.of(each())
+        return cls(features, Rows.of(words), np.array(marks, float))
+
+
+@dataclass
+class Block:
+    """Some documents of a fit: places of weights, the sentences that hold them, their documents."""
+
+    place: np.ndarray
+    holder: np.ndarray
+    owner: np.ndarray
+    labels: np.ndarray
+
+
+def _blocks(sample: Sample, number: np.ndarray, size: int = 1 << 19) -> list[Block]:
+    """The documents in blocks of about ``size`` features that have a weight."""
+    blocks, place, holder, owner, marks, held, sentences_so_far = [], [], [], [], [], 0, 0
+
+    def close() -> None:
+        none = [np.empty(0, np.int32)]
+        blocks.append(
+            Block(
+                np.concatenate(place or none),
+                np.concatenate(holder or none),
+                np.concatenate(owner or none),
+                np.array(marks),
+            )
+        )
+
+    for i in range(len(sample.labels)):
+        words = sample.words[i]
+        own = number[sample.features[i]]
+        keep = own >= 0
+        place.append(own[keep])
+        inside = np.arange(sentences_so_far, sentences_so_far + len(words), dtype=np.int32)
+        holder.append(np.repeat(inside, words * PER_WORD)[keep])
+        owner.append(np.full(len(words), len(marks), np.int32))
+        marks.append(sample.labels[i])
+        held, sentences_so_far = held + len(place[-1]), sentences_so_far + len(words)
+        if held >= size:
+            close()
+            place, holder, owner, marks, held, sentences_so_far = [], [], [], [], 0, 0
+    if marks:
+        close()
+    return blocks
+
+
+def loss_slopes(block: Block, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log loss of a block's documents under weights and bias ``theta``, and its gradient.
+
+    The chance of a document is the noisy-or of its sentences, each by what it scores above one
+    without evidence, and of UNEXPLAINED.
+    """
+    n = len(block.owner)
+    evidence = np.bincount(block.holder, theta[block.place], n)
+    above = np.log1p(-np.minimum(above_none(evidence, theta[-1]), 1 - 1e-12))
+    whole = 0.0 - np.expm1(np.bincount(block.owner, above, len(block.labels)))
+    whole = np.clip(UNEXPLAINED + (1 - UNEXPLAINED) * whole, 1e-9, 1 - 1e-9)
+    loss = -np.log(np.where(block.labels == 1, whole, 1 - whole)).sum()
+    # d loss / d sentence margin: p for clean documents, -p (1 - P) / P for toxic ones
+    pull = np.where(block.labels == 1, -(1 - whole) / whole, 1.0)[block.owner]
+    scores = sigmoid(evidence + theta[-1])
+    # the bias also moves what a sentence without evidence scores
+    bias = ((scores - sigmoid(theta[-1])) * pull).sum()
+    slopes = np.bincount(block.place, (scores * pull)[block.holder], len(theta) - 1)
+    return float(loss), np.append(slopes, bias)
+
+
+def fit(sample: Sample, steps: int = 120, rate: float = 0.2, decay: float = 1e-5) -> Model:
     """Sentence weights that make the noisy-or of a document's sentences meet its label.
 
     Adam on the log loss over all documents, with weights of 0 or more and a small constant pull
@@ -151,12 +256,12 @@ def fit(
     UNEXPLAINED. Without both labels every sentence scores 0.
     """
     model = Model(np.zeros(1 << BITS), -5.0)
-    labels = labels.astype(float)
+    labels = sample.labels
     if len(set(labels.tolist())) < 2:
         return model
     held = {0.0: np.zeros(1 << BITS), 1.0: np.zeros(1 << BITS)}
-    for text, label in zip(texts, labels, strict=True):
-        held[label][np.unique(Bags.of([text]).features)] += 1
+    for i, label in enumerate(labels):
+        held[label][distinct(sample.features[i], 1 << BITS)] += 1
     ratio = np.log((held[1.0] + 1) / (labels.sum() + 2)) - np.log(
         (held[0.0] + 1) / ((1 - labels).sum() + 2)
     )
@@ -164,36 +269,14 @@ def fit(
     theta = np.append(ratio[used] * held[1.0][used] / (held[1.0][used] + 10), -5.0)
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
-    # places of weights, and the sentences that hold them; sentences without any count as well
-    places, holders, sizes, n = [], [], [], 0
-    for text in texts:
-        own = Bags.of([text])
-        place = number[own.features]
-        keep = place >= 0
-        places.append(place[keep])
-        holders.append(np.repeat(np.arange(n, n + len(own.words)), own.words * PER_WORD)[keep].astype(np.int32))
-        sizes.append(len(own.words))
-        n += len(own.words)
-    place, holder = np.concatenate(places), np.concatenate(holders)
-    own = Bags(place, np.zeros(n, np.int64), np.array(sizes, np.int64))
-    owner = np.repeat(np.arange(len(labels)), own.sentences)
+    blocks = _blocks(sample, number)
     # The lower the bias, the less weak evidence of many sentences adds up, so it is drawn down more.
     pull_down = np.append(np.full(len(used), decay), 300 * decay)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        evidence = np.bincount(holder, theta[place], n)
-        whole = noisy_or(own, above_none(evidence, theta[-1]))
-        whole = np.clip(UNEXPLAINED + (1 - UNEXPLAINED) * whole, 1e-9, 1 - 1e-9)
-        # d loss / d sentence margin: p for clean documents, -p (1 - P) / P for toxic ones
-        pull = np.where(labels == 1, -(1 - whole) / whole, 1.0)[owner] / len(labels)
-        scores = sigmoid(evidence + theta[-1])
-        slopes = scores * pull
-        # the bias also moves what a sentence without evidence scores
-        none = sigmoid(theta[-1])
-        gradient = np.append(
-            np.bincount(place, slopes[holder], len(used)), ((scores - none) * pull).sum()
-        )
-        gradient += pull_down
+        gradient = pull_down.copy()
+        for block in blocks:
+            gradient += loss_slopes(block, theta)[1] / len(labels)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         unbiased = first / (1 - 0.9**step)
@@ -201,20 +284,25 @@ def fit(
         theta[:-1] = np.maximum(theta[:-1], 0.0)
         theta[-1] = max(theta[-1], LEAST_BIAS)
     model.weights[used], model.bias = theta[:-1], float(theta[-1])
+    for i in np.flatnonzero(labels == 0):
+        own = Bags(sample.features[i], sample.words[i].astype(np.int64), np.array([len(sample.words[i])]))
+        if len(own.words):
+            model.floor = max(model.floor, float(model.sentence_scores(own).max()))
+    # a toxic sentence in a document labelled clean must not silence the others
+    model.floor = min(model.floor, SENTENCE_THRESHOLD)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents (doc_id, toxic) outside the held-out fold.
 
-    The bound holds what reaches the driver: the sample's texts, 6,000 by default.
+    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is what reaches
+    the driver, which keeps the features of each text as 32-bit numbers and fits in blocks of them.
     """
-    keep = fold(FOLDS) != HELD_OUT
-    sample = labelled_sample(docs, labels, "toxic", keep, most).toPandas()
-    sample = sample.sort_values(["text", "label"])
-    model = fit(sample["text"].tolist(), sample["label"].to_numpy(int))
+    sample = labelled_sample(docs, labels, "toxic", fold(FOLDS) != HELD_OUT, most)
+    rows = Sample.of(collected(sample))
     _known.clear()  # the driver scores nothing
-    return model
+    return fit(rows)
 
 
 def score_toxicity(
@@ -225,8 +313,9 @@ def score_toxicity(
     The text itself is left out unless ``keep_text``.
 
     The score is the noisy-or over all sentences of the whole text, each by what it scores above
-    one without evidence: neutral sentences add nothing at any length, but weak evidence of
-    thousands of sentences does add up. toxic_spans lists (start, end, score) of the sentences
+    one without evidence. Sentences that score no more than clean training text does (0.5 at most)
+    count by the greatest of them alone, so that neither neutral nor weakly suspect sentences add
+    up with a text's length. toxic_spans lists (start, end, score) of the sentences
     that score 0.5 or more, in code points. Null and empty texts
     have no sentences: score 0, no spans. Input columns of these names are replaced.
     """
@@ -237,7 +326,7 @@ def score_toxicity(
         spans = [sentences(text) for text in texts]
         bags = Bags.of(texts, spans)
         scores = shared.value.sentence_scores(bags)
-        whole = noisy_or(bags, scores)
+        whole = noisy_or(bags, scores, shared.value.floor)
         ends, found = np.cumsum(bags.sentences), [[] for _ in texts]
         flat = [place for own in spans for place in own]
         for j in np.flatnonzero(scores >= SENTENCE_THRESHOLD):

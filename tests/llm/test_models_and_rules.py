@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import quality_classifier, quality_rules, toxicity
+from barloom.llm.labels import Rows, labelled_sample
 from barloom.llm.queries import QUERIES
 from tests.llm.cases import ODD, by_id, no_documents, odd_documents
 
@@ -65,16 +67,112 @@ def test_dual_coordinate_descent_separates():
     chance = np.random.default_rng(0)
     rows = [np.unique(chance.integers(0, 50, 20) + 50 * (i % 2)) for i in range(60)]
     signs = np.array([1 if i % 2 else -1 for i in range(60)])
-    ratio = quality_classifier.log_count_ratio(rows, signs, bits=7)
-    weights, bias = quality_classifier.dual_coordinate_descent(rows, signs, ratio)
+    held, everyone = Rows.of(rows), np.arange(60)
+    ratio = quality_classifier.log_count_ratio(held, everyone, signs, bits=7)
+    weights, bias = quality_classifier.dual_coordinate_descent(held, everyone, signs, ratio)
     margins = np.array([weights[row] @ ratio[row] + bias for row in rows])
     assert (np.sign(margins) == signs).all()
 
 
+def test_log_count_ratio_and_dual_optimum_against_plain_versions():
+    chance = np.random.default_rng(4)
+    rows = [np.unique(chance.integers(0, 30, 12)) for _ in range(40)]
+    signs = np.where(chance.random(40) < 0.4, 1, -1)
+    held, chosen = Rows.of(rows), np.arange(3, 40)
+    ratio = quality_classifier.log_count_ratio(held, chosen, signs, bits=5)
+    counts = {1: [1] * 32, -1: [1] * 32}
+    for i in chosen:
+        for feature in rows[i]:
+            counts[signs[i]][feature] += 1
+    for j in range(32):
+        plain = math.log(counts[1][j] / sum(counts[1])) - math.log(counts[-1][j] / sum(counts[-1]))
+        assert ratio[j] == pytest.approx(plain)
+    weights, bias = quality_classifier.dual_coordinate_descent(held, chosen, signs, ratio, rounds=400)
+    # a plain solver of the same dual: projected gradient on a dense matrix
+    x = np.zeros((len(chosen), 33))
+    for k, i in enumerate(chosen):
+        x[k, rows[i]] = ratio[rows[i]] / np.sqrt((ratio[rows[i]] ** 2).sum())
+    x[:, 32] = 1.0
+    y = signs[chosen]
+    upper = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == -1).sum()))
+    gram = (x @ x.T) * np.outer(y, y)
+    alpha, pace = np.zeros(len(y)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - pace * (gram @ alpha - 1), 0, upper)
+    plain = (alpha * y) @ x
+
+    def primal(w):
+        return 0.5 * w @ w + (upper * np.maximum(1 - y * (x @ w), 0)).sum()
+
+    ours = np.append(weights, bias)
+    assert primal(ours) == pytest.approx(primal(plain), rel=1e-3)
+    assert primal(ours) == pytest.approx(alpha.sum() - 0.5 * alpha @ gram @ alpha, rel=2e-3)
+    assert ours == pytest.approx(plain, abs=2e-2)
+
+
+def test_noisy_or_and_its_gradient_against_plain_versions():
+    texts = [("bad one. good two three.", 1), ("good two. fine. bad fine.", 0), ("fine bad bad!", 1), ("", 0)]
+    sample = toxicity.Sample.of(texts)
+    number = np.full(1 << toxicity.BITS, -1, np.int32)
+    used = np.unique(np.concatenate([sample.features[i] for i in range(4)]))
+    number[used] = np.arange(len(used))
+    theta = np.append(np.random.default_rng(1).random(len(used)), -2.0)
+
+    def plain_loss(theta):
+        total = 0.0
+        for text, label in texts:
+            clean = 1.0
+            for start, end in toxicity.sentences(text):
+                margin = theta[-1]
+                for word in dict.fromkeys(text[start:end].split()):
+                    own = toxicity.Bags.of([word]).features
+                    margin += sum(theta[number[f]] for f in own)
+                none = 1 / (1 + math.exp(-theta[-1]))
+                clean *= 1 - (1 / (1 + math.exp(-margin)) - none) / (1 - none)
+            whole = 1 - clean
+            whole = toxicity.UNEXPLAINED + (1 - toxicity.UNEXPLAINED) * whole
+            total -= math.log(whole if label else 1 - whole)
+        return total
+
+    for size in (1, 5, 1 << 19):
+        found = [toxicity.loss_slopes(block, theta) for block in toxicity._blocks(sample, number, size)]
+        assert sum(loss for loss, _ in found) == pytest.approx(plain_loss(theta))
+        slopes = sum(slope for _, slope in found)
+        for j in range(len(theta)):
+            step = np.zeros(len(theta))
+            step[j] = 1e-5
+            numeric = (plain_loss(theta + step) - plain_loss(theta - step)) / 2e-5
+            assert slopes[j] == pytest.approx(numeric, abs=1e-5)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(" x" * 40)).alias("text"),
+    )
+    rows = [(i, i % 2, i % 2) for i in range(3000)] + [(7, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), 2500)
+    found = sample.collect()
+    # of the hot doc_id one text, under both of its labels where both are chosen
+    hot = [r for r in found if int(r.text.split()[1]) % 3 == 0]
+    assert len(hot) <= 2 and len(found) > 1500
+    few = labelled_sample(docs, labels, "quality", F.lit(True), 2500, most_bytes=9_000).collect()
+    assert 60 <= len(few) and sum(len(t) for t in {r.text for r in few}) <= 9_000
+    assert sorted(few) == sorted(
+        labelled_sample(docs.repartition(5), labels, "quality", F.lit(True), 2500, 9_000).collect()
+    )
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), 100).collect()) <= 100
+
+
+def labelled(clean, toxic):
+    return toxicity.Sample.of([(t, 0) for t in clean] + [(t, 1) for t in toxic])
+
+
 def test_offending_sentences_are_found():
     clean = [f"The river is wide. You are a friend {i}. Boats go by." for i in range(30)]
     toxic = [f"The river is wide. You are a moron {i}. Boats go by." for i in range(30)]
-    model = toxicity.fit(clean + toxic, np.array([0] * 30 + [1] * 30))
+    model = toxicity.fit(labelled(clean, toxic))
     text = "Boats go by. The moron sleeps. The river bends."
     spans = toxicity.sentences(text)
     scores = model.sentence_scores(toxicity.Bags.of([text], [spans]))
@@ -85,7 +183,7 @@ def test_offending_sentences_are_found():
 def test_neutral_sentences_do_not_add_up():
     clean = [f"The river is wide. You are a friend {i}. Boats go by." for i in range(30)]
     toxic = [f"The river is wide. You are a moron {i}. Boats go by." for i in range(30)]
-    model = toxicity.fit(clean + toxic, np.array([0] * 30 + [1] * 30))
+    model = toxicity.fit(labelled(clean, toxic))
     long = "The river is wide. Boats go by. " * 25_000
     bags = toxicity.Bags.of([long, long + "The moron sleeps."])
     assert bags.sentences.tolist() == [50_000, 50_001]
@@ -93,6 +191,26 @@ def test_neutral_sentences_do_not_add_up():
     assert scores[0] < 0.01 and scores[1] >= toxicity.THRESHOLD
 
 
+def test_clean_texts_stay_clean_when_joined(spark):
+    """10,000 and 50,000 sentences of documents judged clean one by one, of the held-out fold."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert 0 < model.floor <= toxicity.SENTENCE_THRESHOLD
+    scored = toxicity.score_toxicity(docs, model, keep_text=True).where("held_out AND predicted = 0")
+    clean = scored.join(labels.where("toxic = 0").select("doc_id"), "doc_id").toPandas()
+    texts = [text for text in clean["text"] if text]
+    for least in (10_000, 50_000):
+        joined, n = [], 0
+        while n < least:
+            for text in texts:
+                joined.append(text)
+                n += len(toxicity.sentences(text))
+        bags = toxicity.Bags.of(["\n".join(joined)])
+        score = toxicity.noisy_or(bags, model.sentence_scores(bags), model.floor)
+        assert bags.sentences[0] >= least and score[0] < toxicity.THRESHOLD
+
+
 def test_sentences_cover_all_words():
     text = "one two. three\n\nfour" + " five" * 100
     spans = toxicity.sentences(text)
