@@ -5,44 +5,60 @@ Jaccard distance is a metric on sets. Two documents link when their distance is
 
 Regions. With documents as pivots, unrelated texts are all at distance 1 from every pivot and the
 triangle inequality separates nothing, so the outer regions lie around singletons: the pivot {s}
-is nearer than 1 exactly to the sets that hold s. Pivots are ordered, rare ones first; a set's home
-is its first pivot, and its boundary copies go to as many further pivots as a set within ``eps``
-may have ahead of the first one in common: n - ceil(percent * n / 100) in all. Two linked sets
-meet in the region of their first common pivot, for any order. The order only decides how full
-regions get; it comes from a bounded sample of documents.
+is nearer than 1 exactly to the sets that hold s. Pivots are ordered by how many sets of the whole
+input hold them, rarest first; a set's home is its first pivot, and its boundary copies go to as
+many further pivots as a set within ``eps`` may have ahead of the first one in common:
+n - ceil(percent * n / 100) in all. Two linked sets meet in the region of their first common pivot.
+Items that only one set holds come first in that order and have no region at all: a set with
+enough of them is farther than ``eps`` from every other set and needs no further look.
+
+How many sets hold an item is found by an exchange of fingerprints: runs of documents of a task are
+senders; each sends its distinct items as sorted, Golomb-coded fingerprints with local counts to
+owners of fingerprint ranges, which answer with the count over all senders. An item that a third
+of all documents hold is sent once a sender.
 
 Inside a region, two of its documents serve as pivots, in fuller ones six. Everything within ``eps`` of a pivot is
 linked to it, so its members form one component and need no further comparison. What is left are
 pairs from different components; the triangle inequality drops those whose distances to a pivot
 differ by more than ``eps``.
 
-Before any two sets are fetched, their images in coarser spaces are compared: counts of their
-items in 32, then 256 hash bins, and for large sets in 1024, whose city-block distance is never
-above the size of the sets' symmetric difference. Unrelated texts are far apart there too. The
-pairs left are compared exactly.
+Before any two sets are fetched, their images in coarser spaces are compared: items that no other set
+holds are in the symmetric difference for sure; to them comes the city-block distance between
+counts of the other items in 32, then 256 hash bins, and for large sets in 1024, which is never
+above the rest of the symmetric difference. The pairs left are compared exactly.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.common import settle
-from barloom.session import materialize
+from barloom.llm.common import settle, shuffle_partitions
+from barloom.llm.exact_dedup import decode_golomb, encode_golomb
+from barloom.session import materialize, new_folder, remove_folder
 
 WORDS = 5
 PERCENT = 80
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-# Documents whose n-grams decide which pivots come last.
-SAMPLE = 4_000
-FREQUENT = 3
-# Bits of the filter that spares most documents without candidates the second pass.
-FILTER_BITS = 1 << 25
+# Bits of fingerprints beyond those that tell all items apart: one item in 2^6 looks shared by chance.
+SPARE_BITS = 6
+# A sender is a run of at most so many items, distinct sets and rows of one task.
+SENDER_ITEMS, SENDER_SETS, SENDER_ROWS = 1 << 21, 30_000, 1 << 17
+# Items that one owner receives, about.
+OWNER_ITEMS = 1 << 22
+MOST_HELD = 255
+# Bits of the filter that spares documents without candidates the second pass: at most, and a document.
+FILTER_BITS, FILTER_SHARE = 1 << 28, 32
 COARSE_BINS, BINS, FINE_BINS = 32, 256, 1024
 # Sets above this size have fine bins as well.
 LARGE = 2000
@@ -74,51 +90,39 @@ def set_key(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).astype(np.int64))
 
 
-def pivots_of(
-    items: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray
-) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 items in the order of pivots.
-
-    Items outside ``frequent`` (sorted) come first, by value; the others follow by count and value.
-    """
-    most = len(items) + (-percent * len(items)) // 100 + 1
-    if not len(frequent) or not len(items):
-        return items[:most]
-    place = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
-    known = frequent[place] == items
-    rare = items[~known][:most]
-    if len(rare) == most:
-        return rare
-    late, weight = items[known], counts[place[known]]
-    return np.concatenate([rare, late[np.lexsort((late, weight))][: most - len(rare)]])
+def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many pivots a set has: n - ceil(percent * n / 100) + 1."""
+    return size + (-percent * size) // 100 + 1
 
 
-def bins_of(items: np.ndarray, bins: int, most: int) -> np.ndarray:
-    """How many items fall into each hash bin (a power of two of them), stopping at ``most``."""
-    shift = np.uint64(65 - bins.bit_length())
-    held = np.bincount((items >> shift).astype(np.int64), minlength=bins)
-    return np.minimum(held, most).astype(np.int16)
+def bins_of(prints: np.ndarray, width: int, bins: int, most: int) -> list[int]:
+    """How many fingerprints of ``width`` bits fall into each hash bin, stopping at ``most``."""
+    shift = max(width - (bins.bit_length() - 1), 0)
+    held = np.bincount(prints >> shift, minlength=bins)
+    return np.minimum(held, most).tolist()
 
 
 def bins_allow(name: str, percent: int) -> Column:
-    """Whether the bins <name>_a and <name>_b of sets of size_a and size_b items allow a link."""
+    """Whether lone items and the bins <name>_a and <name>_b of the others allow two sets to link."""
     gaps = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
-    apart = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
+    apart = F.aggregate(gaps, F.col("lone_a") + F.col("lone_b"), lambda total, gap: total + gap)
     return (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
 
 
 def may_link(percent: int) -> Column:
     """Whether sizes, coarse bins and bins of two sets allow a link."""
     size_a, size_b = F.col("size_a"), F.col("size_b")
+    apart = F.col("lone_a") + F.col("lone_b")
     return (
         (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
+        & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b))
         & bins_allow("coarse", percent)
         & bins_allow("bins", percent)
     )
 
 
 def finely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) without those of two large sets whose fine bins rule out a link."""
+    """Pairs (a, b, sizes, lone items) without those of two large sets whose fine bins rule out a link."""
     large = points.where(F.size("fine") > 0)
     for end in ("a", "b"):
         side = large.select(F.col("key").alias(end), F.col("fine").alias(f"fine_{end}"))
@@ -128,15 +132,11 @@ def finely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0, kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind, copy=False)))
-
-
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     """Unsigned items as signed longs, bit by bit."""
-    return _lists([array.view(np.int64) for array in arrays], np.int64)
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _map_sets(docs: DataFrame, n: int, schema: str, each) -> DataFrame:
@@ -154,84 +154,264 @@ def _map_sets(docs: DataFrame, n: int, schema: str, each) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frequent_ngrams(docs: DataFrame, n: int, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that at least FREQUENT of ``most`` documents hold, ascending, and in how many.
+@dataclass(frozen=True)
+class Exchange:
+    """Sizes that follow from the bytes of all texts."""
 
-    The sample is the rows with the smallest hashes of their doc_id, so it is bounded, and so is
-    what it tells. It affects the order of pivots only, never a result.
-    """
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    width: int
+    owners: int
 
-    def each(part: pa.RecordBatch, sets) -> list[pa.Array]:
-        return [_longs(sets(part.column(1).to_pylist()))]
-
-    rows = (
-        _map_sets(sample, n, "items array<bigint>", each)
-        .select(F.explode("items").alias("item"))
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).cast("int").alias("held"))
-        .where(F.col("held") >= FREQUENT)
-        .toPandas()
-    )
-    items = rows["item"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(items)
-    return items[order], rows["held"].to_numpy()[order]
+    @classmethod
+    def of(cls, docs: DataFrame) -> Exchange:
+        total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        items = max(total // 6, 1 << 10)
+        owners = max(math.ceil(items / OWNER_ITEMS), min(shuffle_partitions(docs.sparkSession), items >> 14), 1)
+        return cls(min(items.bit_length() + SPARE_BITS, 62), owners)
 
+    @property
+    def span(self) -> int:
+        return -(-(1 << self.width) // self.owners)
 
-def nodes_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, key, size and bins of each document's set, and its pivots. Empty sets have key null."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, n))
 
-    def each(part: pa.RecordBatch, sets) -> list[pa.Array]:
-        found = sets(part.column(1).to_pylist())
-        keys = [set_key(items) if len(items) else None for items in found]
-        none = np.empty(0, np.int16)
-        fine = [bins_of(s, FINE_BINS, 127) if len(s) > LARGE else none for s in found]
-        coarse = [bins_of(s, COARSE_BINS, 32767) for s in found]
-        return [
-            part.column(0),
-            pa.array(keys, pa.int64()),
-            pa.array([len(items) for items in found], pa.int64()),
-            _lists(coarse, np.int16),
-            _lists([bins_of(items, BINS, 127) for items in found], np.int8),
-            _lists(fine, np.int8),
-            _longs([pivots_of(items, percent, *shared.value) for items in found]),
-        ]
+_STORED = """sender bigint, class int, key bigint, size bigint, ids array<{kind}>, owner int, n int,
+    divisor int, quotients binary, remainders binary, counts binary, order binary"""
+
+
+class _Sender:
+    """A run of documents of a task: its distinct sets, and what it sends about them."""
+
+    def __init__(self, number: int) -> None:
+        self.number = number
+        self.classes: dict[int | None, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.ids: list[list] = []
+        self.rows = self.items = 0
+
+    def add(self, doc_id, items: np.ndarray) -> None:
+        key = set_key(items) if len(items) else None
+        place = self.classes.setdefault(key, len(self.classes))
+        if place == len(self.ids):
+            self.ids.append([])
+            self.sets.append(items)
+            self.items += len(items)
+        self.ids[place].append(doc_id)
+        self.rows += 1
+
+    def full(self, following: int) -> bool:
+        return self.rows > 0 and (
+            self.items + following > SENDER_ITEMS
+            or len(self.sets) >= SENDER_SETS
+            or self.rows >= SENDER_ROWS
+        )
 
+    def held(self) -> dict[str, list]:
+        """Its sets, each once, with the doc_ids of their rows."""
+        n = len(self.ids)
+        return {
+            "sender": [self.number] * n,
+            "class": list(range(n)),
+            "key": list(self.classes),
+            "size": [len(items) for items in self.sets],
+            "ids": self.ids,
+        }
+
+    def messages(self, plan: Exchange) -> Iterator[dict[str, list]]:
+        """To each owner the coded fingerprints, and, for itself, which sets hold each."""
+        if not self.items:
+            return
+        prints = (np.concatenate(self.sets) >> np.uint64(64 - plan.width)).astype(np.int64)
+        owner_of_item = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
+        order = np.argsort(prints, kind="stable")
+        prints, holders = prints[order], owner_of_item[order]
+        starts = np.flatnonzero(np.diff(prints, prepend=-1))
+        ends = np.append(starts[1:], len(prints))
+        distinct = prints[starts]
+        owners = distinct // plan.span
+        for owner in np.unique(owners):
+            low, high = np.searchsorted(owners, [owner, owner + 1])
+            divisor, quotients, remainders = encode_golomb(
+                distinct[low:high] - int(owner) * plan.span, plan.span
+            )
+            counts = (ends[low:high] - starts[low:high]).astype(np.uint16)
+            yield {
+                "sender": [self.number],
+                "owner": [int(owner)],
+                "n": [int(high - low)],
+                "divisor": [divisor],
+                "quotients": [quotients],
+                "remainders": [remainders],
+                "counts": [counts.tobytes()],
+                "order": [holders[starts[low] : ends[high - 1]].tobytes()],
+            }
+
+
+def _send(docs: DataFrame, n: int, plan: Exchange) -> DataFrame:
+    """Sets by sender, each once, and the senders' messages; told apart by ``owner`` being null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"doc_id {kind}, key bigint, size bigint, coarse array<smallint>, bins array<tinyint>, "
-        "fine array<tinyint>, pivots array<bigint>"
+    schema = T.StructType.fromDDL(_STORED.format(kind=kind))
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = kinds = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for columns in itertools.chain([sender.held()], sender.messages(plan)):
+                rows = len(columns["sender"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(columns[name], kinds[name])
+                        if name in columns
+                        else pa.nulls(rows, kinds[name])
+                        for name in names
+                    ],
+                    names,
+                )
+
+        for batch in batches:
+            if sender is None and batch.num_rows:
+                first = batch.column(2)[0].as_py() << 24
+                sender = _Sender(first)
+                kinds = _arrow_kinds(schema, batch.schema.field(0).type)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc_id, text in zip(
+                    part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True
+                ):
+                    items = ngram_set(text, n)
+                    if sender.full(len(items)):
+                        yield from close()
+                        sender = _Sender(sender.number + 1)
+                    sender.add(doc_id, items)
+        if sender is not None:
+            yield from close()
+
+    source = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("__partition"))
+    return source.mapInArrow(run, schema)
+
+
+def _arrow_kinds(schema: T.StructType, id_kind: pa.DataType) -> dict[str, pa.DataType]:
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return {
+        field.name: plain.get(field.dataType.simpleString(), pa.list_(id_kind)) for field in schema
+    }
+
+
+def _decoded(messages: pd.DataFrame) -> list[np.ndarray]:
+    columns = ["n", "divisor", "quotients", "remainders"]
+    return [decode_golomb(*row) for row in messages[columns].itertuples(index=False)]
+
+
+def _answer(messages: pd.DataFrame) -> pd.DataFrame:
+    """An owner's counts: for each sender's fingerprints how many sets of all senders hold them."""
+    prints = _decoded(messages)
+    flat = np.concatenate(prints)
+    counts = np.concatenate([np.frombuffer(c, np.uint16) for c in messages["counts"]]).astype(np.int64)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    sums = np.minimum(np.add.reduceat(counts[order], first), MOST_HELD).astype(np.uint8)
+    held = np.empty(len(flat), np.uint8)
+    held[order] = np.repeat(sums, np.diff(np.append(first, len(flat))))
+    parts = np.split(held, np.cumsum([len(p) for p in prints])[:-1])
+    return pd.DataFrame(
+        {
+            "sender": messages["sender"],
+            "owner": messages["owner"],
+            "held": [part.tobytes() for part in parts],
+        }
+    )
+
+
+def _receive(plan: Exchange, percent: int, messages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Those sets of a sender that have a region: lone items, bins of the others, pivots."""
+    messages = messages.sort_values("owner")
+    answered = dict(zip(answers["owner"], answers["held"], strict=True))
+    prints, held = [], []
+    for owner, own, counts in zip(
+        messages["owner"], _decoded(messages), messages["counts"], strict=True
+    ):
+        repeats = np.frombuffer(counts, np.uint16)
+        prints.append(np.repeat(own + owner * plan.span, repeats))
+        held.append(np.repeat(np.frombuffer(answered[owner], np.uint8), repeats))
+    item, count = np.concatenate(prints), np.concatenate(held)
+    owner = np.concatenate([np.frombuffer(o, np.uint16) for o in messages["order"]]).astype(np.int64)
+    by_set = np.lexsort((item, count, owner))
+    item, count, owner = item[by_set], count[by_set], owner[by_set]
+    size = np.bincount(owner)
+    start = np.cumsum(size) - size
+    lone = np.bincount(owner[count == 1], minlength=len(size))
+    last = prefix_length(size, percent)
+    rows = []
+    for k in np.flatnonzero(lone < last):
+        mine = slice(start[k] + lone[k], start[k] + size[k])
+        shared = item[mine]
+        rows.append(
+            (
+                int(k),
+                int(lone[k]),
+                bins_of(shared, plan.width, COARSE_BINS, 32767),
+                bins_of(shared, plan.width, BINS, 127),
+                bins_of(shared, plan.width, FINE_BINS, 127) if size[k] > LARGE else [],
+                np.unique(item[start[k] + lone[k] : start[k] + last[k]]).tolist(),
+            )
+        )
+    found = pd.DataFrame(rows, columns=["class", "lone", "coarse", "bins", "fine", "pivots"])
+    return found.assign(sender=messages["sender"].iloc[0] if len(messages) else 0)
+
+
+def nodes_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All sets by sender (key, size, ids; empty sets have key null), and those with a region."""
+    spark = docs.sparkSession
+    plan = Exchange.of(docs)
+    path = new_folder(spark, "ngram-senders")
+    _send(docs, n, plan).write.parquet(path)
+    stored = spark.read.parquet(path)
+    sent = stored.where("owner IS NOT NULL")
+    codes = sent.select("sender", "owner", "n", "divisor", "quotients", "remainders", "counts")
+    answers = codes.groupBy("owner").applyInPandas(_answer, "sender bigint, owner int, held binary")
+    mine = sent.select(*codes.columns, "order").groupBy("sender")
+
+    def receive(messages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _receive(plan, percent, messages, answers)
+
+    placed = mine.cogroup(answers.groupBy("sender")).applyInPandas(
+        receive,
+        "class int, lone bigint, coarse array<smallint>, bins array<tinyint>, fine array<tinyint>, "
+        "pivots array<bigint>, sender bigint",
     )
-    return _map_sets(docs.select("doc_id", "text"), n, schema, each)
+    nodes = stored.where("owner IS NULL").select("sender", "class", "key", "size", "ids")
+    nodes = materialize(nodes, "ngram-sets-held")
+    own = nodes.select("sender", "class", "key", "size", F.array_min("ids").alias("first"))
+    points = materialize(placed.join(own, ["sender", "class"]), "ngram-nodes")
+    remove_folder(spark, path)
+    return nodes, points
 
 
-def _bitmap(positions: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set at the given positions; a bounded array, whatever the input."""
+def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
+    """So many bits, set at the given positions; a bounded array, whatever the input."""
     bit = F.expr("shiftleft(1L, CAST(position % 64 AS INT))")
     words = (
         positions.groupBy(F.expr("position DIV 64").alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
         .toPandas()
     )
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap = np.zeros(bits // 64, np.int64)
     bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return bitmap.view(np.uint64)
 
 
-def _position(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+def _position(doc_id: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(bits))
 
 
 def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
     """key, size and items of the sets of ``first_docs`` (doc_id), each key once.
 
-    A fixed-size bit filter on doc_id lets the wanted documents pass, and a few others by chance,
-    so that no text and no set of the others is shuffled.
+    A bit filter on doc_id, sized by the number of wanted documents and never above 32 MB, lets them
+    pass, and a few others by chance, so that no text and no set of the others is shuffled.
     """
-    wanted = first_docs.select(_position("doc_id").alias("position"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    bits = 1 << min(max(first_docs.count() * FILTER_SHARE, 64) - 1, FILTER_BITS - 1).bit_length()
+    wanted = first_docs.select(_position("doc_id", bits).alias("position"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
 
     def each(part: pa.RecordBatch, sets) -> list[pa.Array]:
         position = part.column(0).to_numpy(zero_copy_only=False)
@@ -244,7 +424,7 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
             _longs(found),
         ]
 
-    source = docs.select(_position("doc_id").alias("position"), "text")
+    source = docs.select(_position("doc_id", bits).alias("position"), "text")
     rows = _map_sets(source, n, "key bigint, size bigint, items array<bigint>", each)
     return materialize(rows.dropDuplicates(["key"]), "ngram-sets")
 
@@ -252,10 +432,10 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of keys whose sizes and bins allow a link."""
     for end in ("a", "b"):
-        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "coarse", "bins")}}
+        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "lone", "coarse", "bins")}}
         side = points.select(*[F.col(name).alias(new) for name, new in names.items()])
         pairs = pairs.join(side, end)
-    near = pairs.where(may_link(percent)).select("a", "b", "size_a", "size_b")
+    near = pairs.where(may_link(percent)).select("a", "b", "size_a", "size_b", "lone_a", "lone_b")
     return finely(near, points, percent)
 
 
@@ -324,20 +504,14 @@ def linked_components(
 
     Equal sets are one node, so copies cost a row each. Sets are told apart by 64-bit hashes.
     """
-    nodes = materialize(nodes_of(docs, n, percent), "ngram-nodes")
-    held = nodes.where("key IS NOT NULL")
+    nodes, placed = nodes_of(docs, n, percent)
     points = settle(
-        held.groupBy("key").agg(
-            F.min("doc_id").alias("first"),
-            F.min("size").alias("size"),
-            F.first("coarse").alias("coarse"),
-            F.first("bins").alias("bins"),
-            F.first("fine").alias("fine"),
+        placed.groupBy("key").agg(
+            F.min("first").alias("first"),
+            *[F.first(name).alias(name) for name in ("size", "lone", "coarse", "bins", "fine", "pivots")],
         )
     )
-    members = held.select("key", "pivots").dropDuplicates(["key"]).select(
-        F.explode("pivots").alias("pivot"), "key"
-    )
+    members = points.select(F.explode("pivots").alias("pivot"), "key")
     regions = (
         members.groupBy("pivot")
         .agg(
@@ -369,8 +543,12 @@ def linked_components(
     joined = roots.withColumnRenamed("node", "key").join(classes, "key")
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
     named = joined.join(lowest, "root").select("key", "lowest")
-    result = nodes.select("doc_id", "key", "size").join(classes, "key", "left").join(named, "key", "left")
-    own = F.coalesce("lowest", "first", "doc_id")
+    copies = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min(F.array_min("ids")).alias("copy"))
+    copies = copies.join(named, "key", "left")
+    result = nodes.join(copies, "key", "left").select(
+        "size", "lowest", "copy", F.explode("ids").alias("doc_id")
+    )
+    own = F.coalesce("lowest", "copy", "doc_id")
     return result.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
 
@@ -397,8 +575,8 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .join(points.select("key", "size", "coarse", "bins"), "key")
-        .select("pivot", "key", "root", "size", "coarse", "bins", "from_low")
+        .join(points.select("key", "size", "lone", "coarse", "bins"), "key")
+        .select("pivot", "key", "root", "size", "lone", "coarse", "bins", "from_low")
     )
     sides = {
         end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
@@ -415,6 +593,8 @@ def _open_pairs(
             & F.coalesce(near, F.lit(True))
             & may_link(percent),
         )
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b")
+        .select(
+            F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b", "lone_a", "lone_b"
+        )
         .distinct()
     )

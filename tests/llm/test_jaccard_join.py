@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,20 +83,55 @@ def test_odd_documents(spark):
 
 def test_bins_never_exceed_the_difference():
     chance = np.random.default_rng(5)
-    for _ in range(50):
-        pool = chance.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
-        a, b = (np.unique(chance.choice(pool, 200)) for _ in range(2))
-        for bins in (jaccard_join.COARSE_BINS, jaccard_join.BINS, jaccard_join.FINE_BINS):
-            one, other = (jaccard_join.bins_of(s, bins, 127).astype(int) for s in (a, b))
-            assert len(one) == bins and one.sum() == len(a)
-            assert np.abs(one - other).sum() <= len(np.setxor1d(a, b))
-
-
-def test_order_does_not_change_the_prefix_length():
-    items = np.unique(np.random.default_rng(1).integers(0, 2**63, 100).astype(np.uint64))
-    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    some = (items[:60], np.arange(60))
-    assert len(jaccard_join.pivots_of(items, 85, *none)) == 16
-    late = jaccard_join.pivots_of(items, 85, *some)
-    assert len(late) == 16 and set(late) <= set(items[60:])
-    assert len(jaccard_join.pivots_of(items[:1], 85, *some)) == 1
+    for width in (20, 40):
+        for _ in range(30):
+            pool = chance.integers(0, 1 << width, 400)
+            a, b = (np.unique(chance.choice(pool, 200)) for _ in range(2))
+            for bins in (jaccard_join.COARSE_BINS, jaccard_join.BINS, jaccard_join.FINE_BINS):
+                one, other = (np.array(jaccard_join.bins_of(s, width, bins, 127)) for s in (a, b))
+                assert len(one) == bins and one.sum() == len(a)
+                assert np.abs(one - other).sum() <= len(np.setxor1d(a, b))
+
+
+def test_prefix_length():
+    sizes = np.array([1, 2, 20, 100, 101])
+    assert jaccard_join.prefix_length(sizes, 85).tolist() == [1, 1, 4, 16, 16]
+
+
+@pytest.mark.parametrize("items", [1 << 21, 40, 1])
+def test_lone_items_and_pivots_against_plain_counts(spark, monkeypatch, items):
+    monkeypatch.setattr(jaccard_join, "SENDER_ITEMS", items)
+    texts = copies(7)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    nodes, points = jaccard_join.nodes_of(docs, 4, 85)
+    assert sorted(d for r in nodes.collect() for d in r.ids) == sorted(texts)
+    sets = {d: plain_sets(t, 4) for d, t in texts.items()}
+    held = Counter(s for own in set(sets.values()) for s in own)
+    copied = Counter(sets.values())
+    placed = {r.first: r for r in points.collect()}
+    for doc_id, own in sets.items():
+        lone = sum(held[s] == 1 for s in own)
+        row = placed.get(doc_id)
+        if row is not None:
+            assert row.size == len(own)
+            # copies in other senders and chance collisions only make an item look shared
+            assert row.lone <= lone
+        elif copied[own] == 1:
+            assert lone > len(own) - -(-85 * len(own) // 100)
+
+
+@pytest.mark.parametrize("edits", [9, 14])
+def test_a_large_group_near_the_threshold(spark, edits):
+    """500 copies of one text, each edited in places of its own, around a similarity of 0.85."""
+    chance = random.Random(edits)
+    base = [f"b{i}" for i in range(240)]
+    texts = {}
+    for k in range(500):
+        words = list(base)
+        for place in chance.sample(range(240), chance.randint(1, edits)):
+            words[place] = f"e{k}x{place}" if k % 3 else f"e{place}"
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    found = jaccard_join.linked_components(docs, 4, 85).collect()
+    plain = plain_components(texts, 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain
