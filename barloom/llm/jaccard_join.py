@@ -24,8 +24,10 @@ differ by more than ``eps``.
 
 Before any two sets are fetched, their images in coarser spaces are compared: items that no other set
 holds are in the symmetric difference for sure; to them comes the city-block distance between
-counts of the other items in 32, then 256 hash bins, and for large sets in 1024, which is never
-above the rest of the symmetric difference. The pairs left are compared exactly.
+counts of the other items in 32 hash bins, then between the parities of such counts in 4,096, and for
+large sets between counts in 1,024. None is ever above the rest of the symmetric difference, and
+the parities of common sets are seldom below it, so that sets just too far apart are told apart
+where they meet. The pairs left are compared exactly.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ OWNER_ITEMS = 1 << 22
 MOST_HELD = 255
 # Bits of the filter that spares documents without candidates the second pass: at most, and a document.
 FILTER_BITS, FILTER_SHARE = 1 << 28, 32
-COARSE_BINS, BINS, FINE_BINS = 32, 256, 1024
+COARSE_BINS, PARITY_BINS, FINE_BINS = 32, 4096, 1024
 # Sets above this size have fine bins as well.
 LARGE = 2000
 # Regions with at least so many members get the further pivots, the smallest keys under these masks.
@@ -102,22 +104,35 @@ def bins_of(prints: np.ndarray, width: int, bins: int, most: int) -> list[int]:
     return np.minimum(held, most).tolist()
 
 
+def parities_of(prints: np.ndarray, width: int) -> list[int]:
+    """Whether each of PARITY_BINS hash bins holds an odd number of fingerprints, a bit each."""
+    shift = max(width - (PARITY_BINS.bit_length() - 1), 0)
+    odd = (np.bincount(prints >> shift, minlength=PARITY_BINS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 def bins_allow(name: str, percent: int) -> Column:
     """Whether lone items and the bins <name>_a and <name>_b of the others allow two sets to link."""
-    gaps = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int")))
+
+    def gap(x: Column, y: Column) -> Column:
+        if name == "parities":
+            return F.bit_count(x.bitwiseXOR(y))
+        return F.abs(x.cast("int") - y.cast("int"))
+
+    gaps = F.zip_with(f"{name}_a", f"{name}_b", gap)
     apart = F.aggregate(gaps, F.col("lone_a") + F.col("lone_b"), lambda total, gap: total + gap)
     return (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
 
 
 def may_link(percent: int) -> Column:
-    """Whether sizes, coarse bins and bins of two sets allow a link."""
+    """Whether sizes, lone items, coarse bins and parities of two sets allow a link."""
     size_a, size_b = F.col("size_a"), F.col("size_b")
     apart = F.col("lone_a") + F.col("lone_b")
     return (
         (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
         & ((100 + percent) * apart <= (100 - percent) * (size_a + size_b))
         & bins_allow("coarse", percent)
-        & bins_allow("bins", percent)
+        & bins_allow("parities", percent)
     )
 
 
@@ -349,12 +364,12 @@ def _receive(plan: Exchange, percent: int, messages: pd.DataFrame, answers: pd.D
                 int(k),
                 int(lone[k]),
                 bins_of(shared, plan.width, COARSE_BINS, 32767),
-                bins_of(shared, plan.width, BINS, 127),
+                parities_of(shared, plan.width),
                 bins_of(shared, plan.width, FINE_BINS, 127) if size[k] > LARGE else [],
                 np.unique(item[start[k] + lone[k] : start[k] + last[k]]).tolist(),
             )
         )
-    found = pd.DataFrame(rows, columns=["class", "lone", "coarse", "bins", "fine", "pivots"])
+    found = pd.DataFrame(rows, columns=["class", "lone", "coarse", "parities", "fine", "pivots"])
     return found.assign(sender=messages["sender"].iloc[0] if len(messages) else 0)
 
 
@@ -375,7 +390,7 @@ def nodes_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
 
     placed = mine.cogroup(answers.groupBy("sender")).applyInPandas(
         receive,
-        "class int, lone bigint, coarse array<smallint>, bins array<tinyint>, fine array<tinyint>, "
+        "class int, lone bigint, coarse array<smallint>, parities array<bigint>, fine array<tinyint>, "
         "pivots array<bigint>, sender bigint",
     )
     nodes = stored.where("owner IS NULL").select("sender", "class", "key", "size", "ids")
@@ -432,7 +447,7 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of keys whose sizes and bins allow a link."""
     for end in ("a", "b"):
-        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "lone", "coarse", "bins")}}
+        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "lone", "coarse", "parities")}}
         side = points.select(*[F.col(name).alias(new) for name, new in names.items()])
         pairs = pairs.join(side, end)
     near = pairs.where(may_link(percent)).select("a", "b", "size_a", "size_b", "lone_a", "lone_b")
@@ -508,7 +523,7 @@ def linked_components(
     points = settle(
         placed.groupBy("key").agg(
             F.min("first").alias("first"),
-            *[F.first(name).alias(name) for name in ("size", "lone", "coarse", "bins", "fine", "pivots")],
+            *[F.first(name).alias(name) for name in ("size", "lone", "coarse", "parities", "fine", "pivots")],
         )
     )
     members = points.select(F.explode("pivots").alias("pivot"), "key")
@@ -575,8 +590,8 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .join(points.select("key", "size", "lone", "coarse", "bins"), "key")
-        .select("pivot", "key", "root", "size", "lone", "coarse", "bins", "from_low")
+        .join(points.select("key", "size", "lone", "coarse", "parities"), "key")
+        .select("pivot", "key", "root", "size", "lone", "coarse", "parities", "from_low")
     )
     sides = {
         end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
