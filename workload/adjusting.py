@@ -6,7 +6,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from barloom.operators import adjust, history, summary
+from barloom.operators import adjust, chain, history, summary
+from barloom.session import materialize, new_folder
+from barloom.sinks.adjusted import read_adjusted, readjust_late_actions, write_adjusted
 from workload import inputs
 from workload.inputs import sql
 from workload.registry import query
@@ -35,6 +37,34 @@ def adjusted_add(spark, folder):
     return adjust.adjust_prices(inputs.prices(spark, folder), "add")
 
 
+_ADDED = sql(
+    """SELECT code, date, open, high, low, close, volume, turnover_value, adjustment_factor,
+    processed_at, open * m AS adj_open, high * m AS adj_high, low * m AS adj_low,
+    close * m AS adj_close, volume * (1 / m) AS adj_volume FROM adjusted""",
+    "adjusted",
+)
+
+
+@query(_ADDED)
+def adjusted_from_chain(spark, folder):
+    rows = inputs.prices(spark, folder)
+    chains = materialize(chain.event_chain(rows), "event-chain")
+    return chain.adjust_with_chain(rows, chains, "add")
+
+
+@query(_ADDED)
+def readjust_late_action(spark, folder):
+    """Every action from 1997 on arrives after the bars are stored."""
+    rows = materialize(inputs.prices(spark, folder), "bars")
+    late = F.col("date") >= F.lit(date(1997, 1, 1))
+    path = new_folder(spark, "adjusted")
+    unaware = F.when(late, F.lit(1.0)).otherwise(F.col("adjustment_factor"))
+    write_adjusted(rows.withColumn("adjustment_factor", unaware), path, 4)
+    actions = rows.where(late & (F.col("adjustment_factor") != 1.0))
+    readjust_late_actions(actions.select("code", "date", "adjustment_factor"), path, 4)
+    return read_adjusted(spark, path).drop("year", "bucket")
+
+
 @query(
     sql(
         """SELECT code, date, open * m AS open, high * m AS high, low * m AS low,
