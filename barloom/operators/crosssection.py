@@ -1,10 +1,11 @@
 """Ranks, percentiles and standard scores across all securities of a day.
 
-A day holds as many rows as there are securities, and nothing bounds that. Rows
-are therefore dealt into ranges of (group, value) whose borders follow the data,
-equal values being split by the rest of the row, and stored once. Inside a range
-they are ordered; totals of the ranges, a few rows a group, place each range in
-its group and settle values that lie in several ranges. No step gathers a group.
+A day holds as many rows as there are securities, and nothing bounds that. Values are therefore
+counted first: equal values of a group become one row with their number, combined by map task, so
+a value that half of a day's rows share weighs no more than any other. The counted values are
+dealt into ranges of (group, value) whose borders follow them and stored once; inside a range they
+are ordered, and totals of the ranges, a few rows a group, place each range in its group. Rows get
+their places by a join on the value. No step gathers a group, and rows themselves are never sorted.
 
 NaN counts as missing, like null: it has no rank and no part in percentiles and
 moments. Infinite values rank at the ends; they have no part in moments.
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from barloom.session import materialize
 
-BEFORE, PLACE, TOTAL = "_before", "_place", "_total"
-_KEY, _RANGE = "_key", "_range"
+BEFORE, TOTAL = "_before", "_total"
+_KEY, _RANGE, _MEASURE, _N = "_key", "_range", "_measure", "_n"
 # A spread this small is rounding, not spread.
 LEAST_SPREAD = 1e-9
 
@@ -35,120 +36,123 @@ def _known(rows: DataFrame, value: str) -> Column:
     return F.col(value)
 
 
-def with_places(
-    rows: DataFrame, value: str, group: Sequence[str], descending: bool = False
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    return reduce(and_, [left[name].eqNullSafe(right[name]) for name in names])
+
+
+def value_places(
+    counted: DataFrame, value: str, group: Sequence[str], descending: bool = False
 ) -> DataFrame:
-    """Rows with their place in the order of their group.
+    """Counted values (group, value, ``_n``) with their place in the order of their group.
 
-    Adds ``_before`` (rows of smaller value; null without a value), ``_place``
-    (a number of its own, from 0) and ``_total`` (rows with a value). The rows
-    are written to the shared folder once, while the plan is built: ranges must
-    be the same for every branch that reads them.
+    Adds ``_before`` (rows of values that come earlier) and ``_total`` (rows of the group). The values,
+    each once a group and none missing, are written to the shared folder while the plan is built:
+    ranges must be the same for every branch that reads them.
     """
     group = list(group)
-    order = F.desc_nulls_last(_KEY) if descending else F.asc_nulls_last(_KEY)
-    keyed = rows.withColumn(_KEY, _known(rows, value))
-    dealt = keyed.repartitionByRange(*group, order, F.xxhash64(*rows.columns))
+    order = F.desc(value) if descending else F.asc(value)
+    dealt = counted.repartitionByRange(*group, order)
     stored = materialize(dealt.withColumn(_RANGE, F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy(*group, _RANGE).orderBy(order)
-    ranked = stored.withColumns(
-        {"_inside": F.rank().over(inside) - 1, "_nth": F.row_number().over(inside) - 1}
-    )
-    first, last = (F.max, F.min) if descending else (F.min, F.max)
-    ranges = (
-        ranked.where(F.col(_KEY).isNotNull())
-        .groupBy(*group, _RANGE)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            first(_KEY).alias("_first"),
-            last(_KEY).alias("_last"),
-            F.max("_inside").alias("_below_last"),
-        )
-    )
+    earlier = Window.partitionBy(*group, _RANGE).orderBy(order)
+    inside = F.coalesce(F.sum(_N).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy(*group)
     ahead = whole.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    # Rows of earlier ranges that equal a range's first value end those ranges.
-    ends = ranges.select(
-        *group, _RANGE, F.col("_last").alias("_v"), (F.col("_n") - F.col("_below_last")).alias("_m"), F.lit(1).alias("_end")
-    )
-    starts = ranges.select(
-        *group, _RANGE, F.col("_first").alias("_v"), F.lit(0).cast("long").alias("_m"), F.lit(0).alias("_end")
-    )
-    earlier = (
-        Window.partitionBy(*group, "_v")
-        .orderBy(_RANGE, "_end")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    equal = (
-        ends.unionByName(starts)
-        .withColumn("_equal", F.sum("_m").over(earlier))
-        .where("_end = 0")
-        .select(*group, _RANGE, "_equal")
-    )
+    ranges = stored.groupBy(*group, _RANGE).agg(F.sum(_N).alias("_all"))
     offsets = ranges.select(
         *group,
         _RANGE,
-        "_first",
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"),
-        F.sum("_n").over(whole).alias(TOTAL),
-    ).join(equal, [*group, _RANGE])
-    before = F.when(F.col(_KEY) == F.col("_first"), F.col("_ahead") - F.col("_equal")).when(
-        F.col(_KEY).isNotNull(), F.col("_ahead") + F.col("_inside")
+        F.coalesce(F.sum("_all").over(ahead), F.lit(0)).alias("_ahead"),
+        F.sum("_all").over(whole).alias(TOTAL),
     )
-    return ranked.join(offsets, [*group, _RANGE], "left").select(
-        *rows.columns,
-        _KEY,
-        before.alias(BEFORE),
-        F.when(F.col(_KEY).isNotNull(), F.col("_ahead") + F.col("_nth")).alias(PLACE),
+    placed = stored.withColumn("_inside", inside)
+    return placed.join(offsets, _same(placed, offsets, [*group, _RANGE])).select(
+        *[placed[name] for name in counted.columns],
+        (F.col("_ahead") + F.col("_inside")).alias(BEFORE),
         TOTAL,
     )
 
 
-def with_rank(
+def with_ranks(
     rows: DataFrame,
-    value: str,
+    names: dict[str, str],
     group: Sequence[str] = ("date",),
-    name: str = "rank",
     descending: bool = False,
-    tiles: int | None = None,
-    tile_name: str = "decile",
+    tiles: dict[str, tuple[int, str]] | None = None,
 ) -> DataFrame:
-    """Add the rank of a value within its group; equal values share the smallest rank.
+    """Add the ranks of several values within their groups: value column to rank column.
 
-    With ``tiles`` the group is also cut into that many parts by rank, so equal
-    values always fall into the same part. A missing value gets a null rank.
+    Equal values share the smallest rank; a missing value has a null rank. ``tiles`` cuts groups by
+    the rank of a value into so many parts, in a column of the given name: equal values always fall
+    into the same part. The rows are stored once; values of one type are counted together in one
+    table.
     """
-    placed = with_places(rows, value, group, descending)
-    columns = [(F.col(BEFORE) + 1).alias(name)]
-    if tiles is not None:
-        columns.append((F.floor(F.col(BEFORE) * tiles / F.col(TOTAL)).cast("int") + 1).alias(tile_name))
-    return placed.select(*rows.columns, *columns)
+    group = list(group)
+    stored = materialize(rows, "ranked")
+    kinds: dict[str, list[str]] = {}
+    for value in names:
+        kinds.setdefault(rows.schema[value].dataType.simpleString(), []).append(value)
+    result, columns = stored, {}
+    for values in kinds.values():
+        each = [
+            F.struct(F.lit(i).alias(_MEASURE), _known(stored, value).alias(_KEY))
+            for i, value in enumerate(values)
+        ]
+        long = stored.select(*group, F.inline(F.array(*each)))
+        counted = long.where(F.col(_KEY).isNotNull()).groupBy(_MEASURE, *group, _KEY)
+        places = value_places(
+            counted.agg(F.count(F.lit(1)).alias(_N)), _KEY, [_MEASURE, *group], descending
+        )
+        for i, value in enumerate(values):
+            own = places.where(F.col(_MEASURE) == i).select(
+                *[F.col(name).alias(f"_{i}_{name}") for name in group],
+                F.col(_KEY).alias(f"_{i}_key"),
+                F.col(BEFORE).alias(f"_before_{value}"),
+                F.col(TOTAL).alias(f"_total_{value}"),
+            )
+            same = [result[name].eqNullSafe(F.col(f"_{i}_{name}")) for name in group]
+            met = reduce(and_, same, _known(stored, value) == F.col(f"_{i}_key"))
+            kept = [name for name in (*rows.columns, *columns)]
+            result = result.join(own, met, "left").select(
+                *kept, f"_before_{value}", f"_total_{value}"
+            )
+            columns |= {f"_before_{value}": None, f"_total_{value}": None}
+    ranks = [(F.col(f"_before_{value}") + 1).alias(name) for value, name in names.items()]
+    for value, (parts, name) in (tiles or {}).items():
+        share = F.col(f"_before_{value}") * parts / F.col(f"_total_{value}")
+        ranks.append((F.floor(share).cast("int") + 1).alias(name))
+    return result.select(*rows.columns, *ranks)
 
 
-def with_ranks(
-    rows: DataFrame, names: dict[str, str], group: Sequence[str] = ("date",)
+def with_rank(
+    rows: DataFrame,
+    value: str,
+    group: Sequence[str] = ("date",),
+    name: str = "rank",
+    descending: bool = False,
+    tiles: int | None = None,
+    tile_name: str = "decile",
 ) -> DataFrame:
-    """Ranks of several values, one after the other: value column to rank column."""
-    ranked = rows
-    for value, name in names.items():
-        ranked = with_rank(ranked, value, group, name)
-    return ranked.select(*rows.columns, *names.values())
+    """Add the rank of one value within its group, and its tile, as ``with_ranks`` does."""
+    cut = {value: (tiles, tile_name)} if tiles is not None else None
+    return with_ranks(rows, {value: name}, group, descending, cut)
 
 
 def group_percentiles(
     rows: DataFrame, value: str, levels: dict[str, float], group: Sequence[str] = ("date",)
 ) -> DataFrame:
-    """Exact percentiles of each group, one column per level.
+    """Exact percentiles of each group, one column per level; groups without values have none.
 
     Between two values ``low`` and ``high`` it is ``low + (high - low) * share``;
     next to an infinite one it is that one.
     """
-    placed = with_places(rows.select(*group, value), value, group)
+    known = rows.select(*group, _known(rows, value).alias(_KEY)).where(F.col(_KEY).isNotNull())
+    counted = known.groupBy(*group, _KEY).agg(F.count(F.lit(1)).alias(_N))
+    placed = value_places(counted, _KEY, group)
     measures: list[Column] = []
     for name, level in levels.items():
         position = F.lit(level) * (F.col(TOTAL) - 1)
         for edge, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            here = F.col(PLACE) == index
+            here = (F.col(BEFORE) <= index) & (index < F.col(BEFORE) + F.col(_N))
             measures.append(F.max(F.when(here, F.col(_KEY))).alias(f"_{name}_{edge}"))
     picked = placed.groupBy(*group).agg(*measures, F.max(TOTAL).alias(TOTAL))
     result = []

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import corporate, crosssection, returns, signals
+from barloom.session import materialize
 from tests.frames import D15, D16, D17, price_row, prices
 
 
@@ -97,13 +98,41 @@ def test_percentiles(values):
     assert clamped.where(missing).count() == values.where(missing).count()
 
 
-def test_one_value_is_dealt_over_ranges(spark):
-    rows = spark.range(4000).select(
-        F.lit(D15).alias("date"), F.col("id").alias("code"), F.lit(1.0).alias("value")
+def test_a_value_of_half_the_rows_fills_no_range(spark, monkeypatch):
+    """Ranges hold counted values, so none is above twice the mean, and equal values share a rank."""
+    kept = []
+
+    def keep(rows, label="table"):
+        stored = materialize(rows, label)
+        kept.append((label, stored))
+        return stored
+
+    monkeypatch.setattr(crosssection, "materialize", keep)
+    n = F.col("id")
+    rows = spark.range(20_000).select(
+        F.lit(D15).alias("date"), n.alias("code"), F.when(n % 2 == 0, 0.0).otherwise(n.cast("double")).alias("value")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = crosssection.with_rank(rows, "value")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = dict(kept)["ranges"].groupBy("_range").count().toPandas()["count"]
+    assert len(ranges) == 8 and ranges.sum() == 10_001 and ranges.max() <= 2 * ranges.mean()
+    found = ranked.groupBy("rank").count().orderBy("rank").collect()
+    assert [r.rank for r in found] == [1, *range(10_001, 20_001)] and found[0]["count"] == 10_000
+
+
+def test_ranks_of_several_values_and_null_groups(spark):
+    rows = spark.createDataFrame(
+        [("a", 1.0, 2.0, 5), (None, 3.0, float("nan"), 4), (None, 3.0, 1.0, None), (None, -0.0, 0.0, 7), ("a", None, 2.0, 9)],
+        "g string, x double, y double, z int",
     )
-    placed = crosssection.with_places(rows, "value", ["date"])
-    assert placed.agg(F.max("_before"), F.min("_before")).first()[:] == (0, 0)
-    assert placed.select("_place").distinct().count() == 4000
+    found = crosssection.with_ranks(rows, {"x": "rx", "y": "ry", "z": "rz"}, ["g"]).collect()
+    got = sorted(((r.g, r.z, r.rx, r.ry, r.rz) for r in found), key=str)
+    expected = [("a", 5, 1, 1, 1), (None, 4, 2, None, 1), (None, None, 2, 2, None), (None, 7, 1, 1, 2), ("a", 9, None, 1, 2)]
+    assert got == sorted(expected, key=str)
+    assert crosssection.with_ranks(rows.where("false"), {"x": "rx"}, ["g"]).isEmpty()
 
 
 def test_zscores(spark):
