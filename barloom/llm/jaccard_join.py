@@ -17,8 +17,9 @@ senders; each sends its distinct items as sorted, Golomb-coded fingerprints with
 owners of fingerprint ranges, which answer with the count over all senders. An item that a third
 of all documents hold is sent once a sender.
 
-Inside a region, two of its documents serve as pivots, in fuller ones six. Everything within ``eps`` of a pivot is
-linked to it, so its members form one component and need no further comparison. What is left are
+Inside a region, two of its documents serve as pivots, in fuller ones six; a set is compared with
+those of its fullest region. Everything within ``eps`` of a pivot is linked to it, so its members
+form one component and need no further comparison. What is left are
 pairs from different components; the triangle inequality drops those whose distances to a pivot
 differ by more than ``eps``.
 
@@ -536,14 +537,16 @@ def linked_components(
             *[F.expr(f"min(key ^ {m}L) ^ {m}L").alias(f"p{i}") for i, m in enumerate(_MASKS)],
         )
         .where("low < high")
-        .select("pivot", F.expr(_CENTRES).alias("centres"))
+        .select("pivot", "members", F.expr(_CENTRES).alias("centres"))
     )
     shared = materialize(members.join(regions, "pivot"), "ngram-regions")
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    to_centres = shared.select("key", F.explode("centres").alias("centre"))
+    # a set meets the centres of its fullest region: near copies share it, and so their centres
+    fullest = shared.groupBy("key").agg(F.max(F.struct("members", "pivot", "centres")).alias("own"))
+    to_centres = fullest.select("key", F.explode("own.centres").alias("centre"))
     to_centres = to_centres.where("key != centre").select(*ordered("centre", "key")).distinct()
     near = settle(possible(to_centres, points, percent))
     first = settle(distances(docs, near, points, n, percent))
@@ -581,7 +584,7 @@ def _open_pairs(
         .where("least < most")
         .select("pivot")
     )
-    inside = placed.where(~F.array_contains("centres", F.col("key"))).join(mixed, "pivot")
+    inside = placed.join(mixed, "pivot")
     inside = settle(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
     to_low = first.select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("from_low")

@@ -75,28 +75,31 @@ def collected(sample: DataFrame) -> Iterator[tuple[str, int]]:
 
 @dataclass
 class Rows:
-    """Feature numbers of many rows, one after the other, and where each row ends."""
+    """Small integers of many rows, 32 bits each, in chunks that never grow once made."""
 
-    flat: np.ndarray
-    ends: np.ndarray
+    chunks: list[np.ndarray]
+    places: list[tuple[int, int, int]]
 
     @classmethod
-    def of(cls, arrays: Iterable[np.ndarray]) -> Rows:
-        """From arrays of small integers; holds each once, whatever it came from."""
-        flat, ends, n = np.empty(1 << 16, np.int32), [], 0
+    def of(cls, arrays: Iterable[np.ndarray], size: int = 1 << 20) -> Rows:
+        """Holds each array once, whatever it came from."""
+        chunks, places, open_rows, n = [], [], [], 0
         for array in arrays:
-            while n + len(array) > len(flat):
-                flat = np.concatenate([flat, np.empty(len(flat) // 2, np.int32)])
-            flat[n : n + len(array)] = array
+            places.append((len(chunks), n, n + len(array)))
+            open_rows.append(array.astype(np.int32))
             n += len(array)
-            ends.append(n)
-        return cls(flat[:n], np.array(ends, np.int64))
+            if n >= size:
+                chunks.append(np.concatenate(open_rows))
+                open_rows, n = [], 0
+        chunks.append(np.concatenate([np.empty(0, np.int32), *open_rows]))
+        return cls(chunks, places)
 
     def __len__(self) -> int:
-        return len(self.ends)
+        return len(self.places)
 
     def __getitem__(self, i: int) -> np.ndarray:
-        return self.flat[self.ends[i - 1] if i else 0 : self.ends[i]]
+        chunk, start, end = self.places[i]
+        return self.chunks[chunk][start:end]
 
 
 def map_texts(
