@@ -68,7 +68,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode),
 ]
-# Trained models and best paths are not SQL; tests compare the stages with plain Python.
+# Trained models and best paths are not SQL; each operator has plain versions in its own tests.
 ORACLE_SQL = None
 
 
