@@ -65,6 +65,8 @@ FILTER_BITS, FILTER_SHARE = 1 << 28, 32
 COARSE_BINS, PARITY_BINS, FINE_BINS = 32, 4096, 1024
 # Sets above this size have fine bins as well.
 LARGE = 2000
+# So many pivots of a set go along into its regions, to tell where a pair meets first.
+CARRIED = 64
 # Regions with at least so many members get the further pivots, the smallest keys under these masks.
 FULL = 8
 _MASKS = tuple((odd * 0xBF58476D1CE4E5B9) % (1 << 63) for odd in (*_ODD, 0x165667B19E3779F9))
@@ -573,7 +575,12 @@ def linked_components(
 def _open_pairs(
     shared: DataFrame, first: DataFrame, roots: DataFrame, points: DataFrame, percent: int
 ) -> DataFrame:
-    """Pairs of a region that lie in different components and may still be within ``eps``."""
+    """Pairs of a region that lie in different components and may still be within ``eps``.
+
+    A pair that shares several regions is formed in the first of them: rows carry the first of
+    their set's pivots, and a region leaves out pairs that meet in an earlier one. What meets only
+    beyond those carried may be formed in several regions, and is one pair in the end.
+    """
     eps = 1 - percent / 100 + 1e-9
     placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key")
@@ -593,8 +600,11 @@ def _open_pairs(
         inside.withColumn("x", F.least("key", "low"))
         .withColumn("y", F.greatest("key", "low"))
         .join(to_low, ["x", "y"], "left")
-        .join(points.select("key", "size", "lone", "coarse", "parities"), "key")
-        .select("pivot", "key", "root", "size", "lone", "coarse", "parities", "from_low")
+        .join(points.select("key", "size", "lone", "coarse", "parities", "pivots"), "key")
+        .select(
+            *("pivot", "key", "root", "size", "lone", "coarse", "parities", "from_low"),
+            F.expr(f"filter(slice(pivots, 1, {CARRIED}), p -> p < pivot)").alias("earlier"),
+        )
     )
     sides = {
         end: inside.select(*[F.col(name).alias(f"{name}_{end}") for name in inside.columns])
@@ -609,7 +619,8 @@ def _open_pairs(
             & (F.col("key_a") < F.col("key_b"))
             & (F.col("root_a") != F.col("root_b"))
             & F.coalesce(near, F.lit(True))
-            & may_link(percent),
+            & may_link(percent)
+            & ~F.arrays_overlap("earlier_a", "earlier_b"),
         )
         .select(
             F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b", "lone_a", "lone_b"
