@@ -20,14 +20,19 @@ PARTITION = "partition_date"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
-    """A Parquet dataset, or an empty frame when the path does not exist."""
+    """A Parquet dataset, or an empty frame when the path does not exist.
+
+    With a schema the empty frame is a scan of no files, which knows ``_metadata`` like any other.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema or T.StructType([]))
+        if schema is None:
+            return spark.createDataFrame([], T.StructType([]))
+        return spark.read.schema(schema).parquet()
 
 
 def read_raw(

@@ -289,6 +289,17 @@ def test_one_security_lies_in_one_file_of_a_year(spark, tmp_path):
     assert read_by_security(spark, path).count() == 12_000
 
 
+def test_a_lake_whose_days_are_all_rejected_has_no_securities(spark, tmp_path):
+    lake = PriceLake(spark, str(tmp_path / "lake"), 4)
+    worthless = [(*RAW_ROWS[0][:5], 0.0, *RAW_ROWS[0][6:])]
+    lake.land(raw_quotes(spark, worthless), "daily_quotes", D15)
+    assert [r.reason for r in lake.normalize(processed_at="s").collect()] == ["non_positive_close"]
+    assert lake.cluster()["records_written"] == 0
+    stats = lake.security_stats()
+    assert stats.columns == ["code", "records", "files", "size_mb"]
+    assert stats.collect() == [] and lake.codes().collect() == []
+
+
 def test_arrivals_are_processed_once(lake, tmp_path):
     spark, checkpoint = lake.spark, str(tmp_path / "checkpoint")
     schema = spark.read.parquet(f"{lake.raw_root}/daily_quotes").drop("partition_date").schema
