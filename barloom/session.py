@@ -63,6 +63,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace_folder(spark: SparkSession, fresh: str, path: str) -> None:
+    """Move a folder to ``path``, in the place of what lies there.
+
+    The old folder is moved aside first, next to ``fresh``, so that its files are never lost; it goes
+    when the new one is in place.
+    """
+    old = f"{fresh.rstrip('/')}-old"
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, old)]
+    new, place, aside = paths
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    if files.exists(place) and not files.rename(place, aside):
+        raise OSError(f"could not move {path} aside to {old}")
+    if not files.rename(new, place):
+        raise OSError(f"could not move {fresh} to {path}; what lay there is in {old}")
+    files.delete(aside, True)
+
+
 def materialize(rows: DataFrame, label: str = "table") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

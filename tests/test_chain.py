@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjust_prices
 from barloom.operators.chain import adjust_with_chain, event_chain, extend_chain
+from barloom.sinks import adjusted as adjusted_sink
 from barloom.sinks.adjusted import read_adjusted, read_chain, readjust_late_actions, write_adjusted
 from tests.frames import price_row, prices
 
@@ -103,3 +104,28 @@ def test_late_actions_rewrite_what_they_touch(spark, tmp_path):
     assert_same(read_adjusted(spark, path).drop(*drop), adjust_prices(after, "add"))
     none = actions.where("false")
     assert readjust_late_actions(none, path, 4) == {"partitions": 0, "bars": 0}
+
+
+def test_a_rewrite_shuffles_each_bar_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "adjusted")
+    plans = []
+    scaled = adjusted_sink.chains.adjust_with_chain
+
+    def seen(bars, chain):
+        plans.append(scaled(bars, chain))
+        return plans[-1]
+
+    monkeypatch.setattr(adjusted_sink.chains, "adjust_with_chain", seen)
+    bars = market(spark, 4)
+    stored = str(tmp_path / "bars")
+    bars.write.parquet(stored)
+    write_adjusted(spark.read.parquet(stored), path, 4)
+    schema = "code string, date date, adjustment_factor double"
+    readjust_late_actions(spark.createDataFrame([("1000", date(2021, 12, 15), 0.5)], schema), path, 4)
+    # bars and chains, and once more the actions
+    for plan, shuffles in zip(plans, (2, 3), strict=True):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(code") == shuffles
+        assert "rangepartitioning" not in text and "Sort" not in text.replace("SortAggregate", "")
+    hidden = {p.name for p in (tmp_path / "adjusted").iterdir() if p.name.startswith("_")}
+    assert hidden - {"_SUCCESS"} == {"_chain"}
