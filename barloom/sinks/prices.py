@@ -115,16 +115,20 @@ def merge_by_security(
     many increments). With it incoming bars win, and the partitions they touch
     are rewritten. Returns what was offered and what was written.
     """
+    # Stored once: what is offered may cost a long plan, and several steps below read it.
+    with staged(incoming.select(*PRICE_COLUMNS), "offered") as offered:
+        return _merge_staged(offered, path, buckets, force)
+
+
+def _merge_staged(incoming: DataFrame, path: str, buckets: int, force: bool) -> dict[str, int]:
     spark: SparkSession = incoming.sparkSession
     # The set of days is bounded by the calendar; its years prune the stored partitions.
-    offered = incoming.agg(
-        F.collect_set("date").alias("days"),
-        F.count_distinct("code").alias("codes"),
-        F.count(F.lit(1)).alias("records"),
-    ).first()
-    years = sorted({day.year for day in offered.days})
+    days = incoming.groupBy("date").agg(F.count(F.lit(1)).alias("records")).collect()
+    codes = incoming.agg(F.count_distinct("code").alias("codes")).first().codes
+    known = [day.date for day in days if day.date is not None]
+    years = sorted({day.year for day in known})
     stored = read_by_security(spark, path).where(F.col(YEAR).isin(years))
-    fresh = keep_last(incoming.select(*PRICE_COLUMNS), ["processed_at"])
+    fresh = keep_last(incoming, ["processed_at"])
     if not force and not stored.isEmpty():
         fresh = new_rows_only(fresh, stored)
     fresh = fresh.withColumn(_FRESH, F.lit(True))
@@ -146,9 +150,9 @@ def merge_by_security(
         if written.records_written:
             write_by_security(rows, path, buckets, "overwrite" if force else "append")
     return {
-        "dates_processed": len(offered.days),
-        "stocks_input": offered.codes,
-        "records_input": offered.records,
+        "dates_processed": len(known),
+        "stocks_input": codes,
+        "records_input": sum(day.records for day in days),
         **written.asDict(),
     }
 

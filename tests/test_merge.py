@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjust_prices
 from barloom.operators.merge import (
@@ -150,3 +151,19 @@ def test_bucketed_bars_are_adjusted_without_a_shuffle(spark, tmp_path):
     assert "Window" in plan and "Exchange" not in plan
     assert adjust_prices(table, "add").count() == 18
     spark.sql("DROP TABLE bucketed_bars")
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_what_is_offered_is_worked_out_once(spark, tmp_path, force):
+    path = str(tmp_path / "once")
+    merge_by_security(prices(spark, [price_row("1301", D15)]), path, 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(close):
+        seen.add(1)
+        return close
+
+    offered = two_by_two(spark).withColumn("close", counted("close"))
+    assert merge_by_security(offered, path, 4, force)["records_input"] == 4
+    assert seen.value == 4
