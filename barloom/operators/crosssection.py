@@ -187,8 +187,10 @@ def zscores(rows: DataFrame, values: Sequence[str], group: Sequence[str]) -> Dat
 
     Null without a spread above ``LEAST_SPREAD``, and for missing and infinite
     values. The moments of all values are one aggregate with map-side partials,
-    joined back; null groups are groups of their own.
+    joined back; null groups are groups of their own. The rows are stored once, as both
+    the moments and the join read them.
     """
+    rows = materialize(rows, "scored")
     moments, finite = [], {}
     for value in values:
         known = _known(rows, value)

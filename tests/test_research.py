@@ -271,3 +271,19 @@ def test_unlisted_securities_are_a_group(spark):
     )
     groups = spark.createDataFrame([("b", "g")], "code string, peer_group string")
     assert returns.security_vs_group(rows, groups).first().correlation == pytest.approx(1.0)
+
+
+def test_scored_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    rows = spark.range(6).select(
+        F.col("id").alias("code"), (F.col("id") % 2).alias("date"), counted(F.col("id").cast("double")).alias("x")
+    )
+    scored = crosssection.zscores(rows, ["x"], ["date"]).collect()
+    assert sorted(round(r.z_x, 6) for r in scored) == [-1.0, -1.0, 0.0, 0.0, 1.0, 1.0]
+    assert seen.value == 6
