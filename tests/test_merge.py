@@ -159,11 +159,11 @@ def test_what_is_offered_is_worked_out_once(spark, tmp_path, force):
     merge_by_security(prices(spark, [price_row("1301", D15)]), path, 4)
     seen = spark.sparkContext.accumulator(0)
 
-    @F.udf("double")
-    def counted(close):
+    @F.udf("string")
+    def counted(code):
         seen.add(1)
-        return close
+        return code
 
-    offered = two_by_two(spark).withColumn("close", counted("close"))
+    offered = two_by_two(spark).withColumn("code", counted("code"))
     assert merge_by_security(offered, path, 4, force)["records_input"] == 4
     assert seen.value == 4
