@@ -1,11 +1,14 @@
 """Ranks, percentiles and standard scores across all securities of a day.
 
-A day holds as many rows as there are securities, and nothing bounds that. Values are therefore
-counted first: equal values of a group become one row with their number, combined by map task, so
-a value that half of a day's rows share weighs no more than any other. The counted values are
-dealt into ranges of (group, value) whose borders follow them and stored once; inside a range they
-are ordered, and totals of the ranges, a few rows a group, place each range in its group. Rows get
-their places by a join on the value. No step gathers a group, and rows themselves are never sorted.
+A day holds as many rows as there are securities, and nothing bounds that. Percentiles and the rank
+of one value (``with_rank``) therefore count values first: equal values of a group become one row with
+their number, combined by map task, so a value that half of a day's rows share weighs no more than any
+other. The counted values are dealt into ranges of (group, value) whose borders follow them and stored
+once; inside a range they are ordered, and totals of the ranges, a few rows a group, place each range
+in its group. Rows get their places by a join on the value.
+
+Ranks of several values (``with_ranks``) order the rows instead, in windows of so many rows at most: a
+small group is one of them, a large one is cut at percentiles. No step gathers a large group.
 
 NaN counts as missing, like null: it has no rank and no part in percentiles and
 moments. Infinite values rank at the ends; they have no part in moments.
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 from barloom.session import materialize
 
 BEFORE, TOTAL = "_before", "_total"
-_KEY, _RANGE, _MEASURE, _N = "_key", "_range", "_measure", "_n"
+_KEY, _RANGE, _PART, _ROW, _N = "_key", "_range", "_part", "_row", "_n"
+# Rows that a window of ranks orders in one piece; larger groups are cut.
+PART_ROWS = 1 << 17
 # A spread this small is rounding, not spread.
 LEAST_SPREAD = 1e-9
 
@@ -72,6 +77,78 @@ def value_places(
     )
 
 
+def _cuts(stored: DataFrame, value: str, group: Sequence[str], parts: int) -> DataFrame:
+    """Values that cut the groups above ``PART_ROWS`` into so many parts, ``_cuts`` of each such group."""
+    whole = stored.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
+    large = whole.where(F.col("_all") > PART_ROWS).select(
+        *[F.col(name).alias(f"_of_{name}") for name in group]
+    )
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in group]
+    levels = [i / parts for i in range(1, parts)]
+    cut = F.array_distinct(F.percentile_approx(_key(stored, value), levels, 20 * parts))
+    held = stored.join(large, reduce(and_, same, F.lit(True)), "left_semi")
+    return materialize(held.groupBy(*group).agg(cut.alias("_cuts")), "cuts")
+
+
+def _key(rows: DataFrame, value: str) -> Column:
+    """The known value with one zero: 0.0 and -0.0 are equal."""
+    if isinstance(rows.schema[value].dataType, T.DoubleType | T.FloatType):
+        return _known(rows, value) + F.lit(0.0)
+    return F.col(value)
+
+
+def _joined(rows: DataFrame, facts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The facts of equal names, nulls among them, beside all rows."""
+    facts = facts.withColumnsRenamed({name: f"_of_{name}" for name in names})
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in names]
+    return rows.join(facts, reduce(and_, same, F.lit(True)), "left").drop(
+        *[f"_of_{name}" for name in names]
+    )
+
+
+def _with_place(
+    rows: DataFrame, stored: DataFrame, value: str, group: Sequence[str], descending: bool, parts: int
+) -> DataFrame:
+    """Add ``_before_<value>`` and ``_total_<value>`` to ``rows``, which have the rows of ``stored``."""
+    order = F.desc_nulls_last(_KEY) if descending else F.asc_nulls_last(_KEY)
+    before, total = f"_before_{value}", f"_total_{value}"
+    if parts == 1:
+        whole = Window.partitionBy(*group)
+        return rows.withColumn(_KEY, _key(stored, value)).withColumns(
+            {
+                before: F.when(F.col(_KEY).isNotNull(), F.rank().over(whole.orderBy(order)) - F.lit(1).cast("long")),
+                total: F.count(_KEY).over(whole),
+            }
+        ).drop(_KEY)
+    cuts = _cuts(stored, value, group, parts)
+
+    def parted(held: DataFrame) -> DataFrame:
+        cut = _joined(held.withColumn(_KEY, _key(stored, value)), cuts, group)
+        below = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(_KEY)))
+        part = 2 * below + F.array_contains("_cuts", F.col(_KEY)).cast("int")
+        known = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(part)
+        return cut.withColumn(_PART, F.when(F.col(_KEY).isNotNull(), known).otherwise(F.lit(-1))).drop("_cuts")
+
+    whole = Window.partitionBy(*group)
+    ahead = whole.orderBy(F.desc(_PART) if descending else F.asc(_PART))
+    sums = parted(stored.select(*dict.fromkeys([*group, value]))).groupBy(*group, _PART).agg(F.count(_KEY).alias(_N))
+    totals = materialize(
+        sums.select(
+            *group,
+            _PART,
+            (F.sum(_N).over(ahead) - F.col(_N)).alias("_ahead"),
+            F.sum(_N).over(whole).alias(total),
+        ),
+        "parts",
+    )
+    alike = (F.col(_PART) < 0) | (F.col(_PART) % 2 == 1)
+    salted = parted(rows).withColumn("_salt", F.when(alike, F.col(_ROW) % parts).otherwise(F.lit(0)))
+    inside = F.rank().over(Window.partitionBy(*group, _PART, "_salt").orderBy(order)) - 1
+    placed = _joined(salted.withColumn("_inside", inside), totals, [*group, _PART])
+    place = F.when(F.col(_KEY).isNotNull(), F.col("_ahead") + F.col("_inside"))
+    return placed.withColumn(before, place).drop(_KEY, _PART, "_salt", "_inside", "_ahead")
+
+
 def with_ranks(
     rows: DataFrame,
     names: dict[str, str],
@@ -83,44 +160,34 @@ def with_ranks(
 
     Equal values share the smallest rank; a missing value has a null rank. ``tiles`` cuts groups by
     the rank of a value into so many parts, in a column of the given name: equal values always fall
-    into the same part. The rows are stored once; values of one type are counted together in one
-    table.
+    into the same part. Values are numbers, dates or times.
+
+    The rows are stored once and ordered by a window each value. Where a group has more than
+    ``PART_ROWS`` rows, percentiles of the value cut the large groups: a value that is a cut is a part of
+    its own, whose rows all have one place and may lie in any task; what is between two cuts is a part
+    that is ordered by itself. Sums of the parts, a few rows a group, place each part in its group.
     """
     group = list(group)
-    stored = materialize(rows, "ranked")
-    kinds: dict[str, list[str]] = {}
+    stored = materialize(rows.withColumn(_ROW, F.monotonically_increasing_id() % (1 << 20)), "ranked")
+    sizes = stored.groupBy(*group).agg(F.count(F.lit(1)).alias(_N))
+    largest = sizes.agg(F.max(_N)).first()[0] or 0
+    result = stored
     for value in names:
-        kinds.setdefault(rows.schema[value].dataType.simpleString(), []).append(value)
-    result, columns = stored, {}
-    for values in kinds.values():
-        each = [
-            F.struct(F.lit(i).alias(_MEASURE), _known(stored, value).alias(_KEY))
-            for i, value in enumerate(values)
-        ]
-        long = stored.select(*group, F.inline(F.array(*each)))
-        counted = long.where(F.col(_KEY).isNotNull()).groupBy(_MEASURE, *group, _KEY)
-        places = value_places(
-            counted.agg(F.count(F.lit(1)).alias(_N)), _KEY, [_MEASURE, *group], descending
-        )
-        for i, value in enumerate(values):
-            own = places.where(F.col(_MEASURE) == i).select(
-                *[F.col(name).alias(f"_{i}_{name}") for name in group],
-                F.col(_KEY).alias(f"_{i}_key"),
-                F.col(BEFORE).alias(f"_before_{value}"),
-                F.col(TOTAL).alias(f"_total_{value}"),
-            )
-            same = [result[name].eqNullSafe(F.col(f"_{i}_{name}")) for name in group]
-            met = reduce(and_, same, _known(stored, value) == F.col(f"_{i}_key"))
-            kept = [name for name in (*rows.columns, *columns)]
-            result = result.join(own, met, "left").select(
-                *kept, f"_before_{value}", f"_total_{value}"
-            )
-            columns |= {f"_before_{value}": None, f"_total_{value}": None}
+        result = _with_place(result, stored, value, group, descending, -(-max(largest, 1) // PART_ROWS))
+    return _ranks_and_tiles(result, rows.columns, names, tiles)
+
+
+def _ranks_and_tiles(
+    placed: DataFrame,
+    columns: Sequence[str],
+    names: dict[str, str],
+    tiles: dict[str, tuple[int, str]] | None,
+) -> DataFrame:
     ranks = [(F.col(f"_before_{value}") + 1).alias(name) for value, name in names.items()]
     for value, (parts, name) in (tiles or {}).items():
         share = F.col(f"_before_{value}") * parts / F.col(f"_total_{value}")
         ranks.append((F.floor(share).cast("int") + 1).alias(name))
-    return result.select(*rows.columns, *ranks)
+    return placed.select(*columns, *ranks)
 
 
 def with_rank(
@@ -132,9 +199,25 @@ def with_rank(
     tiles: int | None = None,
     tile_name: str = "decile",
 ) -> DataFrame:
-    """Add the rank of one value within its group, and its tile, as ``with_ranks`` does."""
+    """Add the rank of one value within its group, and its tile, as ``with_ranks`` does.
+
+    Places come from counted values and a join on the value, so values may be of any type; it takes
+    more shuffles than ``with_ranks``.
+    """
+    group = list(group)
+    stored = materialize(rows, "ranked")
+    known = stored.select(*group, _known(stored, value).alias(_KEY)).where(F.col(_KEY).isNotNull())
+    counted = known.groupBy(*group, _KEY).agg(F.count(F.lit(1)).alias(_N))
+    own = value_places(counted, _KEY, group, descending).select(
+        *[F.col(column).alias(f"_of_{column}") for column in group],
+        F.col(_KEY),
+        F.col(BEFORE).alias(f"_before_{value}"),
+        F.col(TOTAL).alias(f"_total_{value}"),
+    )
+    same = [stored[column].eqNullSafe(F.col(f"_of_{column}")) for column in group]
+    met = reduce(and_, same, _known(stored, value) == F.col(_KEY))
     cut = {value: (tiles, tile_name)} if tiles is not None else None
-    return with_ranks(rows, {value: name}, group, descending, cut)
+    return _ranks_and_tiles(stored.join(own, met, "left"), rows.columns, {value: name}, cut)
 
 
 def group_percentiles(

@@ -287,3 +287,44 @@ def test_scored_rows_are_worked_out_once(spark):
     scored = crosssection.zscores(rows, ["x"], ["date"]).collect()
     assert sorted(round(r.z_x, 6) for r in scored) == [-1.0, -1.0, 0.0, 0.0, 1.0, 1.0]
     assert seen.value == 6
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_windows_of_ranks_are_bounded(spark, monkeypatch, descending):
+    """A large group is cut; half of its rows share a value, and a third of the others have none."""
+    n = F.col("id")
+    value = F.when(n % 2 == 0, 0.0).when(n % 3 == 0, None).otherwise(F.sin(n.cast("double")))
+    day = F.when(n % 10 == 0, F.lit(D16)).when(n % 97 > 0, F.lit(D15))
+    rows = spark.range(6000).select(day.alias("date"), n.alias("code"), value.alias("value"), (-n).alias("other"))
+    plain = {(r.date, r.code): r for r in crosssection.with_rank(rows, "value", descending=descending, tiles=10).collect()}
+    monkeypatch.setattr(crosssection, "PART_ROWS", 200)
+    names = {"value": "rank", "other": "place"}
+    ranked = crosssection.with_ranks(rows, names, descending=descending, tiles={"value": (10, "decile")})
+    found = ranked.collect()
+    assert len(found) == 6000
+    for r in found:
+        own = plain[r.date, r.code]
+        assert (r.rank, r.decile) == (own.rank, own.decile)
+    for day in (D15, D16, None):
+        codes = sorted((r.code for r in found if r.date == day), reverse=not descending)
+        assert [r.place for r in sorted(found, key=lambda r: r.place) if r.date == day] == list(range(1, len(codes) + 1))
+        assert [r.code for r in sorted(found, key=lambda r: r.place) if r.date == day] == codes
+
+
+def test_windows_of_ranks_hold_so_many_rows(spark, monkeypatch):
+    held = []
+
+    def keep(rows, label="table"):
+        stored = materialize(rows, label)
+        held.append((label, stored.count()))
+        return stored
+
+    monkeypatch.setattr(crosssection, "materialize", keep)
+    monkeypatch.setattr(crosssection, "PART_ROWS", 200, raising=False)
+    n = F.col("id")
+    rows = spark.range(6000).select(F.lit(D15).alias("date"), F.sin(n.cast("double")).alias("x"), F.cos(n.cast("double")).alias("y"))
+    ranked = crosssection.with_ranks(rows, {"x": "rx", "y": "ry"})
+    assert sorted(r.rx for r in ranked.collect()) == list(range(1, 6001))
+    # the rows once; cuts and sums of the parts are a few rows a group
+    assert sum(rows for _, rows in held) < 6400
+    assert "_salt" in ranked._jdf.queryExecution().optimizedPlan().toString()
