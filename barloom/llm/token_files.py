@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain, count, islice, repeat, starmap
 
 import numpy as np
 import public_tokenizers
@@ -14,12 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from barloom.llm.sentencepieces import spread
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-SUFFIX = "</w>"
+# NFC and lower-casing keep letters below this code point letters, one by one.
+PLAIN_END = 0x130
 BLOCK = 128
 # Share of a block's values that fit its packed width; the others are exceptions.
 PERCENTILE = 90
@@ -149,24 +153,12 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return doc_ids, ends, decode_blocks(starts, raw, n_ids)
 
 
-class _Rows(dict):
-    """Numbers keys as they are first asked for, and lists the new ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        row = self[key] = len(self)
-        self.fresh.append(key)
-        return row
-
-
 class Runs:
     """Runs of ids by key, found in bulk and kept."""
 
     def __init__(self) -> None:
-        self.rows = _Rows()
+        # Numbers keys as they are first asked for.
+        self.rows: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
 
@@ -174,9 +166,8 @@ class Runs:
         return np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
 
     def fresh(self) -> list[str]:
-        """Keys asked for since the last call; ``add`` must follow with their runs."""
-        keys, self.rows.fresh = self.rows.fresh, []
-        return keys
+        """Keys without runs, in the order of their places; ``add`` must follow with their runs."""
+        return list(islice(reversed(self.rows), len(self.rows) - len(self.counts)))[::-1]
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
@@ -187,13 +178,12 @@ class Runs:
         lengths = self.counts[places]
         return self.ids[spread(self.starts[places], lengths)], lengths
 
-
     def trim(self, most: int) -> None:
         """Forget all but the first ``most`` keys; frequent ones come early."""
         if len(self.rows) <= most:
             return
-        while len(self.rows) > most:
-            self.rows.popitem()
+        deque(starmap(self.rows.popitem, repeat((), len(self.rows) - most)), maxlen=0)
+        self.rows.default_factory = count(most).__next__
         self.starts, self.counts = self.starts[:most].copy(), self.counts[:most].copy()
         self.ids = self.ids[: self.starts[-1] + self.counts[-1]].copy()
 
@@ -215,42 +205,47 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops what its \\s matches and never joins over it, so a text's ids
     are those of the words between, one after the other. It also cuts between letters and these closing marks, so the
-    words ``end``, ``End`` and ``end.`` share the ids of ``end``. A letter that NFC or lower-casing
+    words ``end``, ``End`` and ``end.`` share the ids of ``end``, and ``end###`` as well. A letter that NFC or lower-casing
     takes apart may end in a sign, which joins the mark after it; such words stay whole.
     """
 
-    marks = ".,;:!?|"
+    marks = ".,;:!?|#$%&*"
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        vocabulary = self.tokenizer.get_vocab()
-        # The last piece of every word says so in its name.
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for name, i in vocabulary.items() if name.endswith(SUFFIX)]] = True
+        self.model = self.tokenizer.model
+        # What lower-casing and the byte-level alphabet make of a letter; ASCII letters stay.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = filter(str.isalpha, map(chr, range(PLAIN_END)))
+        self.signs = {ord(c): level.pre_tokenize_str(c.lower())[0][0] for c in letters}
         self.words, self.parts = Runs(), Runs()
 
     def _encode_parts(self) -> None:
-        """Runs of letters that lower-casing keeps letters go through the library as one text."""
+        """Runs of letters that lower-casing keeps letters go straight to the library's model.
+
+        Each is one pre-token, and NFC leaves it as it is, so nothing else of the library has a say in it.
+        """
         fresh = self.parts.fresh()
         if not fresh:
             return
-        plain = np.fromiter((p.isalpha() and (p.isascii() or max(p) < "\u0130") for p in fresh), bool, len(fresh))
+        plain = np.fromiter((p.isalpha() and (p.isascii() or ord(max(p)) < PLAIN_END) for p in fresh), bool, len(fresh))
         counts = np.zeros(len(fresh), np.int64)
-        flat = np.empty(0, np.uint32)
-        if plain.any():
-            text = " ".join(p for p, is_plain in zip(fresh, plain, strict=True) if is_plain)
-            whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-            flat = np.array(whole.ids, np.uint32)
-            counts[plain] = np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
+        tokenize, signs = self.model.tokenize, self.signs
+        flat: list[int] = []
+        ends: list[int] = []
+        for part, is_plain in zip(fresh, plain, strict=True):
+            if is_plain:
+                signed = part if part.isascii() and part.islower() else part.translate(signs)
+                flat += [piece.id for piece in tokenize(signed)]
+                ends.append(len(flat))
+        counts[plain] = np.diff(ends, prepend=0)
         others = [p for p, is_plain in zip(fresh, plain, strict=True) if not is_plain]
-        each = self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
-        own = [np.array(one.ids, np.uint32) for one in each]
-        counts[~plain] = [len(ids) for ids in own]
+        own = [one.ids for one in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        counts[~plain] = list(map(len, own))
         result = np.empty(int(counts.sum()), np.uint32)
         starts = np.cumsum(counts) - counts
         result[spread(starts[plain], counts[plain])] = flat
-        if own:
-            result[spread(starts[~plain], counts[~plain])] = np.concatenate(own)
+        result[spread(starts[~plain], counts[~plain])] = list(chain.from_iterable(own))
         self.parts.add(result, counts)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -165,3 +165,30 @@ def test_words_end_where_the_tokenizer_says():
     for text, end, count in zip(texts, np.cumsum(counts), counts, strict=True):
         wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [token_files.END]
         assert ids[end - count : end].tolist() == wanted, ascii(text)
+
+
+def test_plain_words_reach_the_model_as_they_are():
+    """Only words that NFC, lower-casing or a cut may change go through the whole library."""
+    with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as file:
+        encoder = token_files.WordEncoder(file.read())
+    library, asked = encoder.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Watched()
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha()]
+    marked = "ond### Th\u00f1$$$ end,*** \u00dfe.%%% x&&& e|#|"
+    texts = [marked, "Stra\u00dfe \u00c4RGER, na\u00efve. \u00f1and\u00fa End", *letters, *(f"a{c}B{c}." for c in letters)]
+    plain = [word for text in texts for word in text.split() if max(word) < "\u0130"]
+    odd = ["don't <|endoftext|>", "x<|endoftext|>y 42", "", "a\u0301b e\u0301. 3rd"]
+    for batch in (texts, odd, texts + odd):
+        ids, counts = encoder.encode(batch)
+        wanted = [library.encode(text, add_special_tokens=False).ids + [token_files.END] for text in batch]
+        assert np.split(ids, np.cumsum(counts))[:-1] and counts.tolist() == list(map(len, wanted))
+        assert ids.tolist() == [i for own in wanted for i in own]
+    sent = {word for words in asked for word in (words if isinstance(words, list) else words.split())}
+    whole = {word.rstrip(encoder.marks) for word in plain}
+    assert len(whole) > 300 and not sent & {*plain, *whole, *map(str.lower, whole)}
