@@ -480,29 +480,37 @@ def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, perc
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for all ends of ``edges`` (a, b).
 
-    Every round takes the smallest root among neighbours and then that root's root. The number of
-    rounds follows the logarithm of the longest chain, more or less.
+    In every round each node follows its smallest neighbour, and that one's, down to a node without
+    smaller ones. The edges then become those between such ends, each once: a dense group of links is
+    read in full once and is gone after it. A round leaves at most half of the nodes that still have edges.
     """
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("root")
-    ))
+    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = (
-            both.join(roots.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        lowered = roots.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("via")
-        )
-        jump = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
-        moved = settle(
-            lowered.join(jump, "via").select("node", "old", F.least("via", "next").alias("root"))
+        both = edges.union(edges.select("b", "a"))
+        hooks = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+            "node", F.least("node", "m").alias("root")
+        ))
+        moving = True
+        while moving:
+            jump = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            moved = settle(hooks.join(jump, "root").select("node", F.col("root").alias("old"), "next"))
+            moving = not moved.where("next < old").isEmpty()
+            hooks = moved.select("node", F.col("next").alias("root"))
+        if labels is None:
+            labels = hooks
+        else:
+            further = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = settle(
+                labels.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            )
+        ends = {end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"to_{end}")) for end in ("a", "b")}
+        left = edges.join(ends["a"], "a").join(ends["b"], "b").where("to_a != to_b")
+        edges = settle(
+            left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         )
-        if moved.where("root < old").isEmpty():
-            return roots
-        roots = moved.select("node", "root")
+        if edges.isEmpty():
+            return labels
 
 
 _CENTRES = f"""array_distinct(CASE WHEN members < {FULL} THEN array(low, high)

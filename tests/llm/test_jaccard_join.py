@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -138,3 +139,20 @@ def test_a_large_group_near_the_threshold(spark, edits):
     found = jaccard_join.linked_components(docs, 4, 85).collect()
     plain = plain_components(texts, 4, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain
+
+
+def test_a_dense_group_of_links_is_read_once(spark, monkeypatch):
+    """Links of a clique whose smallest node hangs on a long chain are not joined anew in every round."""
+    clique = [(a, b) for a in range(100, 140) for b in range(a + 1, 140)]
+    chain = [90, 100, 50, 95, 20, 60, 10, 99, 5, 80, 7, 70, 3]
+    edges = spark.createDataFrame(clique + list(itertools.pairwise(chain)) + [(200, 201), (201, 202)], "a long, b long")
+    joined, join = [], type(edges).join
+
+    def counted(self, other, *args, **options):
+        joined.append(self.count())
+        return join(self, other, *args, **options)
+
+    monkeypatch.setattr(type(edges), "join", counted)
+    found = {r.node: r.root for r in jaccard_join.components(edges).collect()}
+    assert found == {**{n: 3 for n in [*range(100, 140), *chain]}, 200: 200, 201: 200, 202: 200}
+    assert sum(joined) < 3 * len(clique)
