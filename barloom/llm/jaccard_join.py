@@ -458,7 +458,9 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, distance and linked of ``possible`` pairs, from their whole sets."""
+    """a, b, distance and linked of ``possible`` pairs, from their whole sets; without pairs no text is read."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(1.0).alias("distance"), F.lit(False).alias("linked"))
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = points.select("key", "first").join(keys, "key").select(F.col("first").alias("doc_id"))
     sets = sets_of(docs, wanted, n)
@@ -477,6 +479,14 @@ def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, perc
     )
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, written and read again: Spark knows their size before it plans a join.
+
+    Small ones are broadcast without a shuffle of either side, which spares the driver jobs and threads.
+    """
+    return materialize(rows, "ngram-links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for all ends of ``edges`` (a, b).
 
@@ -484,35 +494,54 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones. The edges then become those between such ends, each once: a dense group of links is
     read in full once and is gone after it. A round leaves at most half of the nodes that still have edges.
     """
-    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = _stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        hooks = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+        hooks = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
             "node", F.least("node", "m").alias("root")
         ))
         moving = True
         while moving:
             jump = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = settle(hooks.join(jump, "root").select("node", F.col("root").alias("old"), "next"))
+            moved = _stored(hooks.join(jump, "root").select("node", F.col("root").alias("old"), "next"))
             moving = not moved.where("next < old").isEmpty()
             hooks = moved.select("node", F.col("next").alias("root"))
         if labels is None:
             labels = hooks
         else:
             further = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = settle(
+            labels = _stored(
                 labels.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             )
         ends = {end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"to_{end}")) for end in ("a", "b")}
         left = edges.join(ends["a"], "a").join(ends["b"], "b").where("to_a != to_b")
-        edges = settle(
+        edges = _stored(
             left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         )
         if edges.isEmpty():
             return labels
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``roots`` and further ``links`` (a, b).
+
+    Only the components that the further links join are looked at; without such links all stays.
+    """
+    if links.isEmpty():
+        return roots
+    for end in ("a", "b"):
+        side = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        links = links.join(side, end, "left")
+    between = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between.where("a != b"))
+    # a root stands for itself in ``roots``; what had no link before comes new
+    everyone = roots.union(joined.select("node", F.col("node").alias("root"))).distinct()
+    further = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    labels = everyone.join(further, "root", "left")
+    return _stored(labels.select("node", F.coalesce("next", "root").alias("root")))
+
+
 _CENTRES = f"""array_distinct(CASE WHEN members < {FULL} THEN array(low, high)
     ELSE array(low, high, {", ".join(f"p{i}" for i in range(len(_MASKS)))}) END)"""
 
@@ -558,15 +587,15 @@ def linked_components(
     fullest = shared.groupBy("key").agg(F.max(F.struct("members", "pivot", "centres")).alias("own"))
     to_centres = fullest.select("key", F.explode("own.centres").alias("centre"))
     to_centres = to_centres.where("key != centre").select(*ordered("centre", "key")).distinct()
-    near = settle(possible(to_centres, points, percent))
-    first = settle(distances(docs, near, points, n, percent))
+    near = _stored(possible(to_centres, points, percent))
+    first = _stored(distances(docs, near, points, n, percent))
     links = first.where("linked").select("a", "b")
     roots = components(links)
-    open_pairs = settle(
+    open_pairs = _stored(
         finely(_open_pairs(shared, first, roots, points, percent), points, percent)
     )
-    rest = settle(distances(docs, open_pairs, points, n, percent).where("linked"))
-    roots = components(links.union(rest.select("a", "b")))
+    rest = _stored(distances(docs, open_pairs, points, n, percent).where("linked").select("a", "b"))
+    roots = extended(roots, rest)
     classes = points.select("key", "first")
     joined = roots.withColumnRenamed("node", "key").join(classes, "key")
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
@@ -600,7 +629,7 @@ def _open_pairs(
         .select("pivot")
     )
     inside = placed.join(mixed, "pivot")
-    inside = settle(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
+    inside = _stored(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
     to_low = first.select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("from_low")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Texts of a sample, in bytes of UTF-8, that may reach the driver.
+# Texts of a sample, in bytes of UTF-8, that one fit may take.
 SAMPLE_BYTES = 64 << 20
 
 
@@ -64,9 +66,25 @@ def labelled_sample(
     )
 
 
-def collected(sample: DataFrame) -> Iterator[tuple[str, int]]:
-    """The rows of a ``labelled_sample`` in an order that reruns keep, texts made one at a time."""
-    table = sample.toArrow()
+def fitted(sample: DataFrame, fit: Callable[[Iterator[tuple[str, int]]], Any]) -> Any:
+    """What ``fit`` makes of the rows of a ``labelled_sample``, in an order that reruns keep.
+
+    The sample is bounded, so one task holds it; the driver gets the model alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(_ordered(list(batches)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(iter(()))
+
+
+def _ordered(batches: list[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
+    """Rows by text and label, texts made one at a time."""
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
     order = pc.sort_indices(table, [("text", "ascending"), ("label", "ascending")])
     texts, marks = table.column("text"), table.column("label").to_numpy()
     for i in order.to_numpy():

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from barloom.llm.labels import (
     Rows,
-    collected,
     distinct,
     fit_sigmoid,
+    fitted,
     fold,
     labelled_sample,
     map_texts,
@@ -189,19 +189,21 @@ def fit(rows: Rows, labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents (doc_id, quality) outside the held-out fold.
 
-    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is what reaches
-    the driver, which keeps the features of each text as 32-bit numbers.
+    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is the task that
+    fits, which keeps the features of each text as 32-bit numbers. The driver gets the model alone.
     """
-    sample = labelled_sample(docs, labels, "quality", fold(FOLDS) != 0, most)
+    return fitted(labelled_sample(docs, labels, "quality", fold(FOLDS) != 0, most), _fit_texts)
+
+
+def _fit_texts(labelled: Iterator[tuple[str, int]]) -> Model:
     marks: list[int] = []
 
     def found() -> Iterator[np.ndarray]:
-        for text, label in collected(sample):
+        for text, label in labelled:
             marks.append(label)
             yield features(text)
 
     rows = Rows.of(found())
-    _known.clear()  # the driver scores nothing
     return fit(rows, np.array(marks, int))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.labels import Rows, collected, distinct, fold, labelled_sample, map_texts, sigmoid
+from barloom.llm.labels import Rows, distinct, fitted, fold, labelled_sample, map_texts, sigmoid
 
 BITS = 18
 SAMPLE = 6_000
@@ -296,13 +296,16 @@ def fit(sample: Sample, steps: int = 120, rate: float = 0.2, decay: float = 1e-5
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on at most ``most`` labelled documents (doc_id, toxic) outside the held-out fold.
 
-    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is what reaches
-    the driver, which keeps the features of each text as 32-bit numbers and fits in blocks of them.
+    The sample is bounded in rows and in bytes (``labels.labelled_sample``), and so is the task that
+    fits, which keeps the features of each text as 32-bit numbers and works in blocks of them. The
+    driver gets the model alone.
     """
     sample = labelled_sample(docs, labels, "toxic", fold(FOLDS) != HELD_OUT, most)
-    rows = Sample.of(collected(sample))
-    _known.clear()  # the driver scores nothing
-    return fit(rows)
+    return fitted(sample, _fit_texts)
+
+
+def _fit_texts(labelled: Iterator[tuple[str, int]]) -> Model:
+    return fit(Sample.of(labelled))
 
 
 def score_toxicity(

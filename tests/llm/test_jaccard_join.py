@@ -156,3 +156,39 @@ def test_a_dense_group_of_links_is_read_once(spark, monkeypatch):
     found = {r.node: r.root for r in jaccard_join.components(edges).collect()}
     assert found == {**{n: 3 for n in [*range(100, 140), *chain]}, 200: 200, 201: 200, 202: 200}
     assert sum(joined) < 3 * len(clique)
+
+
+def test_further_links_join_components(spark):
+    links, rest = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (11, 30), (40, 41), (41, 45)]
+    frames = [spark.createDataFrame(rows, "a long, b long") for rows in (links, rest)]
+    roots = jaccard_join.components(frames[0])
+    found = {r.node: r.root for r in jaccard_join.extended(roots, frames[1]).collect()}
+    assert found == {r.node: r.root for r in jaccard_join.components(frames[0].union(frames[1])).collect()}
+    assert jaccard_join.extended(roots, frames[1].where("false")) is roots
+
+
+def test_without_pairs_no_text_is_read_again(spark, monkeypatch):
+    """Sets that share words but no region's centre, or all in one component, need no second pass over the texts."""
+    calls, read = [], jaccard_join.sets_of
+    monkeypatch.setattr(jaccard_join, "sets_of", lambda *args: calls.append(1) or read(*args))
+    apart = [(k, " ".join(f"d{k}w{i}" for i in range(30))) for k in range(20)]
+    docs = spark.createDataFrame(apart, "doc_id bigint, text string")
+    assert {r.component_id for r in jaccard_join.linked_components(docs, 4, 85).collect()} == set(range(20))
+    assert not calls
+    copies = [(100 + k, " ".join(f"w{i}" for i in range(40 + k))) for k in range(2)]
+    docs = spark.createDataFrame(apart + copies, "doc_id bigint, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.linked_components(docs, 4, 85).collect()}
+    assert found[101] == found[100] == 100 and len(calls) == 1
+
+
+def test_small_inputs_take_few_jobs(spark):
+    """Small tables are known to be small before a join is planned, so that neither side is shuffled."""
+    texts = [(10 * k + j, " ".join(f"d{k}w{i}" for i in range(40 + j))) for k in range(8) for j in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "few jobs")
+    found = jaccard_join.linked_components(docs, 4, 85).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert all(r.component_id == r.doc_id // 10 * 10 for r in found)
+    assert jobs <= 90, jobs

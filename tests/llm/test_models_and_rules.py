@@ -264,3 +264,20 @@ def test_ablation(spark):
     found = {r.rule: (r.failed, r.failed_alone) for r in quality_rules.ablation(rows, "v1").collect()}
     assert found["few_words"] == (4, 2) and found["symbols"] == (2, 1)
     assert found["repeated_words"] == (1, 0) and found["capitals"] == (0, 0)
+
+
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    """Texts, features and the fit stay in a task; the driver gets the model."""
+    rows = [(d, f"{'you fool' if d % 2 else 'a plain line'} number {d}.") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality", "CAST(doc_id % 2 AS int) AS toxic")
+
+    def refuse(*args, **options):
+        raise AssertionError("the driver must not do this")
+
+    for module, seen in ((quality_classifier, ("features", "fit")), (toxicity, ("Sample", "fit"))):
+        with monkeypatch.context() as patched:
+            for name in seen:
+                patched.setattr(module, name, refuse)
+            model = module.train(docs, labels)
+        assert isinstance(model, module.Model)
