@@ -12,6 +12,7 @@ from itertools import chain, count, islice, repeat, starmap
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ BLOCK = 128
 # Share of a block's values that fit its packed width; the others are exceptions.
 PERCENTILE = 90
 SEGMENT = 1 << 18
-MOST_WORDS = 200_000
+# Bytes of text encoded at a time, a whole document at least: words that repeat in them are looked up once.
+BLOCK_BYTES = 2 << 20
+# Words, and parts of words, that a process keeps; a part costs ten times as much to find anew.
+MOST_WORDS, MOST_PARTS = 200_000, 500_000
 # Python takes U+001C to U+001F for white space; the tokenizer's \s does not, and keeps them.
 _KEPT = re.compile(r"[\S\x1c-\x1f]+")
 _HEADER = struct.Struct("<4sBxHIQI")
@@ -77,7 +81,8 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     values = padded.reshape(n, BLOCK)
     least = values.min(axis=1)
     rest = values - least[:, None]
-    limit = np.sort(rest, axis=1)[:, -(-BLOCK * PERCENTILE // 100) - 1]
+    place = -(-BLOCK * PERCENTILE // 100) - 1
+    limit = np.partition(rest, place, axis=1)[:, place]
     width = np.ceil(np.log2(limit.astype(float) + 1)).astype(np.uint8)
     high = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
     row, place = np.nonzero(high)
@@ -188,16 +193,31 @@ class Runs:
         self.ids = self.ids[: self.starts[-1] + self.counts[-1]].copy()
 
 
-def split_words(text: str) -> list[str]:
-    """What lies between the characters that the tokenizer takes for white space."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _KEPT.findall(text)
-    return text.split()
+def split_words(texts: pa.Array) -> pa.Array:
+    """What lies between the characters that the tokenizer takes for white space; ends may add empty words."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        return pa.array([_KEPT.findall(text) for text in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
 
 
-def ends_in_letter(word: str) -> bool:
-    """Whether the word still ends in a letter once the tokenizer has normalised it."""
-    return unicodedata.normalize("NFC", word[-1]).lower()[-1].isalpha()
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of runs of texts of BLOCK_BYTES at most, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")))
+        yield start, stop - start
+        start = stop
+
+
+class _Finals(dict):
+    """Whether a word that ends in a character still ends in a letter once the tokenizer has normalised it."""
+
+    def __missing__(self, last: str) -> bool:
+        value = self[last] = unicodedata.normalize("NFC", last).lower()[-1].isalpha()
+        return value
 
 
 class WordEncoder:
@@ -216,7 +236,9 @@ class WordEncoder:
         self.model = self.tokenizer.model
         # What lower-casing and the byte-level alphabet make of a letter; ASCII letters stay.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = filter(str.isalpha, map(chr, range(PLAIN_END)))
+        letters = list(filter(str.isalpha, map(chr, range(PLAIN_END))))
+        self.plain = re.compile(f"[{''.join(letters)}]+")
+        self.final = _Finals()
         self.signs = {ord(c): level.pre_tokenize_str(c.lower())[0][0] for c in letters}
         self.words, self.parts = Runs(), Runs()
 
@@ -228,14 +250,14 @@ class WordEncoder:
         fresh = self.parts.fresh()
         if not fresh:
             return
-        plain = np.fromiter((p.isalpha() and (p.isascii() or ord(max(p)) < PLAIN_END) for p in fresh), bool, len(fresh))
+        plain = np.fromiter((found is not None for found in map(self.plain.fullmatch, fresh)), bool, len(fresh))
         counts = np.zeros(len(fresh), np.int64)
         tokenize, signs = self.model.tokenize, self.signs
         flat: list[int] = []
         ends: list[int] = []
         for part, is_plain in zip(fresh, plain, strict=True):
             if is_plain:
-                signed = part if part.isascii() and part.islower() else part.translate(signs)
+                signed = part if part.islower() and part.isascii() else part.translate(signs)
                 flat += [piece.id for piece in tokenize(signed)]
                 ends.append(len(flat))
         counts[plain] = np.diff(ends, prepend=0)
@@ -248,31 +270,42 @@ class WordEncoder:
         result[spread(starts[~plain], counts[~plain])] = list(chain.from_iterable(own))
         self.parts.add(result, counts)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _halves(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """What each word has before its closing marks, lower-cased if ASCII, and the marks; words to keep whole have none."""
+        whole = pa.array(words, pa.string())
+        core = pc.ascii_rtrim(whole, characters=self.marks)
+        easy = pc.and_(pc.ascii_is_alpha(core), pc.string_is_ascii(core))
+        cores = pc.if_else(easy, pc.ascii_lower(core), whole).to_numpy(zero_copy_only=False).tolist()
+        ends = [""] * len(words)
+        marked = pc.not_equal(pc.binary_length(core), pc.binary_length(whole))
+        for i in np.flatnonzero(pc.and_(easy, marked)):
+            ends[i] = words[i][len(cores[i]) :]
+        for i in np.flatnonzero(pc.invert(pc.string_is_ascii(core))):
+            word = words[i]
+            bare = word.rstrip(self.marks)
+            if bare.isalpha() and self.final[bare[-1]]:
+                cores[i], ends[i] = bare, word[len(bare) :]
+        return cores, ends
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, END after each, and how many each text has."""
-        places = [self.words.places(split_words(text or "")) for text in texts]
+        split = split_words(pa.array(texts, pa.string()))
+        coded = pc.list_flatten(split).dictionary_encode()
+        distinct = self.words.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         fresh = self.words.fresh()
-        cores = [word.rstrip(self.marks) for word in fresh]
-        whole = [not (core.isalpha() and (core.isascii() or ends_in_letter(core))) for core in cores]
+        cores, ends = self._halves(fresh)
         pairs = [""] * (2 * len(fresh))
-        pairs[::2] = [
-            word if keep else core.lower() if core.isascii() else core
-            for word, core, keep in zip(fresh, cores, whole, strict=True)
-        ]
-        pairs[1::2] = [
-            "" if keep else word[len(core) :]
-            for word, core, keep in zip(fresh, cores, whole, strict=True)
-        ]
+        pairs[::2], pairs[1::2] = cores, ends
         if pairs:
             halves = self.parts.places(pairs)
             self._encode_parts()
             ids, counts = self.parts.get(halves)
             self.words.add(ids, counts.reshape(-1, 2).sum(axis=1))
-        flat, lengths = self.words.get(np.concatenate(places) if places else np.empty(0, np.int64))
-        ends = np.cumsum([0, *map(len, places)])
+        flat, lengths = self.words.get(distinct[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
         self.words.trim(MOST_WORDS)
-        self.parts.trim(MOST_WORDS)
+        self.parts.trim(MOST_PARTS)
         return np.insert(flat, ends[1:], np.uint32(END)), np.diff(ends) + 1
 
 
@@ -322,12 +355,15 @@ def write_token_files(
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                block = batch.slice(start, 256)
-                ids, counts = encoder.encode(block.column(1).to_pylist())
-                held.append((block.column(0).to_pylist(), counts, ids))
-                if sum(len(ids) for _, _, ids in held) >= segment:
-                    yield flush()
+            for start, length in blocks(batch.column(1)):
+                ids, counts = encoder.encode(batch.column(1).slice(start, length))
+                keys = batch.column(0).slice(start, length).to_pylist()
+                ends = np.cumsum(counts)
+                for k in range(0, length, 256):
+                    first, last = ends[k] - counts[k], ends[min(k + 256, length) - 1]
+                    held.append((keys[k : k + 256], counts[k : k + 256], ids[first:last]))
+                    if sum(len(ids) for _, _, ids in held) >= segment:
+                        yield flush()
         if held:
             yield flush()
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -192,3 +193,26 @@ def test_plain_words_reach_the_model_as_they_are():
     sent = {word for words in asked for word in (words if isinstance(words, list) else words.split())}
     whole = {word.rstrip(encoder.marks) for word in plain}
     assert len(whole) > 300 and not sent & {*plain, *whole, *map(str.lower, whole)}
+
+
+def test_a_word_of_many_texts_is_looked_up_once(monkeypatch):
+    with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as file:
+        encoder = token_files.WordEncoder(file.read())
+    asked, places = [], encoder.words.places
+    monkeypatch.setattr(encoder.words, "places", lambda keys: asked.extend(keys) or places(keys))
+    texts = [f"  the same words again, text{k} \u00e9t\u00e9... " for k in range(50)]
+    ids, counts = encoder.encode(texts)
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END] for t in texts]
+    assert ids.tolist() == [i for own in wanted for i in own] and counts.tolist() == list(map(len, wanted))
+    assert sorted(set(asked)) == sorted(asked) and len(asked) <= 50 + 6
+
+
+def test_blocks_hold_bounded_text(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 10)
+    texts = pa.array(["abcd", None, "efgh", "x" * 30, "", "y", "z" * 9, "w"], pa.string())
+    runs = list(token_files.blocks(texts))
+    assert [start for start, _ in runs] == np.cumsum([0, *[n for _, n in runs]])[:-1].tolist()
+    assert sum(n for _, n in runs) == len(texts)
+    for start, n in runs:
+        assert n == 1 or sum(len(t or "") for t in texts.slice(start, n).to_pylist()) <= 10
+    assert list(token_files.blocks(texts.slice(0, 0))) == []
