@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import settle, shuffle_partitions
+from barloom.llm.common import shuffle_partitions
 from barloom.llm.exact_dedup import decode_golomb, encode_golomb
 from barloom.session import materialize, new_folder, remove_folder
 
@@ -139,15 +139,21 @@ def may_link(percent: int) -> Column:
     )
 
 
+# What pairs keep of their two sets: sizes, and a document of each.
+_PAIR = ("a", "b", "size_a", "size_b", "first_a", "first_b")
+
+
 def finely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sizes, lone items) without those of two large sets whose fine bins rule out a link."""
-    large = points.where(F.size("fine") > 0)
+    """Pairs without those of two large sets whose fine bins rule out a link."""
     for end in ("a", "b"):
-        side = large.select(F.col("key").alias(end), F.col("fine").alias(f"fine_{end}"))
-        pairs = pairs.join(side, end, "left")
-    return pairs.where(F.coalesce(bins_allow("fine", percent), F.lit(True))).select(
-        "a", "b", "size_a", "size_b"
-    )
+        side = points.select(*[F.col(name).alias(f"{name}_{end}") for name in ("first", "fine")], F.col("key").alias(end))
+        pairs = pairs.join(side, end)
+    return pairs.where(finely_allowed(percent)).select(*_PAIR)
+
+
+def finely_allowed(percent: int) -> Column:
+    """Whether fine bins allow a link; small sets have none, and bins beside none say nothing."""
+    return F.coalesce(bins_allow("fine", percent), F.lit(True))
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -377,7 +383,7 @@ def _receive(plan: Exchange, percent: int, messages: pd.DataFrame, answers: pd.D
 
 
 def nodes_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All sets by sender (key, size, ids; empty sets have key null), and those with a region."""
+    """All sets by sender (key, size, ids; empty sets have key null), and those with a region, each key once."""
     spark = docs.sparkSession
     plan = Exchange.of(docs)
     path = new_folder(spark, "ngram-senders")
@@ -399,7 +405,10 @@ def nodes_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     nodes = stored.where("owner IS NULL").select("sender", "class", "key", "size", "ids")
     nodes = materialize(nodes, "ngram-sets-held")
     own = nodes.select("sender", "class", "key", "size", F.array_min("ids").alias("first"))
-    points = materialize(placed.join(own, ["sender", "class"]), "ngram-nodes")
+    held = ("size", "lone", "coarse", "parities", "fine", "pivots")
+    points = placed.join(own, ["sender", "class"]).groupBy("key")
+    points = points.agg(F.min("first").alias("first"), *[F.first(name).alias(name) for name in held])
+    points = materialize(points, "ngram-nodes")
     remove_folder(spark, path)
     return nodes, points
 
@@ -449,21 +458,20 @@ def sets_of(docs: DataFrame, first_docs: DataFrame, n: int) -> DataFrame:
 
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of keys whose sizes and bins allow a link."""
+    held = ("size", "first", "lone", "coarse", "parities", "fine")
     for end in ("a", "b"):
-        names = {"key": end, **{name: f"{name}_{end}" for name in ("size", "lone", "coarse", "parities")}}
+        names = {"key": end, **{name: f"{name}_{end}" for name in held}}
         side = points.select(*[F.col(name).alias(new) for name, new in names.items()])
         pairs = pairs.join(side, end)
-    near = pairs.where(may_link(percent)).select("a", "b", "size_a", "size_b", "lone_a", "lone_b")
-    return finely(near, points, percent)
+    return pairs.where(may_link(percent)).where(finely_allowed(percent)).select(*_PAIR)
 
 
-def distances(docs: DataFrame, pairs: DataFrame, points: DataFrame, n: int, percent: int) -> DataFrame:
+def distances(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, distance and linked of ``possible`` pairs, from their whole sets; without pairs no text is read."""
     if pairs.isEmpty():
         return pairs.select("a", "b", F.lit(1.0).alias("distance"), F.lit(False).alias("linked"))
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = points.select("key", "first").join(keys, "key").select(F.col("first").alias("doc_id"))
-    sets = sets_of(docs, wanted, n)
+    wanted = pairs.select(F.explode(F.array("first_a", "first_b")).alias("doc_id")).distinct()
+    sets = sets_of(docs, _stored(wanted), n)
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
     together = F.col("size_a") + F.col("size_b") - F.col("shared")
     return (
@@ -488,17 +496,16 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) for all ends of ``edges`` (a, b).
+    """node and root (the smallest node reachable) for all ends of ``edges`` (a, b), a stored table.
 
     In every round each node follows its smallest neighbour, and that one's, down to a node without
     smaller ones. The edges then become those between such ends, each once: a dense group of links is
     read in full once and is gone after it. A round leaves at most half of the nodes that still have edges.
     """
-    edges = _stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        hooks = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+        both = edges.select(F.explode(F.expr("array(struct(a, b), struct(b AS a, a AS b))")).alias("e"))
+        hooks = _stored(both.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("m")).select(
             "node", F.least("node", "m").alias("root")
         ))
         moving = True
@@ -534,7 +541,7 @@ def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
         side = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         links = links.join(side, end, "left")
     between = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(between.where("a != b"))
+    joined = components(_stored(between.where("a != b")))
     # a root stands for itself in ``roots``; what had no link before comes new
     everyone = roots.union(joined.select("node", F.col("node").alias("root"))).distinct()
     further = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -559,13 +566,7 @@ def linked_components(
 
     Equal sets are one node, so copies cost a row each. Sets are told apart by 64-bit hashes.
     """
-    nodes, placed = nodes_of(docs, n, percent)
-    points = settle(
-        placed.groupBy("key").agg(
-            F.min("first").alias("first"),
-            *[F.first(name).alias(name) for name in ("size", "lone", "coarse", "parities", "fine", "pivots")],
-        )
-    )
+    nodes, points = nodes_of(docs, n, percent)
     members = points.select(F.explode("pivots").alias("pivot"), "key")
     regions = (
         members.groupBy("pivot")
@@ -588,18 +589,18 @@ def linked_components(
     to_centres = fullest.select("key", F.explode("own.centres").alias("centre"))
     to_centres = to_centres.where("key != centre").select(*ordered("centre", "key")).distinct()
     near = _stored(possible(to_centres, points, percent))
-    first = _stored(distances(docs, near, points, n, percent))
+    first = _stored(distances(docs, near, n, percent))
     links = first.where("linked").select("a", "b")
     roots = components(links)
-    open_pairs = _stored(
-        finely(_open_pairs(shared, first, roots, points, percent), points, percent)
-    )
-    rest = _stored(distances(docs, open_pairs, points, n, percent).where("linked").select("a", "b"))
-    roots = extended(roots, rest)
+    open_pairs = _open_pairs(shared, first, roots, points, percent)
+    if open_pairs is not None:
+        open_pairs = _stored(finely(open_pairs, points, percent))
+        rest = _stored(distances(docs, open_pairs, n, percent).where("linked").select("a", "b"))
+        roots = extended(roots, rest)
     classes = points.select("key", "first")
-    joined = roots.withColumnRenamed("node", "key").join(classes, "key")
+    joined = _stored(roots.withColumnRenamed("node", "key").join(classes, "key"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = joined.join(lowest, "root").select("key", "lowest")
+    named = _stored(joined.join(lowest, "root").select("key", "lowest"))
     copies = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min(F.array_min("ids")).alias("copy"))
     copies = copies.join(named, "key", "left")
     result = nodes.join(copies, "key", "left").select(
@@ -611,9 +612,11 @@ def linked_components(
 
 def _open_pairs(
     shared: DataFrame, first: DataFrame, roots: DataFrame, points: DataFrame, percent: int
-) -> DataFrame:
+) -> DataFrame | None:
     """Pairs of a region that lie in different components and may still be within ``eps``.
 
+    None where each region lies in one component.
+
     A pair that shares several regions is formed in the first of them: rows carry the first of
     their set's pivots, and a region leaves out pairs that meet in an earlier one. What meets only
     beyond those carried may be formed in several regions, and is one pair in the end.
@@ -630,6 +633,8 @@ def _open_pairs(
     )
     inside = placed.join(mixed, "pivot")
     inside = _stored(inside.select("pivot", "key", "root", F.col("centres")[0].alias("low")))
+    if inside.isEmpty():
+        return None
     to_low = first.select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("from_low")
     )

@@ -102,21 +102,18 @@ def _cut(ranked: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFram
         .orderBy("__rank", "__row")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fitting = (
-        in_end.withColumn("__upto", F.col("__before") + F.sum("size").over(in_order))
-        .where("__upto <= __goal")
+    upto = F.col("__before") + F.sum("size").over(in_order)
+    fits = F.col("__upto") <= F.col("__goal")
+    # The bucket of an end has rows, so each end has its row here, fitting rows or none.
+    return (
+        in_end.withColumn("__upto", upto)
         .groupBy("__source")
         .agg(
-            F.max(F.struct("__rank", "__row")).alias("__last"),
-            F.max("__upto").alias("__reached"),
+            F.first("__end").alias("__cut_bucket"),
+            F.max(F.when(fits, F.struct("__rank", "__row"))).alias("__last"),
+            F.coalesce(F.max(F.when(fits, F.col("__upto"))), F.first("__before")).alias("__reached"),
         )
     )
-    return ends.join(fitting, "__source", "left").select(
-        "__source",
-        F.col("__end").alias("__cut_bucket"),
-        F.col("__last"),
-        F.coalesce(F.col("__reached"), F.col("__before")).alias("__reached"),
-    )
 
 
 def _before_cut() -> Column:

@@ -192,3 +192,16 @@ def test_small_inputs_take_few_jobs(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert all(r.component_id == r.doc_id // 10 * 10 for r in found)
     assert jobs <= 90, jobs
+
+
+def test_linked_copies_take_fewer_jobs_and_broadcasts(spark):
+    """Pairs carry the doc_ids of their sets and bins need no join of their own; nothing is planned for regions in one component."""
+    texts = [(10 * k + j, " ".join(f"d{k}w{i}" for i in range(40 + j))) for k in range(8) for j in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    context = spark.sparkContext
+    context.setJobGroup("linked-copies", "linked copies")
+    found = jaccard_join.linked_components(docs, 4, 85).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("linked-copies"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert all(r.component_id == r.doc_id // 10 * 10 for r in found)
+    assert jobs <= 56, jobs

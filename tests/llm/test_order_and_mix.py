@@ -140,3 +140,17 @@ def test_mix_goes_on_past_a_long_text(spark):
         found = {r.doc_id for r in big if r.copies}
         assert taken <= found and len(found - taken) <= 1
         assert abs(sum(r.taken for r in big) - big[0].target) <= 37
+
+
+def test_the_end_of_a_sample_takes_no_join_of_its_own(spark):
+    """Where a sample ends and what fits before it are one aggregate: fewer jobs and broadcasts a round."""
+    rows = [(i, "w " * (1 + i * 7919 % 97), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    context = spark.sparkContext
+    context.setJobGroup("mix", "mix")
+    mix = mixing.pareto_mix(docs, rounds=mixing.ROUNDS).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("mix"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    taken = {s: (sum(r.taken for r in mix if r.source == s), max(r.target for r in mix if r.source == s)) for s in "abc"}
+    assert all(abs(got - target) < 100 for got, target in taken.values()), taken
+    assert jobs <= 37, jobs
